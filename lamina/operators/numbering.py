@@ -30,7 +30,7 @@ def _part_offsets(stored: DataFrame, value: Column) -> DataFrame:
     """Sum of ``value`` over earlier partitions; one row per partition, so the window stays tiny."""
     sums = stored.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    return sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
 
 
 def global_position(df: DataFrame, order_by: Sequence[str | Column], name: str = "pos") -> DataFrame:
@@ -40,8 +40,8 @@ def global_position(df: DataFrame, order_by: Sequence[str | Column], name: str =
     # one row per range partition: bounded by the shuffle partition setting
     return (
         stored.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_row") + F.col("_before") + 1)
-        .drop("_part", "_row", "_before")
+        .withColumn(name, F.col("_row") + F.col("_offset") + 1)
+        .drop("_part", "_row", "_offset")
     )
 
 
@@ -84,9 +84,9 @@ def running_total(
     total = (
         stored.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(F.broadcast(offsets), "_part")  # one row per range partition
-        .withColumn(name, F.col("_inside") + F.col("_before"))
+        .withColumn(name, F.col("_inside") + F.col("_offset"))
     )
-    scratch = ["_part", "_row", "_inside", "_before"]
+    scratch = ["_part", "_row", "_inside", "_offset"]
     if not group_by:
         return total.drop(*scratch)
     base = total.groupBy(*group_by).agg(F.min_by(name, F.struct("_part", "_row")).alias("_base"))

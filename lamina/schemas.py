@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-GEOMETRIES = StructType.fromDDL(
-    "CellName string, Layer bigint, DataType bigint, ShapeType string, X_JSON string, Y_JSON string"
-)
-INSTANCES = StructType.fromDDL(
-    "CellName string, RefCellName string, X double, Y double, MAG double, ANGLE double, "
-    "IsXReflect boolean, IsArray boolean, Columns bigint, Rows bigint, DX double, DY double"
+from pyspark.sql.types import (
+    ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
-ENRICHED_INSTANCES = StructType.fromDDL(
-    INSTANCES.toDDL() + ", inum bigint, CellNumber bigint, RefCellNumber bigint, InstanceName string"
+
+
+def _table(**columns: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
+
+
+TEXT, LONG, INT, REAL, FLAG = StringType(), LongType(), IntegerType(), DoubleType(), BooleanType()
+
+GEOMETRIES = _table(CellName=TEXT, Layer=LONG, DataType=LONG, ShapeType=TEXT, X_JSON=TEXT, Y_JSON=TEXT)
+INSTANCES = _table(
+    CellName=TEXT, RefCellName=TEXT, X=REAL, Y=REAL, MAG=REAL, ANGLE=REAL, IsXReflect=FLAG, IsArray=FLAG,
+    Columns=LONG, Rows=LONG, DX=REAL, DY=REAL,
 )
-TEXTLABELS = StructType.fromDDL(
-    "CellName string, Layer bigint, TextType bigint, X double, Y double, Label string"
+ENRICHED_INSTANCES = StructType(
+    INSTANCES.fields + _table(inum=LONG, CellNumber=LONG, RefCellNumber=LONG, InstanceName=TEXT).fields
 )
-BBOX = StructType.fromDDL("CellName string, XMIN double, YMIN double, XMAX double, YMAX double")
-DEFCOMPONENTS = StructType.fromDDL("InstanceName string, CellName string, X int, Y int, Orientation string")
-PARENTCHILD = StructType.fromDDL("CellName string, ChildrenNum array<bigint>, CellNumber bigint")
-RELABEL = StructType.fromDDL("Name string, Number bigint")
+TEXTLABELS = _table(CellName=TEXT, Layer=LONG, TextType=LONG, X=REAL, Y=REAL, Label=TEXT)
+BBOX = _table(CellName=TEXT, XMIN=REAL, YMIN=REAL, XMAX=REAL, YMAX=REAL)
+DEFCOMPONENTS = _table(InstanceName=TEXT, CellName=TEXT, X=INT, Y=INT, Orientation=TEXT)
+PARENTCHILD = _table(CellName=TEXT, ChildrenNum=ArrayType(LONG), CellNumber=LONG)
+RELABEL = _table(Name=TEXT, Number=LONG)
 
 LAYOUT_TABLES = {
     "geometries": GEOMETRIES,

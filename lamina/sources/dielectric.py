@@ -15,9 +15,9 @@ def parse_dielectrics(lines: DataFrame, strict: bool = True) -> DataFrame:
     fields = lines.withColumn("_f", F.split(F.trim("value"), r"\s+"))
     if strict:
         require_none(fields.where(F.size("_f") != 4).select("line", "value"), "bad dielectric line")
-    number = [F.col("_f")[i].cast("double") for i in (1, 2, 3)]
+    number = [F.get("_f", F.lit(i)).try_cast("double") for i in (1, 2, 3)]
     return fields.where(F.size("_f") == 4).select(
-        "line", F.col("_f")[0].alias("name"), (number[0] * 1000).alias("zmin"), (number[1] * 1000).alias("zmax"), number[2].alias("eps"))
+        "line", F.get("_f", F.lit(0)).alias("name"), (number[0] * 1000).alias("zmin"), (number[1] * 1000).alias("zmax"), number[2].alias("eps"))
 
 
 def parse_technology(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,9 +33,9 @@ def parse_technology(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("_f", F.split("value", r"\s+"))
     )
     metals = rows.where("block = 'METAL'").select(
-        "line", F.col("_f")[0].alias("name"), F.col("_f")[1].cast("bigint").alias("layer"), F.col("_f")[2].cast("bigint").alias("datatype"),
-        F.col("_f")[3].cast("double").alias("height"), F.col("_f")[4].cast("double").alias("thickness"))
+        "line", F.get("_f", F.lit(0)).alias("name"), F.get("_f", F.lit(1)).try_cast("bigint").alias("layer"), F.get("_f", F.lit(2)).try_cast("bigint").alias("datatype"),
+        F.get("_f", F.lit(3)).try_cast("double").alias("height"), F.get("_f", F.lit(4)).try_cast("double").alias("thickness"))
     vias = rows.where("block = 'VIA'").select(
-        "line", F.col("_f")[0].alias("name"), F.col("_f")[1].cast("bigint").alias("layer"), F.col("_f")[2].cast("bigint").alias("datatype"),
-        F.col("_f")[3].alias("bottom"), F.col("_f")[4].alias("top"))
+        "line", F.get("_f", F.lit(0)).alias("name"), F.get("_f", F.lit(1)).try_cast("bigint").alias("layer"), F.get("_f", F.lit(2)).try_cast("bigint").alias("datatype"),
+        F.get("_f", F.lit(3)).alias("bottom"), F.get("_f", F.lit(4)).alias("top"))
     return metals, vias

@@ -30,7 +30,7 @@ def parse_layout(lines: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
     tagged = numbered.join(after, ["file", "line"], "left")
 
     def number(i: int, kind: str = "bigint"):
-        return F.trim(F.col("_f")[i]).cast(kind)
+        return F.trim(F.get("_f", F.lit(i))).try_cast(kind)
 
     layer_count = tagged.where("line = 1").select("file", number(0).alias("_l"))
     via_count = tagged.join(layer_count, "file").where("line = _l + 2").select("file", "_l", number(0).alias("_v"))
@@ -63,7 +63,7 @@ def parse_layout(lines: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
     # a ring is bounded by the vertex count of its polygon
     rings = joined.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("line", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"),
-        F.count_if(F.col("x").isNull()).alias("_lost"))
+        F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("_lost"))
     if strict:
         require_none(rings.where("_lost > 0").select(*keys), "polygon has fewer vertices than announced")
         found = owned.groupBy("file", "layer_id").agg(F.count("*").alias("found"))

@@ -38,7 +38,7 @@ def parse_matrix_market(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = data.join(first, "file").withColumn("_f", F.split("value", r"\s+"))
 
     def number(k: int, kind: str):
-        return F.col("_f")[k].cast(kind)
+        return F.get("_f", F.lit(k)).try_cast(kind)
 
     sizes = fields.where("line = _first").select("file", number(0, "bigint").alias("rows"), number(1, "bigint").alias("cols"), number(2, "bigint").alias("entries"))
     entries = fields.where("line > _first").select("file", number(0, "bigint").alias("i"), number(1, "bigint").alias("j"), number(2, "double").alias("v"))

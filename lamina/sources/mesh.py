@@ -28,7 +28,7 @@ def parse_mesh(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFr
     """
     def section(tag: str) -> DataFrame:
         start = lines.where(F.col("value") == tag).select("file", F.col("line").alias("_s"))
-        count = lines.withColumn("_s", F.col("line") - 1).join(start, ["file", "_s"]).select("file", "_s", F.col("value").cast("bigint").alias("_c"))
+        count = lines.withColumn("_s", F.col("line") - 1).join(start, ["file", "_s"]).select("file", "_s", F.col("value").try_cast("bigint").alias("_c"))
         # one row per file on the right
         rows = lines.join(count, "file").where("line > _s + 1 AND line <= _s + 1 + _c")
         if strict:
@@ -37,15 +37,14 @@ def parse_mesh(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFr
         return rows.select("file", (F.col("line") - F.col("_s") - 1).alias("_i"), F.split("value", r"\s+").alias("_f"))
 
     nodes = section("$Nodes").select(
-        "file", "_i", F.col("_f")[0].cast("int").alias("id"), *[F.col("_f")[k].cast("double").alias(n) for k, n in ((1, "x"), (2, "y"), (3, "z"))])
-    raw = section("$Elements").withColumn("_v", F.transform("_f", lambda t: t.cast("int")))
-    arity = point_count(F.col("_v")[1])
+        "file", "_i", F.col("_f")[0].try_cast("int").alias("id"), *[F.get("_f", F.lit(k)).try_cast("double").alias(n) for k, n in ((1, "x"), (2, "y"), (3, "z"))])
+    raw = section("$Elements").withColumn("_v", F.transform("_f", lambda t: t.try_cast("int")))
+    arity = point_count(F.get("_v", F.lit(1)))
     elements = raw.select(
-        "file", "_i", F.col("_v")[0].alias("id"), F.col("_v")[1].alias("type"), F.col("_v")[2].alias("tags"), F.col("_v")[3].alias("tag1"),
-        F.col("_v")[4].alias("tag2"), F.when(arity > 0, F.slice("_v", F.lit(6), F.greatest(arity, F.lit(0)))).alias("nodes"))
+        "file", "_i", *[F.get("_v", F.lit(k)).alias(n) for k, n in enumerate(("id", "type", "tags", "tag1", "tag2"))], F.when(arity > 0, F.slice("_v", F.lit(6), F.greatest(arity, F.lit(0)))).alias("nodes"))
     if strict:
-        require_none(nodes.where("id <> _i"), "node ids are not 1..n")
-        require_none(elements.where("id <> _i OR tags <> 2 OR nodes IS NULL").drop("nodes"), "bad element line")
+        require_none(nodes.where("id IS NULL OR id <> _i OR x IS NULL OR y IS NULL OR z IS NULL"), "node ids are not 1..n")
+        require_none(elements.where("id IS NULL OR id <> _i OR tags IS NULL OR tags <> 2 OR nodes IS NULL").drop("nodes"), "bad element line")
     return nodes.drop("_i"), elements.drop("_i", "tags")
 
 
