@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +31,11 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/lamina-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_counted(df: DataFrame, **rows) -> tuple[DataFrame, dict[str, int]]:
+    """``materialise`` that also counts, during the write, all rows and those meeting conditions."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows")] + [F.count_if(condition).alias(name) for name, condition in rows.items()]
+    stored = materialise(df.observe(seen, *counts))
+    return stored, {name: value or 0 for name, value in seen.get.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.checks import StrictModeError, require_none
-from lamina.durable import materialise
+from lamina.durable import materialise, materialise_counted
 
 
 def undirected(df: DataFrame, src: str, dst: str, w: str) -> DataFrame:
@@ -38,8 +38,8 @@ def shortest_distances(edges: DataFrame, source: object, strict: bool = False) -
         steps = frontier.join(edges, frontier["node"] == edges["src"])
         offers = steps.groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("offer"))
         better = offers.join(best, "node", "left").where("dist IS NULL OR offer < dist")
-        frontier = materialise(better.select("node", F.col("offer").alias("dist")))
-        if frontier.isEmpty():
+        frontier, fell = materialise_counted(better.select("node", F.col("offer").alias("dist")))
+        if not fell["rows"]:
             return best
         best = materialise(best.unionByName(frontier).groupBy("node").agg(F.min("dist").alias("dist")))
 
@@ -66,13 +66,15 @@ def elimination_tree(entries: DataFrame) -> DataFrame:
     pattern = entries.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).distinct()
     columns = materialise(entries.select(F.col("i").alias("j")).union(entries.select("j")).distinct())
     below = materialise(pattern.where("i > j"))
-    changed = True
+    changed, rounds = True, 0
     while changed:
         parent = below.groupBy("j").agg(F.min("i").alias("parent"))
         handed = below.join(parent, "j").where("i > parent").select("i", F.col("parent").alias("j")).distinct()
-        fresh = materialise(handed.join(below, ["i", "j"], "left_anti"))
-        changed = not fresh.isEmpty()
-        if changed:
-            below = materialise(below.unionByName(fresh))
+        fresh, found = materialise_counted(handed.join(below, ["i", "j"], "left_anti"))
+        changed = found["rows"] > 0
+        below = below.unionByName(fresh)
+        rounds += 1
+        if rounds % 8 == 0:  # keep the number of files to scan small
+            below = materialise(below)
     parent = below.groupBy("j").agg(F.min("i").alias("parent"))
     return columns.join(parent, "j", "left").select(F.col("j").alias("node"), F.coalesce("parent", F.lit(0)).cast("bigint").alias("parent"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.checks import StrictModeError, require_none
-from lamina.durable import materialise
+from lamina.durable import materialise, materialise_counted
 from lamina.operators.grouping import as_array, first_seen_distinct
 from lamina.operators.lookup import lookup
 from lamina.operators.numbering import global_position
@@ -35,23 +35,27 @@ def topological_levels(pairs: DataFrame) -> DataFrame:
     a cycle.
     """
     open_edges = materialise(pairs)
-    parents = open_edges.select(F.col("parent").alias("name")).distinct()
-    leaves = open_edges.select(F.col("child").alias("name")).distinct().join(parents, "name", "left_anti")
+    # the children of the first round: leaves are nodes that are nobody's parent
+    sides = open_edges.select(F.explode(F.array(
+        F.struct(F.col("parent").alias("name"), F.lit(1).alias("is_parent")), F.struct(F.col("child").alias("name"), F.lit(0).alias("is_parent")))).alias("s"))
+    leaves = sides.groupBy("s.name").agg(F.max("s.is_parent").alias("is_parent")).where("is_parent = 0").select("name")
     finished = materialise(leaves)
     done = finished.withColumn("level", F.lit(0))
     level = 0
     while True:
         level += 1
         hits = finished.select(F.col("name").alias("child"), F.lit(True).alias("_hit"))
-        tagged = materialise(open_edges.join(hits, "child", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))))
+        joined = open_edges.join(hits, "child", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        tagged, edges_left = materialise_counted(joined, open=~F.col("_hit"))
         ready = tagged.groupBy(F.col("parent").alias("name")).agg(F.count_if(~F.col("_hit")).alias("_missing"))
-        finished = materialise(ready.where("_missing = 0").select("name"))
-        open_edges = tagged.where(~F.col("_hit")).drop("_hit")
-        if finished.isEmpty():
-            if not open_edges.isEmpty():
-                raise StrictModeError("the hierarchy has a cycle; no topological order exists")
+        finished, nodes = materialise_counted(ready.where("_missing = 0").select("name"))
+        if nodes["rows"]:
+            done = done.unionByName(finished.withColumn("level", F.lit(level)))
+        elif edges_left["open"]:
+            raise StrictModeError("the hierarchy has a cycle; no topological order exists")
+        if not edges_left["open"]:
             return done
-        done = done.unionByName(finished.withColumn("level", F.lit(level)))
+        open_edges = tagged.where(~F.col("_hit")).drop("_hit")
 
 
 def topological_numbers(pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.checks import require_columns
+from lamina.constants import literal_rows
 from lamina.operators import grouping, hierarchy, lookup, numbering
 from lamina.operators.placement import ORIENTATIONS, orientation_code
 from lamina.plans import standins as s
@@ -137,8 +138,8 @@ z AS (SELECT l_orderkey, l_extendedprice / CAST(8.0 AS DOUBLE) AS z FROM lineite
 SELECT l_orderkey, z, name FROM z LEFT JOIN dim ON z >= CAST(zmin AS DOUBLE) AND z < CAST(zmax AS DOUBLE)""")
 def interval(spark, folder):
     # Dielectric layers with their z ranges in nanometres.
-    dim = spark.createDataFrame(
-        [(1, "FOX", 0.0, 120.0), (2, "PSG", 120.0, 936.1), (3, "NILD2", 936.1, 1376.1), (4, "NILD3", 1376.1, 2006.1),
+    dim = literal_rows(
+        spark, [(1, "FOX", 0.0, 120.0), (2, "PSG", 120.0, 936.1), (3, "NILD2", 936.1, 1376.1), (4, "NILD3", 1376.1, 2006.1),
          (5, "NILD4", 2006.1, 2786.1), (6, "NILD5", 2786.1, 4021.1), (7, "NILD6", 4021.1, 5371.1), (8, "PI1", 5371.1, 11883.4)],
         "ord int, name string, zmin double, zmax double")
     z = table(spark, folder, "lineitem").select("l_orderkey", (c("l_extendedprice") / F.lit(8.0)).alias("z"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lamina.constants import literal_rows
 from lamina.operators.placement import ORIENTATIONS
 from lamina.plans.registry import table
 
@@ -200,7 +201,7 @@ def mesh_lines(spark: SparkSession, folder: str) -> DataFrame:
                     F.when(kind >= 2, refs[2]), F.when(kind == 3, refs[3])).alias("value"))
     fixed = [(1, "$MeshFormat"), (2, "2.2 0 8"), (3, "$EndMeshFormat"), (4, "$Nodes"), (5, str(n)), (n + 6, "$EndNodes"),
              (n + 7, "$Elements"), (n + 8, str(m)), (n + m + 9, "$EndElements")]
-    frame = spark.createDataFrame(fixed, "line bigint, value string")
+    frame = literal_rows(spark, fixed, "line bigint, value string")
     return frame.unionByName(nodes).unionByName(elements).withColumn("file", F.lit("mesh"))
 
 

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lamina.constants import literal_rows
 from lamina.durable import shared_folder
 from lamina.functions.scalars import general_text
 from lamina.operators import polygons
@@ -86,7 +87,7 @@ def _layout_lines(spark, folder):
     ring = [F.concat_ws(", ", x + dx, y + dy) for dx, dy in ((0, 0), (2, 0), (2, 5), (0, 5), (0, 0))]
     body = parts.select((c("p_partkey") * 6 + 8).alias("first"), F.posexplode(F.array(F.lit("5"), *ring)).alias("k", "value"))
     head = [(1, "2"), (2, "0, 0, 119"), (3, "1, 119, 238"), (4, "1"), (5, "2, 505, 936, 1, 2"), (6, "1"), (7, str(n))]
-    frame = spark.createDataFrame(head, "line bigint, value string")
+    frame = literal_rows(spark, head, "line bigint, value string")
     return frame.unionByName(body.select((c("first") + c("k")).alias("line"), "value")).withColumn("file", F.lit("layout"))
 
 
@@ -132,7 +133,7 @@ def line_coordinates(spark, folder):
     from lamina.operators.lookup import lookup
 
     nodes, elements = mesh.parse_mesh(s.mesh_lines(spark, folder))
-    ends = elements.where(c("type") == mesh.LINE).select("id", c("nodes")[0].alias("a"), c("nodes")[1].alias("b"))
+    ends = elements.where(c("type") == mesh.LINE).select("id", F.get("nodes", F.lit(0)).alias("a"), F.get("nodes", F.lit(1)).alias("b"))
     first = lookup(ends, nodes, {"a": "id"}, {"x": "x1", "y": "y1"}, strict=True)
     return lookup(first, nodes, {"b": "id"}, {"x": "x2", "y": "y2"}, strict=True).drop("a", "b")
 

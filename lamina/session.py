@@ -18,6 +18,8 @@ def get_session(app_name: str = "lamina", master: str | None = None, **conf: str
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # plans are built from many small expressions; do not record a Python stack for each
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():

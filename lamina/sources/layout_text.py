@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.checks import require_none
+from lamina.durable import materialise
 from lamina.operators.numbering import position_in_group
 
 
@@ -25,16 +26,19 @@ def parse_layout(lines: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
     Polygons carry ``layer_id``, their 1-based ``polygon`` order in the layer, and a ``ring`` of
     the vertices as written.
     """
-    numbered = lines.withColumn("_f", F.split("value", ",")).withColumn("_n", F.size("_f"))
+    fields = F.split("value", ",")
+    cells = [F.trim(F.get("_f", F.lit(k))).alias(f"_c{k}") for k in range(5)]
+    numbered = lines.withColumn("_f", fields).select("file", "line", F.size("_f").alias("_n"), *cells)
     after = numbered.select("file", (F.col("line") - 1).alias("line"), F.col("_n").alias("_next"))
-    tagged = numbered.join(after, ["file", "line"], "left")
+    tagged = materialise(numbered.join(after, ["file", "line"], "left"))
 
     def number(i: int, kind: str = "bigint"):
-        return F.trim(F.get("_f", F.lit(i))).try_cast(kind)
+        return F.col(f"_c{i}").try_cast(kind)
 
+    # one row per file each
     layer_count = tagged.where("line = 1").select("file", number(0).alias("_l"))
     via_count = tagged.join(layer_count, "file").where("line = _l + 2").select("file", "_l", number(0).alias("_v"))
-    body = tagged.join(via_count, "file")  # one row per file on the right
+    body = tagged.join(via_count, "file")
 
     layers = body.where("line > 1 AND line <= _l + 1").select("file", number(0).alias("id"), number(1).alias("zmin"), number(2).alias("zmax"))
     vias = body.where("line > _l + 2 AND line <= _l + _v + 2").select(
@@ -65,6 +69,7 @@ def parse_layout(lines: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
         F.transform(F.array_sort(F.collect_list(F.struct("line", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"),
         F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("_lost"))
     if strict:
+        rings = materialise(rings)
         require_none(rings.where("_lost > 0").select(*keys), "polygon has fewer vertices than announced")
         found = owned.groupBy("file", "layer_id").agg(F.count("*").alias("found"))
         off = spans.join(found, ["file", "layer_id"], "left").where("expected IS NULL OR expected <> coalesce(found, 0)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lamina.constants import literal_rows
 from lamina.operators.numbering import global_position
 from lamina.operators.sparse import matrix_stats
 
@@ -27,7 +28,7 @@ def matrix_market_lines(matrix: DataFrame, order_by: list[str] | None = None) ->
     placed = global_position(matrix, order_by or ["i", "j"], "_pos")
     body = placed.select((F.col("_pos") + 2).alias("line"), F.concat_ws(" ", *[F.col(c).cast("string") for c in ("i", "j", "v")]).alias("value"))
     sizes = matrix_stats(matrix).select(F.lit(2).cast("bigint").alias("line"), F.concat_ws(" ", "rows", "cols", "entries").alias("value"))
-    banner = matrix.sparkSession.createDataFrame([(1, BANNER)], "line bigint, value string")
+    banner = literal_rows(matrix.sparkSession, [(1, BANNER)], "line bigint, value string")
     return banner.unionByName(sizes).unionByName(body)
 
 
@@ -51,6 +52,6 @@ def list_literal_lines(rows: DataFrame, values: str = "values", row: str = "i",
     last = rows.agg(F.max(row).cast("bigint").alias("last"))
     body = rows.select(
         (F.col(row) + 1).cast("bigint").alias("line"), F.concat(text, F.when(F.col(row) < last.scalar(), ",").otherwise("")).alias("value"))
-    head = rows.sparkSession.createDataFrame([(1, f"{name} := [")], "line bigint, value string")
+    head = literal_rows(rows.sparkSession, [(1, f"{name} := [")], "line bigint, value string")
     foot = last.select((F.col("last") + 2).alias("line"), F.lit("];").alias("value"))
     return head.unionByName(body).unionByName(foot)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lamina.checks import require_none
+from lamina.checks import require_rules
+from lamina.constants import literal_rows
 from lamina.operators.lookup import lookup
 from lamina.operators.numbering import global_position
 
@@ -21,42 +22,58 @@ def point_count(kind: Column) -> Column:
     return count
 
 
+SECTIONS = ("$Nodes", "$EndNodes", "$Elements", "$EndElements")
+
+
 def parse_mesh(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, elements) of files given as ``(file, line, value)``.
 
-    ``$Nodes`` and ``$Elements`` name the line their section starts on and are followed by a count.
+    One aggregate finds the lines of the section tags, one row per file; a line belongs to the
+    section whose tags enclose it, its first line being the announced count.
     """
-    def section(tag: str) -> DataFrame:
-        start = lines.where(F.col("value") == tag).select("file", F.col("line").alias("_s"))
-        count = lines.withColumn("_s", F.col("line") - 1).join(start, ["file", "_s"]).select("file", "_s", F.col("value").try_cast("bigint").alias("_c"))
-        # one row per file on the right
-        rows = lines.join(count, "file").where("line > _s + 1 AND line <= _s + 1 + _c")
-        if strict:
-            end = lines.join(count, "file").where("line = _s + _c + 2")
-            require_none(end.where(F.col("value") != tag.replace("$", "$End")).select("file", "line", "value"), f"{tag} section is not closed")
-        return rows.select("file", (F.col("line") - F.col("_s") - 1).alias("_i"), F.split("value", r"\s+").alias("_f"))
-
-    nodes = section("$Nodes").select(
-        "file", "_i", F.col("_f")[0].try_cast("int").alias("id"), *[F.get("_f", F.lit(k)).try_cast("double").alias(n) for k, n in ((1, "x"), (2, "y"), (3, "z"))])
-    raw = section("$Elements").withColumn("_v", F.transform("_f", lambda t: t.try_cast("int")))
-    arity = point_count(F.get("_v", F.lit(1)))
-    elements = raw.select(
-        "file", "_i", *[F.get("_v", F.lit(k)).alias(n) for k, n in enumerate(("id", "type", "tags", "tag1", "tag2"))], F.when(arity > 0, F.slice("_v", F.lit(6), F.greatest(arity, F.lit(0)))).alias("nodes"))
+    def place(tag: str) -> Column:
+        return F.min(F.when(F.col("value") == tag, F.col("line"))).alias(tag)
+
+    tags = lines.where(F.col("value").startswith("$")).groupBy("file").agg(*[place(t) for t in SECTIONS])
+    n0, n1, e0, e1 = (F.col(f"`{t}`") for t in SECTIONS)
+    line, fields = F.col("line"), F.split("value", r"\s+")
+    in_nodes, in_elements = (line > n0) & (line < n1), (line > e0) & (line < e1)
+    start = F.when(in_nodes, n0).when(in_elements, e0)
+    inside = lines.join(tags, "file").where(in_nodes | in_elements).select(
+        "file", in_nodes.alias("_node"), (line - start - 1).alias("_i"), fields.alias("_f"),
+        (F.when(in_nodes, n1 - n0).otherwise(e1 - e0) - 2).alias("_size"))
+
+    def number(k: int, kind: str) -> Column:
+        return F.get("_f", F.lit(k)).try_cast(kind)
+
+    rows = inside.where("_i > 0")
+    nodes = rows.where("_node").select(
+        "file", "_i", number(0, "int").alias("id"), *[number(k, "double").alias(n) for k, n in enumerate("xyz", 1)])
+    arity = point_count(number(1, "int"))
+    points = F.slice(F.transform("_f", lambda t: t.try_cast("int")), F.lit(6), F.greatest(arity, F.lit(0)))
+    elements = rows.where("NOT _node").select(
+        "file", "_i", *[number(k, "int").alias(n) for k, n in enumerate(("id", "type", "tags", "tag1", "tag2"))],
+        F.when(arity > 0, points).alias("nodes"), arity.alias("_arity"))
     if strict:
-        require_none(nodes.where("id IS NULL OR id <> _i OR x IS NULL OR y IS NULL OR z IS NULL"), "node ids are not 1..n")
-        require_none(elements.where("id IS NULL OR id <> _i OR tags IS NULL OR tags <> 2 OR nodes IS NULL").drop("nodes"), "bad element line")
-    return nodes.drop("_i"), elements.drop("_i", "tags")
+        require_rules(tags, {f"has {t}": F.col(f"`{t}`").isNotNull() for t in SECTIONS})
+        require_rules(inside, {
+            "count": (F.col("_i") > 0) | (number(0, "bigint") == F.col("_size")),
+            "ids 1..n": (F.col("_i") == 0) | (number(0, "int") == F.col("_i")),
+            "coordinates": ~F.col("_node") | (F.col("_i") == 0) | (number(1, "double") + number(2, "double") + number(3, "double")).isNotNull(),
+            "element": F.col("_node") | (F.col("_i") == 0) | ((number(2, "int") == 2) & (arity > 0) & (F.size("_f") >= arity + 5)),
+        })
+    return nodes.drop("_i"), elements.drop("_i", "tags", "_arity")
 
 
 def faces(elements: DataFrame, kind: int) -> DataFrame:
     """Elements of one type renumbered from 1, with one column per node."""
     picked = global_position(elements.where(F.col("type") == kind), ["id"], "n")
-    return picked.select("n", *[F.col("nodes")[k].alias(f"node{k + 1}") for k in range(POINTS[kind])])
+    return picked.select("n", *[F.get("nodes", F.lit(k)).alias(f"node{k + 1}") for k in range(POINTS[kind])])
 
 
 def boundary(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """Line elements with ``fixed``: whether the first end lies on x = +-1 or y = +-1."""
-    ends = elements.where(F.col("type") == LINE).select("id", F.col("nodes")[0].alias("node1"), F.col("nodes")[1].alias("node2"))
+    ends = elements.where(F.col("type") == LINE).select("id", F.get("nodes", F.lit(0)).alias("node1"), F.get("nodes", F.lit(1)).alias("node2"))
     placed = lookup(ends, nodes, {"node1": "id"}, {"x": "_x", "y": "_y"})
     on_edge = (F.abs("_x") == 1.0) | (F.abs("_y") == 1.0)
     return placed.withColumn("fixed", F.coalesce(on_edge, F.lit(False))).drop("_x", "_y")
@@ -93,5 +110,5 @@ def solver_lines(name: str, table: DataFrame) -> DataFrame:
     """Numbered text lines of one solver file, headers first."""
     text = F.concat_ws("\t", *[F.col(c).cast("string") for c in table.columns])
     body = table.select((F.col("n") + len(HEADERS[name])).cast("bigint").alias("line"), text.alias("value"))
-    head = table.sparkSession.createDataFrame([(k, h) for k, h in enumerate(HEADERS[name], 1)], "line bigint, value string")
+    head = literal_rows(table.sparkSession, [(k, h) for k, h in enumerate(HEADERS[name], 1)], "line bigint, value string")
     return head.unionByName(body)
