@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
+from lamina.operators.numbering import global_position
+
 SEGMENT = 1 << 20  # numbers sieved by one task at a time
 
 
@@ -48,7 +50,7 @@ def primes_below(spark: SparkSession, limit: int) -> DataFrame:
 def first_primes(spark: SparkSession, count: int) -> DataFrame:
     """The first ``count`` primes; the n-th prime is below n (ln n + ln ln n) for n > 5."""
     bound = 15 if count < 6 else int(count * (math.log(count) + math.log(math.log(count)))) + 2
-    return primes_below(spark, bound).orderBy("n").limit(count)
+    return global_position(primes_below(spark, bound), ["n"], "k").where(F.col("k") <= count).select("n")
 
 
 @F.pandas_udf(LongType())

@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lamina.checks import StrictModeError, require_columns, require_none, require_some
+from lamina.checks import require_columns, require_none, require_some
+from lamina.durable import materialise
+from lamina.operators.numbering import running_total
 
 INTERVAL_LITERALS = 1_000  # interval tables up to this many rows become one CASE expression
 
@@ -91,24 +93,46 @@ def interval_lookup(
 ) -> DataFrame:
     """First interval (in table order) with ``low <= value < high``; null outside all of them.
 
-    A short table turns into one CASE expression, without a join. A longer one is cut into unit
-    bins of its mean width and joined by bin.
+    A short table turns into one CASE expression, without a join; a longer one is numbered and
+    joined by stretch between interval ends.
     """
     rows = table.select(low, high, take, order_by).orderBy(order_by).limit(literal_limit + 1).collect()
     if len(rows) <= literal_limit:
         return df.withColumn(name, _interval_case(F.col(value), [(r[0], r[1], r[2]) for r in rows], table.schema[take].dataType))
-    width = table.agg(F.avg(F.col(high) - F.col(low))).first()[0]
-    if not width or width <= 0:
-        raise StrictModeError("intervals have no extent")
-    bins = table.where(F.col(low) < F.col(high)).select(
-        F.col(low).alias("_lo"), F.col(high).alias("_hi"), F.col(take).alias("_take"), F.col(order_by).alias("_ord"),
-        F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("_bin"),
-    )
-    # one row per distinct value keeps hot values from repeating the range test
-    values = df.select(value).where(F.col(value).isNotNull()).distinct().withColumn("_bin", F.floor(F.col(value) / width))
-    inside = (F.col(value) >= F.col("_lo")) & (F.col(value) < F.col("_hi"))
-    found = values.join(bins, "_bin").where(inside).groupBy(value).agg(F.min_by("_take", "_ord").alias(name))
-    return df.join(found, value, "left")
+    return df.join(_interval_winners(df.select(value), value, table, low, high, take, order_by, name), value, "left")
+
+
+def _interval_winners(values: DataFrame, value: str, table: DataFrame, low: str, high: str, take: str, order_by: str, name: str) -> DataFrame:
+    """``(value, name)`` of the distinct values that lie in some interval of a large table.
+
+    Sorted together with the values, the interval ends number the stretches between them, and every
+    value learns its stretch from a running count. An interval covers a range of stretches, written
+    as at most two aligned blocks of 2^k stretches per k; a block keeps its first interval only.
+    The winner of a stretch is the first among the blocks above it. Nothing pairs values with
+    intervals, so crowded or overlapping intervals cost no more than others.
+    """
+    spans = table.where(F.col(low) < F.col(high)).select(
+        F.col(low).cast("double").alias("_lo"), F.col(high).cast("double").alias("_hi"), F.col(take).alias("_take"), F.col(order_by).alias("_ord"))
+    ends = spans.select(F.explode(F.array("_lo", "_hi")).alias("_z")).distinct().withColumn("_end", F.lit(1).cast("bigint"))
+    points = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_z")).distinct().withColumn("_end", F.lit(0).cast("bigint"))
+    ranked = materialise(running_total(ends.unionByName(points), "_end", ["_z", F.col("_end").desc()], "_before"))
+    numbered = ranked.where("_end = 1").select("_z", (F.col("_before") + 1).alias("_rank"))
+    total = numbered.count()
+    levels = F.sequence(F.lit(0), F.lit(max(total, 1).bit_length()))
+
+    start = numbered.withColumnsRenamed({"_z": "_lo", "_rank": "_a"})
+    stop = numbered.withColumnsRenamed({"_z": "_hi", "_rank": "_b"})
+    ranged = spans.join(start, "_lo").join(stop, "_hi").select("_a", "_b", "_take", "_ord", F.explode(levels).alias("_k"))
+    size = F.expr("shiftleft(1L, _k)")
+    left, right = F.ceil(F.col("_a") / size), F.floor(F.col("_b") / size)
+    block = F.array(F.when((left < right) & (left % 2 == 1), left), F.when((left < right) & (right % 2 == 1), right - 1))
+    blocks = ranged.select("_k", F.explode(F.array_compact(block)).alias("_block"), "_take", "_ord")
+    firsts = blocks.groupBy("_k", "_block").agg(F.min(F.struct("_ord", "_take")).alias("_first"))
+
+    above = numbered.select("_rank", F.explode(levels).alias("_k")).withColumn("_block", F.expr("shiftright(_rank, _k)"))
+    winners = above.join(firsts, ["_k", "_block"]).groupBy("_rank").agg(F.min("_first").alias("_first")).select("_rank", F.col("_first._take").alias(name))
+    found = ranked.where("_end = 0").select(F.col("_z").alias(value), F.col("_before").alias("_rank"))
+    return found.join(winners, "_rank").select(value, name)
 
 
 def _interval_case(value: Column, intervals: Sequence[tuple[float, float, object]], dtype) -> Column:

@@ -90,6 +90,8 @@ def test_overlap_join_equals_brute_force(spark, tile, limit):
         # a third of the boxes crowd one spot, some lie at negative coordinates, some touch
         x, y = (1.0, 1.0) if k % 3 == 0 else (float(rng.randrange(-20, 20)), float(rng.randrange(-20, 20)))
         data.append((k, x, y, x + rng.randrange(0, 9), y + rng.randrange(0, 9)))
+    data[7] = (7, -500.0, -30.0, 9000.0, 5.0)  # one box far larger than the others
+    data[8] = (8, 0.0, -7000.0, 0.5, 7000.0)
     df = spark.createDataFrame(data, "id int, xmin double, ymin double, xmax double, ymax double")
     meets = lambda a, b: a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
     want = sorted((a[0], b[0]) for a, b in itertools.combinations(data, 2) if meets(a, b))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lamina.checks import StrictModeError, require_columns
@@ -29,6 +31,18 @@ def test_first_of_overlapping_intervals(spark, limit):
     assert got == [(2.5, "a"), (7.0, "a"), (12.0, "b")]
 
 
+def test_large_interval_table_equals_brute_force(spark):
+    rng = random.Random(9)
+    spans = [(k, f"i{k}", float(lo), float(lo + rng.choice([1, 2, 5, 300]))) for k, lo in enumerate(rng.randrange(0, 400) for _ in range(120))]
+    spans += [(k + 200, f"same{k}", 50.0, 51.0) for k in range(60)] + [(900, "empty", 3.0, 3.0)]
+    dim = spark.createDataFrame(spans, "ord int, name string, lo double, hi double")
+    values = [rng.randrange(-40, 1500) / 2 for _ in range(300)] + [50.5] * 100
+    z = spark.createDataFrame([(v,) for v in values], "z double")
+    want = sorted((v, next((n for _, n, lo, hi in sorted(spans) if lo <= v < hi), "-")) for v in values)
+    got = lookup.interval_lookup(z, "z", dim, "lo", "hi", "name", "ord", "n", literal_limit=5)
+    assert rows(got.fillna("-"), "z", "n") == want
+
+
 def test_lookup_strict_and_lenient(spark):
     df = spark.createDataFrame([("a",), ("z",)], "k string")
     dim = spark.createDataFrame([("a", 1)], "name string, n int")
