@@ -87,7 +87,8 @@ def child_rows(numbered: DataFrame, order_by: list[str], parent: str = "CellName
 
 def parent_child(numbered: DataFrame, numbers: DataFrame, order_by: list[str], parent: str = "CellName") -> DataFrame:
     """The ``parentchild`` table: every node with its children in first-seen order, leaves with none."""
-    children = as_array(child_rows(numbered, order_by, parent), [parent], "RefCellNumber", "first_seen", "ChildrenNum")
+    seen = materialise(child_rows(numbered, order_by, parent))
+    children = as_array(seen, [parent], "RefCellNumber", "first_seen", "ChildrenNum")
     nodes = numbers.select(F.col("name").alias("CellName"), F.col("number").alias("CellNumber"))
     joined = nodes.join(children.withColumnRenamed(parent, "_parent"), F.col("CellName") == F.col("_parent"), "left")
     return joined.select("CellName", F.coalesce("ChildrenNum", F.array().cast("array<bigint>")).alias("ChildrenNum"), "CellNumber")

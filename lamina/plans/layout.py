@@ -137,7 +137,7 @@ def children_numbers(spark, folder):
 
     rows = s.hierarchy(spark, folder)
     numbers = materialise(hierarchy.topological_numbers(hierarchy.edges(rows, "CellName", "RefCellName")))
-    seen = hierarchy.child_rows(hierarchy.number_instances(rows, numbers), ["ord"])
+    seen = materialise(hierarchy.child_rows(hierarchy.number_instances(rows, numbers), ["ord"]))
     placed_rows = position_in_group(seen, ["CellName"], ["first_seen", "RefCellNumber"], "place").withColumnRenamed("CellName", "_p")
     joined = numbers.join(placed_rows, c("name") == c("_p"), "left")
     return joined.select(c("name").alias("CellName"), c("number").alias("CellNumber"), "RefCellNumber", F.coalesce("place", F.lit(0)).alias("place"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.checks import require_rules
 from lamina.constants import literal_rows
+from lamina.durable import materialise
 from lamina.operators.lookup import lookup
 from lamina.operators.numbering import global_position
 
@@ -29,7 +30,8 @@ def parse_mesh(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFr
     """(nodes, elements) of files given as ``(file, line, value)``.
 
     One aggregate finds the lines of the section tags, one row per file; a line belongs to the
-    section whose tags enclose it, its first line being the announced count.
+    section whose tags enclose it, its first line being the announced count. The split lines are
+    written once; checks and both tables read them from there.
     """
     def place(tag: str) -> Column:
         return F.min(F.when(F.col("value") == tag, F.col("line"))).alias(tag)
@@ -39,9 +41,9 @@ def parse_mesh(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFr
     line, fields = F.col("line"), F.split("value", r"\s+")
     in_nodes, in_elements = (line > n0) & (line < n1), (line > e0) & (line < e1)
     start = F.when(in_nodes, n0).when(in_elements, e0)
-    inside = lines.join(tags, "file").where(in_nodes | in_elements).select(
+    inside = materialise(lines.join(tags, "file").where(in_nodes | in_elements).select(
         "file", in_nodes.alias("_node"), (line - start - 1).alias("_i"), fields.alias("_f"),
-        (F.when(in_nodes, n1 - n0).otherwise(e1 - e0) - 2).alias("_size"))
+        (F.when(in_nodes, n1 - n0).otherwise(e1 - e0) - 2).alias("_size")))
 
     def number(k: int, kind: str) -> Column:
         return F.get("_f", F.lit(k)).try_cast(kind)

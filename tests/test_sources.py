@@ -269,3 +269,25 @@ def test_table_bundle(spark, tmp_path):
     tables.pipe(made["bbox"], schemas.BBOX, str(tmp_path / "sink"))
     with pytest.raises(StrictModeError, match="types differ"):
         tables.pipe(made["bbox"], schemas.RELABEL, str(tmp_path / "sink2"))
+
+
+def test_layout_records(spark):
+    from lamina.sources import ingest
+
+    P = "cell string, layer int, datatype int, ring array<struct<x: double, y: double>>"
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    shapes = spark.createDataFrame([("leaf", 1, 0, square), ("mid", 2, 0, square[:3])], P)
+    got = rows(ingest.geometry_rows(shapes), "CellName", "ShapeType", "X_JSON", "Y_JSON")
+    assert got == [("leaf", "Box", "[0.0, 2.0, 2.0, 0.0]", "[0.0, 0.0, 1.0, 1.0]"), ("mid", "Polygon", "[0.0, 2.0, 2.0]", "[0.0, 0.0, 1.0]")]
+    assert ingest.geometry_rows(shapes).schema.simpleString() == schemas.GEOMETRIES.simpleString()
+    R = "cell string, ref string, x double, y double, magnification double, rotation double, x_reflection boolean, columns int, rows int, dx double, dy double"
+    refs = spark.createDataFrame([
+        ("mid", "leaf", 10.0, 0.0, 2.0, None, False, 3, 2, 5.0, 7.0), ("top", "mid", 0.0, 0.0, None, 3.141592653589793, True, None, 2, 1.0, 1.0),
+        ("top", "leaf", -50.0, 3.0, None, None, None, None, None, None, None)], R)
+    instances = ingest.instance_rows(refs)
+    assert instances.schema.simpleString() == schemas.INSTANCES.simpleString()
+    assert rows(instances, "CellName", "RefCellName", "MAG", "ANGLE", "IsArray", "Columns", "Rows", "DX") == [
+        ("mid", "leaf", 2.0, 0.0, True, 3, 2, 5.0), ("top", "leaf", 1.0, 0.0, False, 1, 1, 0.0), ("top", "mid", 1.0, 180.0, False, 1, 1, 0.0)]
+    assert rows(ingest.cell_boxes(shapes, instances)) == [("leaf", 0.0, 0.0, 2.0, 1.0), ("mid", 0.0, 0.0, 24.0, 9.0), ("top", -50.0, 0.0, 0.0, 9.0)]
+    labels = spark.createDataFrame([("leaf", 1, 0, 0.5, 0.5, "A")], "cell string, layer int, texttype int, x double, y double, text string")
+    assert ingest.label_rows(labels).schema.simpleString() == schemas.TEXTLABELS.simpleString()
