@@ -59,22 +59,22 @@ def unreachable_count(distances: DataFrame) -> DataFrame:
 def elimination_tree(entries: DataFrame) -> DataFrame:
     """Parent of each column in the elimination tree of a symmetric pattern ``(i, j)``; 0 for roots.
 
-    Works on the entries below the diagonal. The parent of j is the smallest row i > j with an entry
-    (filled entries included). Eliminating j joins its parent with j's other rows, so each round
-    hands every column's entries to its current parent, until no new entry appears.
+    The parent of column j is the smallest row i > j with an entry, filled entries included. Entries
+    below the diagonal are inserted in rounds: a column keeps the smallest row it has met as its
+    parent, and every other row, a displaced parent too, moves on as an entry of that parent's
+    column. Rows behind the parent need not be kept, since the parent's column answers for them, so
+    a round handles the moving entries and one number per column. It ends when nothing moves.
     """
-    pattern = entries.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).distinct()
-    columns = materialise(entries.select(F.col("i").alias("j")).union(entries.select("j")).distinct())
-    below = materialise(pattern.where("i > j"))
-    changed, rounds = True, 0
-    while changed:
-        parent = below.groupBy("j").agg(F.min("i").alias("parent"))
-        handed = below.join(parent, "j").where("i > parent").select("i", F.col("parent").alias("j")).distinct()
-        fresh, found = materialise_counted(handed.join(below, ["i", "j"], "left_anti"))
-        changed = found["rows"] > 0
-        below = below.unionByName(fresh)
-        rounds += 1
-        if rounds % 8 == 0:  # keep the number of files to scan small
-            below = materialise(below)
-    parent = below.groupBy("j").agg(F.min("i").alias("parent"))
-    return columns.join(parent, "j", "left").select(F.col("j").alias("node"), F.coalesce("parent", F.lit(0)).cast("bigint").alias("parent"))
+    columns = entries.select(F.explode(F.array("i", "j")).alias("j")).distinct()
+    parents = materialise(columns.withColumn("parent", F.lit(None).cast("bigint")))
+    below = entries.where("i <> j").select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).distinct()
+    moving, count = materialise_counted(below)
+    while count["rows"]:
+        met = moving.select("j", F.col("i").alias("row"))
+        held = parents.where("parent IS NOT NULL").join(moving.select("j"), "j", "left_semi").select("j", F.col("parent").alias("row"))
+        rows = met.unionByName(held).distinct()
+        smallest = rows.groupBy("j").agg(F.min("row").alias("_new"))
+        onward = rows.join(smallest, "j").where("row > _new").select(F.col("row").alias("i"), F.col("_new").alias("j"))
+        moving, count = materialise_counted(onward.distinct())
+        parents = materialise(parents.join(smallest, "j", "left").select("j", F.coalesce("_new", "parent").alias("parent")))
+    return parents.select(F.col("j").alias("node"), F.coalesce("parent", F.lit(0)).cast("bigint").alias("parent"))

@@ -26,6 +26,12 @@ def top_cells(df: DataFrame, cells: DataFrame, cell: str, child: str) -> DataFra
     return cells.select(cell).distinct().join(df.select(F.col(child).alias(cell)), cell, "left_anti")
 
 
+def first_top_shapes(shapes: DataFrame, df: DataFrame, cells: DataFrame, order_by: str) -> DataFrame:
+    """Shapes of the first top cell in the given order of ``cells``."""
+    tops = cells.join(df.select(F.col("RefCellName").alias("CellName")), "CellName", "left_anti")
+    return shapes.join(tops.orderBy(order_by).limit(1).select("CellName"), "CellName", "left_semi")
+
+
 def topological_levels(pairs: DataFrame) -> DataFrame:
     """Level of every node: leaves are 0, others one above their highest child: ``(name, level)``.
 

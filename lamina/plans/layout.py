@@ -161,6 +161,22 @@ def top_cells(spark, folder):
     return hierarchy.top_cells(rows, cells, "CellName", "RefCellName")
 
 
+@query("io3_top_shapes", f"""WITH {s.INSTANCES}, {s.BBOX}, tops AS (SELECT s_suppkey FROM supplier WHERE 'S' || s_suppkey NOT IN (SELECT "RefCellName" FROM instances))
+SELECT "CellName", "RefCellName", "X", "Y" FROM instances WHERE "CellName" = (SELECT 'S' || min(s_suppkey) FROM tops)""")
+def top_shapes(spark, folder):
+    """Rows of the first supplier that nothing refers to."""
+    rows = s.instances(spark, folder)
+    cells = table(spark, folder, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("CellName"), "s_suppkey")
+    return hierarchy.first_top_shapes(rows.select("CellName", "RefCellName", "X", "Y"), rows, cells, "s_suppkey")
+
+
+@query("a4_checked_extrema", f"WITH {s.COMPONENTS.split('),')[0]}) SELECT min(\"InstanceName\") AS min_value, max(\"InstanceName\") AS max_value FROM components")
+def checked_extrema(spark, folder):
+    from lamina.operators.grouping import extrema
+
+    return extrema(s.components(spark, folder), "InstanceName", strict=True)
+
+
 @query("g6_rectangles", f"WITH {s.STAIRCASE_BOXES} SELECT layer, polygon, xmin, ymin, xmax, ymax FROM stair_boxes")
 def rectangles(spark, folder):
     cut = s.staircases(spark, folder).select("layer", "polygon", F.explode(polygons.slab_rectangles(c("ring"))).alias("b"))

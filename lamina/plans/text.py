@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lamina import schemas
 from lamina.constants import literal_rows
 from lamina.durable import shared_folder
 from lamina.functions.scalars import general_text
@@ -47,6 +48,36 @@ def replace_table(spark, folder):
     return spark.read.parquet(tables.replace_table(current.withColumn("s_acctbal", c("s_acctbal") + 1), base, "supplier"))
 
 
+@query("io5_persist", f"""WITH {s.BBOX}, {s.INSTANCES} SELECT i."CellName", count(*) AS n, sum("XMAX") AS width FROM instances i JOIN bbox b ON "RefCellName" = b."CellName" GROUP BY 1""")
+def persist(spark, folder):
+    base = _scratch(spark)
+    tables.persist({"bbox": s.bbox(spark, folder), "instances": s.instances(spark, folder).select("CellName", "RefCellName")}, base)
+    tables.register_views({n: spark.read.parquet(f"{base}/{n}.parquet") for n in ("bbox", "instances")})
+    return spark.sql("SELECT i.CellName, count(*) AS n, sum(XMAX) AS width FROM instances i JOIN bbox b ON RefCellName = b.CellName GROUP BY 1")
+
+
+@query("io26_typed_pipe", f"WITH {s.BBOX} SELECT * FROM bbox")
+def typed_pipe(spark, folder):
+    path = _scratch(spark)
+    tables.pipe(s.bbox(spark, folder), schemas.BBOX, path)
+    return spark.read.parquet(path)
+
+
+@query("io15_technology", """SELECT 'METAL' AS block, 'm' || p_partkey AS name, CAST(p_size AS BIGINT) AS layer, p_retailprice AS height, CAST(NULL AS VARCHAR) AS top FROM part
+UNION ALL SELECT 'VIA', 'v' || s_suppkey, CAST(s_nationkey AS BIGINT), NULL, 'm' || (s_suppkey + 1) FROM supplier""")
+def technology(spark, folder):
+    parts, suppliers = table(spark, folder, "part"), table(spark, folder, "supplier")
+    n, m = parts.count(), suppliers.count()
+    metal = parts.select((c("p_partkey") + 3).alias("line"), F.concat_ws("\t", F.concat(F.lit("m"), "p_partkey"), "p_size", F.lit("20"), "p_retailprice", F.lit("0.36")).alias("value"))
+    via = suppliers.select((c("s_suppkey") + n + 5).alias("line"), F.concat_ws(" ", F.concat(F.lit("v"), "s_suppkey"), "s_nationkey", F.lit("44"), F.concat(F.lit("m"), "s_suppkey"),
+                                                                            F.concat(F.lit("m"), c("s_suppkey") + 1)).alias("value"))
+    fixed = literal_rows(spark, [(1, "METAL{"), (2, "# name, layer, datatype, height, thickness"), (n + 3, "}"), (n + 4, "VIA{"), (n + m + 5, "}")], "line bigint, value string")
+    metals, vias = dielectric.parse_technology(fixed.unionByName(metal).unionByName(via).withColumn("file", F.lit("tech")))
+    none = F.lit(None)
+    return metals.select(F.lit("METAL").alias("block"), "name", "layer", "height", none.cast("string").alias("top")).unionByName(
+        vias.select(F.lit("VIA").alias("block"), "name", "layer", none.cast("double").alias("height"), "top"))
+
+
 @query("io12_copy_tables", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def copy_tables(spark, folder):
     base = _scratch(spark)

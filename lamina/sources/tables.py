@@ -12,8 +12,6 @@ from lamina.checks import require_columns, require_same_schema
 from lamina.operators.numbering import position_in_group
 from lamina.schemas import LAYOUT_TABLES
 
-OPTIONAL = ("defcomponents", "parentchild")
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Scan one table; its columns have to cover the declared ones."""

@@ -110,7 +110,7 @@ def etree(n, entries):
     return parent
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
 def test_elimination_tree(spark, seed):
     rng = random.Random(seed)
     n = 14
