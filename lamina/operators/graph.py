@@ -72,7 +72,7 @@ def elimination_tree(entries: DataFrame) -> DataFrame:
     while count["rows"]:
         met = moving.select("j", F.col("i").alias("row"))
         held = parents.where("parent IS NOT NULL").join(moving.select("j"), "j", "left_semi").select("j", F.col("parent").alias("row"))
-        rows = met.unionByName(held).distinct()
+        rows = met.unionByName(held)
         smallest = rows.groupBy("j").agg(F.min("row").alias("_new"))
         onward = rows.join(smallest, "j").where("row > _new").select(F.col("row").alias("i"), F.col("_new").alias("j"))
         moving, count = materialise_counted(onward.distinct())
