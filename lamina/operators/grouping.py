@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lamina.checks import StrictModeError
+from lamina.operators.numbering import order_key
 
 # Shape kinds that have an area rule; other kinds count as nothing.
 SHAPE_RECTANGLE, SHAPE_CIRCLE, SHAPE_POLYGON, SHAPE_TRAPEZOID = 1, 2, 3, 4
@@ -18,7 +19,7 @@ def first_seen_distinct(df: DataFrame, keys: Sequence[str], value: str, order_by
 
     This row form has no limit on group size; ``as_array`` folds it into one array per group.
     """
-    return df.groupBy(*keys, value).agg(F.min(F.struct(*order_by)).alias(name))
+    return df.groupBy(*keys, value).agg(F.min(order_key(order_by)).alias(name))
 
 
 def as_array(seen: DataFrame, keys: Sequence[str], value: str, order_by: str, name: str, max_items: int = 50_000_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.checks import require_columns, require_none, require_some
 from lamina.durable import materialise
-from lamina.operators.numbering import running_total
+from lamina.operators.numbering import order_key, running_total
 
 INTERVAL_LITERALS = 1_000  # interval tables up to this many rows become one CASE expression
 
@@ -45,7 +45,7 @@ def name_numbers(df: DataFrame, name: str, number: str, order_by: Sequence[str])
     return (
         df.where(F.col(name).isNotNull() & F.col(number).isNotNull())
         .groupBy(name)
-        .agg(F.max_by(number, F.struct(*order_by)).alias(number))
+        .agg(F.max_by(number, order_key(order_by)).alias(number))
     )
 
 
@@ -76,7 +76,7 @@ def first_match(
 
     The table is reduced to one row per key before the join, with partial aggregation.
     """
-    firsts = table.groupBy(*on.values()).agg(F.min_by(take, F.struct(*order_by)).alias("_take"))
+    firsts = table.groupBy(*on.values()).agg(F.min_by(take, order_key(order_by)).alias("_take"))
     return lookup(df, firsts, on, {"_take": name}, strict)
 
 

@@ -19,6 +19,11 @@ ROW_BITS = 33  # low bits of monotonically_increasing_id hold the row's position
 GROUP_LIMIT = 5_000_000  # groups above this many rows are numbered by ranges instead of one window task
 
 
+def order_key(order_by: Sequence[str]) -> Column:
+    """One comparable value for an ordering; a single column stays as it is, which hashes cheaply."""
+    return F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+
+
 def _range_parts(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
@@ -89,7 +94,8 @@ def running_total(
     scratch = ["_part", "_row", "_inside", "_offset"]
     if not group_by:
         return total.drop(*scratch)
-    base = total.groupBy(*group_by).agg(F.min_by(name, F.struct("_part", "_row")).alias("_base"))
+    place = F.col("_part").cast("bigint") * (1 << ROW_BITS) + F.col("_row")
+    base = total.groupBy(*group_by).agg(F.min_by(name, place).alias("_base"))
     return total.join(base, list(group_by)).withColumn(name, F.col(name) - F.col("_base")).drop(*scratch, "_base")
 
 
@@ -98,7 +104,7 @@ def dictionary_encode(df: DataFrame, value: str, order_by: Sequence[str], name:
 
     The table is the two-way dictionary; join on ``value`` to encode and on ``name`` to decode.
     """
-    first = df.groupBy(value).agg(F.min(F.struct(*order_by)).alias("_first"))
+    first = df.groupBy(value).agg(F.min(order_key(order_by)).alias("_first"))
     return global_position(first, ["_first"], name).select(value, name)
 
 
