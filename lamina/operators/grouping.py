@@ -22,7 +22,7 @@ def first_seen_distinct(df: DataFrame, keys: Sequence[str], value: str, order_by
     return df.groupBy(*keys, value).agg(F.min(order_key(order_by)).alias(name))
 
 
-def as_array(seen: DataFrame, keys: Sequence[str], value: str, order_by: str, name: str, max_items: int = 50_000_000) -> DataFrame:
+def as_array(seen: DataFrame, keys: Sequence[str], value: str, order_by: str, name: str, max_items: int = 5_000_000) -> DataFrame:
     """Fold ``first_seen_distinct`` rows into arrays in first-seen order.
 
     An array has to fit in one row: groups above ``max_items`` are refused, and the row form

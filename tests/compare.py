@@ -11,6 +11,9 @@ import time
 import duckdb
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def connect(folder):
     con = duckdb.connect()
     for path in glob.glob(f"{folder}/*.parquet"):
@@ -33,13 +36,6 @@ def rows_of(names, rows):
     return [names[k] for k in order], sorted(tuple(_cell(r[k]) for k in order) for r in rows)
 
 
-def types_of(rows, width):
-    kinds = []
-    for k in range(width):
-        kinds.append(next((type(r[k]).__name__ for r in rows if r[k] is not None), "None"))
-    return kinds
-
-
 def difference(df, con, sql):
     """Empty text when both sides agree, else what differs first."""
     got = [tuple(r) for r in df.collect()]
@@ -55,8 +51,8 @@ def difference(df, con, sql):
         if a != b:
             bad = sum(x != y for x, y in zip(gr, wr))
             return f"{bad} of {len(gr)} differ: {a} / {b}"
-    gk = dict(zip(df.columns, types_of(got, len(gn))))
-    wk = dict(zip(want_names, types_of(want, len(wn))))
+    gk = {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
+    wk = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
     return "" if gk == wk else f"types {gk} / {wk}"
 
 
