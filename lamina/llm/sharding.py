@@ -2,9 +2,9 @@
 
 Every document starts in a shard by hash. In each round the documents of a text vote for the shard that
 holds most of them; those elsewhere ask to move, in units of bounded size, and each pair of shards lets
-as many units through as keeps both within their quota. A last pass numbers the documents in the order
-of their shards and texts and cuts that order into equal runs, so counts are at most one apart and each
-of the cuts parts one text at most. Only DataFrame functions run here.
+as many units through as keeps both within their quota. A last pass brings each unit together where most
+of it is, numbers the documents in the order of their shards and texts and cuts that order into equal
+runs, so counts are at most one apart and each of the cuts parts one unit at most. Only DataFrame functions run here.
 """
 
 from __future__ import annotations
@@ -66,6 +66,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     rows = compact.select("row", "text").join(groups, "text")
     rows = materialise(rows.select("row", "text", F.pmod(F.xxhash64("row"), parts).alias("unit"), (F.col("members") > 1).alias("linked"), start.alias("shard")))
     rows = _propagate(rows, shards, total)
+    # what the quotas left behind follows its unit; the last pass evens out the counts
+    held = rows.where("linked").groupBy("text", "unit", "shard").agg(F.count(F.lit(1)).alias("votes"))
+    home = held.groupBy("text", "unit").agg(F.max_by("shard", F.struct("votes", "shard")).alias("home"))
+    rows = rows.join(home, ["text", "unit"], "left").withColumn("shard", F.coalesce("home", "shard"))
     placed = global_position(rows.select("row", "text", "unit", "shard"), ["shard", "text", "unit", "row"], "pos")
     # whole numbers: pos - 1 lies in shard s when s * total <= (pos - 1) * shards < (s + 1) * total
     new = F.expr(f"((pos - 1) * {shards}) div {max(1, total)}")
