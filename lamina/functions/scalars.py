@@ -128,10 +128,10 @@ def fibonacci(n: int) -> Column:
 
 
 def fibonacci_number(n: Column) -> Column:
-    """fib(n) with fib(0) = 0 and fib(1) = 1 (n up to 92), by running the pair (a, b) forward."""
+    """fib(n) with fib(0) = 0 and fib(1) = 1, by running the pair (a, b) forward; null above 92, beyond bigint."""
     start = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(1).cast("bigint").alias("b"))
     steps = F.array_repeat(F.lit(0), n.cast("int"))
-    return F.aggregate(steps, start, lambda s, _: F.struct(s["b"].alias("a"), F.coalesce(F.try_add(s["a"], s["b"]), F.lit(0)).alias("b")), lambda s: s["a"])
+    return F.aggregate(steps, start, lambda s, _: F.struct(s["b"].alias("a"), F.try_add(s["a"], s["b"]).alias("b")), lambda s: s["a"])
 
 
 def general_text(value: Column, digits: int = 12) -> Column:

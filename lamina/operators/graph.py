@@ -20,15 +20,14 @@ def neighbours_of(edges: DataFrame, node: object) -> DataFrame:
     return edges.where(F.col("src") == F.lit(node)).select("src", "dst", "w")
 
 
-def shortest_distances(edges: DataFrame, source: object, strict: bool = False) -> DataFrame:
+def shortest_distances(edges: DataFrame, source: object) -> DataFrame:
     """Distance from ``source`` to every node it reaches, for weights of zero or more.
 
     Each round relaxes only the edges leaving nodes whose distance fell in the round before, and
     keeps the smallest candidate per node; it ends when nothing falls.
     """
-    if strict:
-        require_none(edges.where("w < 0"), "negative weight")
     edges = materialise(edges)
+    require_none(edges.where("w < 0"), "negative weight")  # with one the rounds might never end
     node = edges.select(F.col("src").alias("node")).where(F.col("node") == F.lit(source)).limit(1)
     best = materialise(node.withColumn("dist", F.lit(0.0)))
     if best.isEmpty():

@@ -17,20 +17,16 @@ SHAPE_RECTANGLE, SHAPE_CIRCLE, SHAPE_POLYGON, SHAPE_TRAPEZOID = 1, 2, 3, 4
 def first_seen_distinct(df: DataFrame, keys: Sequence[str], value: str, order_by: Sequence[str], name: str) -> DataFrame:
     """Distinct values of each group with the place of their first appearance, one row each.
 
-    This row form has no limit on group size; ``as_array`` folds it into one array per group.
+    This row form suits groups of any size; ``as_array`` folds it into one array per group.
     """
     return df.groupBy(*keys, value).agg(F.min(order_key(order_by)).alias(name))
 
 
-def as_array(seen: DataFrame, keys: Sequence[str], value: str, order_by: str, name: str, max_items: int = 5_000_000) -> DataFrame:
+def as_array(seen: DataFrame, keys: Sequence[str], value: str, order_by: str, name: str) -> DataFrame:
     """Fold ``first_seen_distinct`` rows into arrays in first-seen order.
 
-    An array has to fit in one row: groups above ``max_items`` are refused, and the row form
-    carries them instead.
+    An array has to fit in one row; the row form has no such bound and suits groups of any size.
     """
-    largest = seen.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_items:
-        raise StrictModeError(f"a group has {largest} distinct values; use the row form")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("o"), F.col(value).alias("v"))))
     return seen.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias(name))
 
@@ -69,16 +65,17 @@ def active_area(area: Column, color: Column, active: Column | int) -> Column:
 def histogram(df: DataFrame, value: Column, bins: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Counts in ``bins`` equal bins, empty ones included: bin, low, high, count, frequency.
 
-    A value at the upper end goes to the last bin.
+    A value at or above the upper end goes to the last bin. Values below ``low`` are counted in a row
+    with bin 0 and nulls in one with a null bin, if there are any; frequencies are shares of all rows.
     """
     width = (high - low) / bins
-    place = F.least(F.floor((value - low) / width) + 1, F.lit(bins))
+    place = F.when(value.isNotNull(), F.greatest(F.least(F.floor((value - low) / width) + 1, F.lit(bins)), F.lit(0)))
     counts = df.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
     grid = df.sparkSession.range(1, bins + 1).withColumnRenamed("id", "bin")
-    filled = grid.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    filled = grid.join(counts, "bin", "full").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy())  # over the bins only
     return filled.select(
-        "bin", (F.lit(low) + (F.col("bin") - 1) * width).alias("bin_low"), (F.lit(low) + F.col("bin") * width).alias("bin_high"),
+        "bin", F.when(F.col("bin") > 0, F.lit(low) + (F.col("bin") - 1) * width).alias("bin_low"), (F.lit(low) + F.col("bin") * width).alias("bin_high"),
         "n", (F.col("n") / total).alias("freq"))
 
 

@@ -1,7 +1,7 @@
-"""Gram matrices of tall dense tables and the small diagnostics computed from them.
+"""Gram matrices of tall dense tables.
 
-A table holds one row vector per record. Partitions reduce to d x d partial Gram matrices; what
-follows works on d x d numbers, whose size depends on the vector width and not on the row count.
+A table holds one row vector per record. Every batch of rows gives a partial Gram matrix, sent on in
+blocks of columns and summed by place.
 """
 
 from __future__ import annotations
@@ -12,128 +12,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-MAX_WIDTH = 4_096  # d x d entries handled by one task
+COLUMNS = 512  # columns in a block of the Gram matrix
 
 
 def gram(df: DataFrame, vector: str, shift: float = 0.0) -> DataFrame:
     """Column Gram matrix ``M' M + shift I`` as ``(i, j, v)`` with 1-based indices."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
         for batch in batches:
             if len(batch):
                 m = np.stack(batch["v"].to_numpy()).astype(np.float64)
-                total = m.T @ m if total is None else total + m.T @ m
-        if total is not None:
-            d = len(total)
-            if d > MAX_WIDTH:
-                raise ValueError(f"vectors of width {d} exceed {MAX_WIDTH}")
-            i, j = np.divmod(np.arange(d * d), d)
-            yield pd.DataFrame({"i": i + 1, "j": j + 1, "v": total.ravel()})
+                for k in range(0, m.shape[1], COLUMNS):
+                    block = m.T @ m[:, k:k + COLUMNS]
+                    i, j = np.divmod(np.arange(block.size), block.shape[1])
+                    yield pd.DataFrame({"i": i + 1, "j": j + k + 1, "v": block.ravel()})
 
     parts = df.select(F.col(vector).alias("v")).mapInPandas(partial, "i bigint, j bigint, v double")
     summed = parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
     return summed.withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), F.lit(shift)).otherwise(F.lit(0.0)))
-
-
-def _dense(entries: pd.DataFrame) -> np.ndarray:
-    d = int(entries["i"].max())
-    m = np.zeros((d, d))
-    m[entries["i"].to_numpy() - 1, entries["j"].to_numpy() - 1] = entries["v"].to_numpy()
-    return m
-
-
-def _small(entries: DataFrame, function, schema: str) -> DataFrame:
-    """Apply ``function`` to the d x d matrix; the group is bounded by the vector width."""
-    return entries.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda pdf: function(_dense(pdf)), schema)
-
-
-def kaporin(entries: DataFrame) -> DataFrame:
-    """``log(tr G / r) - logdet G / r`` of a positive definite matrix."""
-
-    def exact(g: np.ndarray) -> pd.DataFrame:
-        r = len(g)
-        logdet = 2.0 * np.log(np.diag(np.linalg.cholesky(g))).sum()
-        return pd.DataFrame({"kaporin": [np.log(np.trace(g) / r) - logdet / r]})
-
-    return _small(entries, exact, "kaporin double")
-
-
-def lanczos(g: np.ndarray, start: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Diagonal and off-diagonal of the Krylov projection of a symmetric matrix."""
-    q, last, beta = start / np.linalg.norm(start), np.zeros_like(start), 0.0
-    diagonal, off = [], []
-    for step in range(steps):
-        w = g @ q - beta * last
-        diagonal.append(q @ w)
-        w = w - diagonal[-1] * q
-        beta = np.linalg.norm(w)
-        if step == steps - 1 or beta < 1e-12:
-            break
-        off.append(beta)
-        last, q = q, w / beta
-    return np.array(diagonal), np.array(off)
-
-
-def randomized_kaporin(entries: DataFrame, probes: int = 10, steps: int = 30, seed: int = 42) -> DataFrame:
-    """Stochastic estimate: sign probes for the trace, Lanczos quadrature for the log-determinant."""
-
-    def estimate(g: np.ndarray) -> pd.DataFrame:
-        n, rng = len(g), np.random.default_rng(seed)
-        trace = logdet = 0.0
-        for _ in range(probes):
-            v = rng.choice([-1.0, 1.0], n)
-            trace += v @ g @ v
-            a, b = lanczos(g, v, min(steps, n))
-            values, vectors = np.linalg.eigh(np.diag(a) + np.diag(b, 1) + np.diag(b, -1))
-            logdet += n * (vectors[0] ** 2) @ np.log(np.maximum(values, 1e-12))
-        return pd.DataFrame({"kaporin": [np.log(trace / probes / n) - logdet / probes / n]})
-
-    return _small(entries, estimate, "kaporin double")
-
-
-def singular_values(entries: DataFrame) -> DataFrame:
-    """``(k, s)`` with the singular values behind a Gram matrix, largest first."""
-
-    def values(g: np.ndarray) -> pd.DataFrame:
-        s = np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1], 0.0))
-        return pd.DataFrame({"k": np.arange(1, len(s) + 1), "s": s})
-
-    return _small(entries, values, "k bigint, s double")
-
-
-def rank_factors(df: DataFrame, row_id: str, vector: str, rank: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rank-``rank`` SVD factors of a tall matrix M ~ B A, with B = U sqrt(S) and A = sqrt(S) V'.
-
-    V and S come from the Gram matrix; every task projects its own rows. Returns ``A (k, j, v)``,
-    ``B (row_id, k, v)`` and ``S (k, s)``.
-    """
-
-    def decompose(g: np.ndarray) -> pd.DataFrame:
-        values, vectors = np.linalg.eigh(g)
-        s = np.sqrt(np.maximum(values[::-1][:rank], 0.0))
-        v = vectors[:, ::-1][:, :rank]
-        v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
-        k, j = np.divmod(np.arange(v.size), len(v))
-        return pd.DataFrame({"k": k + 1, "j": j + 1, "s": s[k], "v": v.T.ravel()})
-
-    # rank x width rows, at most MAX_WIDTH squared
-    small = _small(gram(df, vector), decompose, "k bigint, j bigint, s double, v double").toPandas()
-    spark = df.sparkSession
-    v = np.zeros((int(small["j"].max()), int(small["k"].max())))
-    v[small["j"] - 1, small["k"] - 1] = small["v"]
-    s = small.groupby("k")["s"].first().to_numpy()
-    scale = np.divide(1.0, np.sqrt(s), out=np.zeros_like(s), where=s > 0)
-    to_b = v * scale  # M V S^-1/2 = U S^1/2
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                b = np.stack(batch["v"].to_numpy()).astype(np.float64) @ to_b
-                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), b.shape[1]),
-                                    "k": np.tile(np.arange(1, b.shape[1] + 1), len(b)), "v": b.ravel()})
-
-    rows = df.select(F.col(row_id).alias("id"), F.col(vector).alias("v"))
-    b = rows.mapInPandas(project, "id bigint, k bigint, v double").withColumnRenamed("id", row_id)
-    a = spark.createDataFrame(small.assign(v=np.sqrt(small["s"]) * small["v"])[["k", "j", "v"]])
-    return a, b, spark.createDataFrame(pd.DataFrame({"k": np.arange(1, len(s) + 1), "s": s}))

@@ -16,7 +16,6 @@ from lamina.checks import StrictModeError
 from lamina.durable import materialise
 
 ROW_BITS = 33  # low bits of monotonically_increasing_id hold the row's position in its partition
-GROUP_LIMIT = 5_000_000  # groups above this many rows are numbered by ranges instead of one window task
 
 
 def order_key(order_by: Sequence[str]) -> Column:
@@ -50,28 +49,13 @@ def global_position(df: DataFrame, order_by: Sequence[str | Column], name: str =
     )
 
 
-def position_in_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    name: str = "inum",
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Add a dense 1-based position inside each group.
-
-    Ordinary groups use one window; groups above ``group_limit`` rows are numbered by ranges and
-    shifted by the position of their first row.
-    """
-    by_key = Window.partitionBy(*keys).orderBy(*order_by)
-    heavy = df.groupBy(*keys).count().where(F.col("count") > group_limit).select(*keys)
-    if heavy.isEmpty():
-        return df.withColumn(name, F.row_number().over(by_key).cast("bigint"))
-    heavy = materialise(heavy)  # at most rows / group_limit keys
-    light = df.join(heavy, list(keys), "left_anti").withColumn(name, F.row_number().over(by_key).cast("bigint"))
-    hot = global_position(df.join(heavy, list(keys), "left_semi"), [*keys, *order_by], name)
-    starts = hot.groupBy(*keys).agg(F.min(name).alias("_start"))
-    hot = hot.join(starts, list(keys)).withColumn(name, F.col(name) - F.col("_start") + 1).drop("_start")
-    return light.unionByName(hot)
+def position_in_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str = "inum") -> DataFrame:
+    """Add a dense 1-based position inside each group: the global position less that of the group's first row."""
+    placed = global_position(df, [*keys, *order_by], "_at")
+    starts = placed.groupBy(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)]).agg(F.min("_at").alias("_start"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{n}")) for n, k in enumerate(keys)]
+    numbered = placed.join(starts, same)
+    return numbered.withColumn(name, F.col("_at") - F.col("_start") + 1).select(*df.columns, name)
 
 
 def running_total(

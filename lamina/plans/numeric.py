@@ -177,12 +177,12 @@ def fibonacci(spark, folder):
 # ---- areas, histograms, norms, diagnostics --------------------------------------------------
 
 @query("a10_cond_area", f"""WITH t AS (SELECT l_linenumber % 4 + 1 AS kind, l_suppkey % 3 AS color, l_quantity AS w, l_discount AS h, l_tax AS r FROM lineitem)
-SELECT color, round(sum(CASE kind WHEN 1 THEN w * h WHEN 2 THEN {PI} * r * r ELSE 0 END), 4) AS area FROM t GROUP BY color""")
+SELECT color, round(sum(CASE WHEN color <> 1 THEN 0 WHEN kind = 1 THEN w * h WHEN kind = 2 THEN {PI} * r * r ELSE 0 END), 4) AS area FROM t GROUP BY color""")
 def conditional_area(spark, folder):
-    """Area of every colour in one pass: each row is active for its own colour."""
+    """Active area by colour, where colour 1 is active: the others have none."""
     area = grouping.shape_area(c("l_linenumber") % 4 + 1, c("l_quantity"), c("l_discount"), c("l_tax"))
     color = c("l_suppkey") % 3
-    return table(spark, folder, "lineitem").groupBy(color.alias("color")).agg(F.round(grouping.active_area(area, color, color), 4).alias("area"))
+    return table(spark, folder, "lineitem").groupBy(color.alias("color")).agg(F.round(grouping.active_area(area, color, F.lit(1)), 4).alias("area"))
 
 
 def _pi_histogram(spark, folder, bins=10):
@@ -417,27 +417,6 @@ def gram(spark, folder):
     return lowrank.gram(table(spark, folder, "embeddings"), "embedding", 1e-4).select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query("l7_kaporin")
-def kaporin(spark, folder):
-    return lowrank.kaporin(lowrank.gram(table(spark, folder, "embeddings"), "embedding", 1e-4))
-
-
-@query("l8_randomized_kaporin")
-def randomized_kaporin(spark, folder):
-    return lowrank.randomized_kaporin(lowrank.gram(table(spark, folder, "embeddings"), "embedding", 1e-4))
-
-
-@query("l9_rank_factors")
-def rank_factors(spark, folder):
-    _, b, _ = lowrank.rank_factors(table(spark, folder, "embeddings"), "vec_id", "embedding", 16)
-    return b
-
-
-@query("a20_spectrum_rank")
-def spectrum_rank(spark, folder):
-    return grouping.effective_rank(lowrank.singular_values(lowrank.gram(table(spark, folder, "embeddings"), "embedding")), "s")
-
-
 # ---- graphs ---------------------------------------------------------------------------------
 
 WALK = f"""{s.SUPPLY_GRAPH},

@@ -42,6 +42,7 @@ def test_fibonacci_and_factorial(spark):
     assert one(spark, scalars.fibonacci(10))[0] == [1, 1, 2, 3, 5, 8, 13, 21, 34, 55]
     assert one(spark, scalars.fibonacci(92))[0][-1] == 7540113804746346429
     assert one(spark, *[scalars.fibonacci_number(F.lit(n)) for n in (0, 1, 2, 10, 92)]) == (0, 1, 1, 55, 7540113804746346429)
+    assert one(spark, *[scalars.fibonacci_number(F.lit(n)) for n in (93, 94, 95)]) == (None, None, None)
     assert [r[0] for r in spark.range(6).select(scalars.factorial(c("id").cast("int"))).collect()] == [math.factorial(n) for n in range(6)]
 
 
@@ -146,6 +147,12 @@ def test_histogram_keeps_empty_bins_and_clamps(spark):
     assert grouping.max_deviation(hist, 4).first()[0] == pytest.approx(0.25)
 
 
+def test_histogram_counts_every_row(spark):
+    df = spark.createDataFrame([(-3.0,), (None,), (0.1,), (7.0,)], "x double")
+    got = {r["bin"]: (r["n"], r["freq"]) for r in grouping.histogram(df, c("x"), 2).collect()}
+    assert got == {None: (1, 0.25), 0: (1, 0.25), 1: (1, 0.25), 2: (1, 0.25)}
+
+
 def test_areas_and_midpoints(spark):
     shapes = spark.createDataFrame([(1, 1, 2.0, 3.0, None), (2, 2, None, None, 5.0), (1, 1, 4.0, 4.0, None), (3, 1, 9.0, 9.0, 9.0)], "kind int, color int, w double, h double, r double")
     area = grouping.shape_area(c("kind"), c("w"), c("h"), c("r"))
