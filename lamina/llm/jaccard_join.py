@@ -33,13 +33,16 @@ from lamina.durable import materialise
 from lamina.llm.components import connected_components, smallest_labels
 from lamina.llm.words import hash_words, hashed, runs, texts_of, within, words_of
 
-GROUP = 64  # larger column groups go to panels instead of pairs
-COMMON, COMMON_LEAST = 1 << 17, 16  # length of the list of common shingles, and least count to be on it
+GROUP = 16  # larger column groups go to panels instead of pairs
+COMMON, COMMON_LEAST = 1 << 17, 4  # length of the list of common shingles, and least count to be on it
+SHARED = 2  # documents of a batch that must have a shingle for the batch to report it
 COLUMN_BLOCK = 1_000_000  # prefix entries in a block of columns
 ROW_BLOCK, ROW_BLOCK_SHINGLES = 1024, 1_000_000  # documents and shingles in a block of rows
 FILTER_BITS = 1 << 24  # fixed size of the filter for documents that are in any panel
 _STEP = 200_000  # words handled together
 
+_BYTES = 6  # of a shingle's hash; two sets of a thousand meet by chance once in 10^8 pairs
+_MASK = np.uint64((1 << 8 * _BYTES) - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,6 +52,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    return shingles.view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+
+
+def _unpacked(parts: list[bytes]) -> np.ndarray:
+    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, _BYTES)
+    wide = np.zeros((len(data), 8), np.uint8)
+    wide[:, :_BYTES] = data
+    return wide.view(np.uint64).ravel()
+
+
 def shingle_sets(texts: list[bytes | None], size: int, known) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the word shingles of each text; a shorter text is one shingle."""
     def flush(parts: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -56,14 +70,14 @@ def shingle_sets(texts: list[bytes | None], size: int, known) -> Iterator[np.nda
         sums = np.zeros(max(0, len(words) - size + 1), np.uint64)
         for k in range(size):
             sums = sums * _MULTIPLIER + words[k:k + len(sums)]
-        sums, start = _mix(sums), 0
+        sums, start = _mix(sums) & _MASK, 0
         for part in parts:
             n = len(part)
             if n >= size:
                 own = np.sort(sums[start:start + n - size + 1])
                 yield own[np.concatenate([[True], own[1:] != own[:-1]])]
             elif n:
-                yield np.array([xxhash.xxh3_64_intdigest(part.tobytes(), seed=n)], np.uint64)
+                yield np.array([xxhash.xxh3_64_intdigest(part.tobytes(), seed=n)], np.uint64) & _MASK
             else:
                 yield part
             start += n
@@ -86,7 +100,7 @@ def _sets(size: int) -> Callable:
                 piece = batch.slice(part.start, part.stop - part.start)
                 counts, classes, sets = [], [], []
                 for own in shingle_sets(texts_of(piece, "text"), size, known):
-                    data = own.tobytes()
+                    data = _packed(own)
                     name = xxhash.xxh3_64_intdigest(data, seed=len(own)) - (1 << 63)
                     counts.append(len(own))
                     classes.append(name)
@@ -102,14 +116,14 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     sizes = batch.column("n").to_numpy()
     for part in runs(sizes, 4_000_000):
         piece = batch.slice(part.start, part.stop - part.start)
-        yield piece.column("class").to_numpy(), piece.column("n").to_numpy(), np.frombuffer(b"".join(piece.column("shingles").to_pylist()), np.uint64)
+        yield piece.column("class").to_numpy(), piece.column("n").to_numpy(), _unpacked(piece.column("shingles").to_pylist())
 
 
 def _shared_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, shingles in _rows(batch):
             values, counts = np.unique(shingles, return_counts=True)
-            many = counts >= 3
+            many = counts >= SHARED
             yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])], ["shingle", "count"])
 
 
@@ -144,7 +158,7 @@ def _prefixes(common, blocks: int, percent: int) -> Callable:
                 for s, e in zip(cuts, ends):
                     own = entry[s:e]
                     columns["block"].append(int(block[s]))
-                    columns["shingles"].append(shingles[own].tobytes())
+                    columns["shingles"].append(_packed(shingles[own]))
                     columns["classes"].append(classes[row[own]].tobytes())
                     columns["sizes"].append(n[row[own]].astype(np.int32).tobytes())
                     columns["hot"].append(np.packbits(hot[s:e]).tobytes())
@@ -158,7 +172,7 @@ def _column_product(percent: int, group: int) -> Callable:
     """Rows ``(a, b, na, nb)``: pairs of classes that meet once more; membership has ``nb`` null and the shingle as ``b``."""
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        shingles, classes, sizes = join("shingles", np.uint64), join("classes", np.int64), join("sizes", np.int32)
+        shingles, classes, sizes = _unpacked(table.column("shingles").to_pylist()), join("classes", np.int64), join("sizes", np.int32)
         hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=len(c) // 8) for h, c in zip(table.column("hot").to_pylist(), table.column("classes").to_pylist())]).astype(bool)
         named = np.flatnonzero(hot)
         rest = np.flatnonzero(~hot)
@@ -228,7 +242,7 @@ def _row_product(percent: int) -> Callable:
             names = own.column("class").to_numpy()[order]
             order = order[np.concatenate([[True], names[1:] != names[:-1]])] if len(order) else order
             own = own.take(pa.array(order))
-            blocks.append((own.column("class").to_numpy(), own.column("copies").to_numpy(), own.column("n").to_numpy(), np.frombuffer(b"".join(own.column("shingles").to_pylist()), np.uint64)))
+            blocks.append((own.column("class").to_numpy(), own.column("copies").to_numpy(), own.column("n").to_numpy(), _unpacked(own.column("shingles").to_pylist())))
         (ca, wa, na, sa), (cb, wb, nb, sb) = blocks
         diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         if diagonal:
@@ -287,7 +301,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = materialise(source.mapInArrow(_sets(size), "id bigint, n bigint, class bigint, shingles binary"))
     sets = rows.where("shingles IS NOT NULL").select("class", "n", "shingles")
-    classes = materialise(rows.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")))
+    classes = materialise(rows.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.min("n").alias("n")))
 
     often = sets.mapInArrow(_shared_within, "shingle bigint, count bigint").groupBy("shingle").agg(F.sum("count").alias("count"))
     often = often.where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas()  # of bounded length
@@ -306,18 +320,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = met.where("nb IS NULL").select("a", F.xxhash64("b").alias("b"))
     panels = materialise(connected_components(pairs.select("a", "b").unionByName(members)).select(F.col("node").alias("class"), F.col("component").alias("panel")))
 
-    inside = panels.join(classes, "class")
-    bits = spark.sparkContext.broadcast(_filter_of(inside.select("class")))
-    near = sets.mapInArrow(_in_filter(bits), "class bigint, n bigint, shingles binary")
-    near = materialise(near.dropDuplicates(["class"]).join(inside, "class"))
-    widths = near.groupBy("panel").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all")).where("docs > 1")
+    inside = materialise(panels.join(classes, "class"))
+    widths = inside.groupBy("panel").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all")).where("docs > 1")
     widths = widths.select("panel", F.greatest(F.ceil(F.col("docs") / ROW_BLOCK), F.ceil(F.col("all") / ROW_BLOCK_SHINGLES)).alias("width"))
-    placed = near.join(widths, "panel").withColumn("own", F.pmod(F.xxhash64("class"), "width"))
+    placed = inside.join(widths, "panel").withColumn("own", F.pmod(F.xxhash64("class"), "width"))
     # block i meets blocks 0..i as the first and i+1.. as the second side; i with i has one side only
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    tasks = placed.select(
+    placed = placed.select(
         "panel", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"),
-        F.when(F.col("own") >= F.col("other"), 0).otherwise(1).alias("side"), "class", "copies", "n", "shingles")
+        F.when(F.col("own") >= F.col("other"), 0).otherwise(1).alias("side"), "class", "copies")
+    bits = spark.sparkContext.broadcast(_filter_of(inside.select("class")))
+    near = sets.mapInArrow(_in_filter(bits), "class bigint, n bigint, shingles binary")
+    tasks = near.dropDuplicates(["class"]).join(placed, "class")
     found = materialise(tasks.groupBy("panel", "i", "j").applyInArrow(_row_product(percent), "class bigint, partner bigint, links bigint"))
     joined = connected_components(found.where("partner IS NOT NULL").select("class", "partner"))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
