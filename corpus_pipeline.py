@@ -10,8 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.durable import shared_folder
+from lamina.durable import materialise, shared_folder
 from lamina.llm import decontamination, exact_dedup, jaccard_join, packing, toxicity
+from lamina.llm.membership import split_by_keys
 from lamina.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,6 +22,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows of these ids; only what may be among them is shuffled."""
+    gone = materialise(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    maybe, kept = split_by_keys(docs.select(*COLUMNS), F.xxhash64("doc_id"), gone.select(F.xxhash64("_gone").alias("key")))
+    return kept.unionByName(maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the severity model doesn't reject."""
     model = toxicity.fit_severity(docs, _table(spark, folder, "labels"))
@@ -35,15 +43,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents; all without an id."""
     linked = jaccard_join.ngram_jaccard_join(docs)
-    dropped = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, linked.where("doc_id <> component_id").select("doc_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that leak no item of the benchmark."""
     leaks = decontamination.find_leaks(docs, _table(spark, folder, "benchmark"))
-    leaking = leaks.select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.select(*COLUMNS).join(leaking, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti").select(*COLUMNS)
+    return _without(docs, leaks.select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

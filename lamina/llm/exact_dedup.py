@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.durable import materialise
+from lamina.llm.membership import split_by_keys
 from lamina.llm.words import texts_of
 
 COUNTERS = 512  # Misra-Gries counters of a task: finds what holds over 1/512 of its rows
@@ -91,8 +92,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Only losers are looked up: a text without equals passes by an anti join on its digest. Rows that
-    repeat the winner's id and length leave one row.
+    Only texts that a filter of fixed size takes for repeated ones are shuffled; the others pass where
+    they are read. Rows that repeat the winner's id and length leave one row.
     """
     rows = settle(_compact(docs, id_col, text_col))
     twice = rows.where("group_size > 1")
@@ -102,7 +103,8 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "_digest": F.unhex(F.sha2(blank, 256)), "_id": F.col(id_col).cast("bigint"),
         "_chars": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint"), "_of": F.lit(1)})
     named = won.select(F.col("digest").alias("_digest"), F.col("id").alias("_winner"), F.col("chars").alias("_most"), "repeats")
-    held = keyed.join(named, "_digest", "left").where("repeats IS NULL OR (_id <=> _winner AND _chars = _most)")
+    maybe, alone = split_by_keys(keyed, F.xxhash64("_digest"), won.select(F.xxhash64("digest").alias("key")))
+    held = maybe.join(named, "_digest", "left").where("repeats IS NULL OR (_id <=> _winner AND _chars = _most)")
     once = held.where("repeats IS NULL OR repeats = 1").select(*docs.columns)
     again = held.where("repeats > 1").dropDuplicates(["_digest"]).select(*docs.columns)
-    return once.unionByName(again)
+    return alone.select(*docs.columns).unionByName(once).unionByName(again)
