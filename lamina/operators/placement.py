@@ -9,19 +9,8 @@ from lamina.operators.lookup import first_match, lookup
 
 DBU = 1000  # database units per micrometre
 
-# The eight placement orientations and the (dx, dy) each adds to a placement, in
-# terms of the cell box corners; "derived" swaps FE and FW as the mirror/rotation table implies.
+# The eight placement orientations in the order of their codes.
 ORIENTATIONS = ("N", "E", "S", "W", "FS", "FN", "FE", "FW")
-OFFSETS = {
-    "N": ("0", "0"),
-    "E": ("llx - lly", "lly + urx"),
-    "S": ("llx + urx", "lly + ury"),
-    "W": ("llx + ury", "lly - llx"),
-    "FS": ("0", "lly + ury"),
-    "FN": ("llx + urx", "0"),
-    "FE": ("llx + ury", "lly + urx"),
-    "FW": ("llx - lly", "lly - llx"),
-}
 
 
 def to_dbu(micrometres: Column) -> Column:
@@ -37,16 +26,18 @@ def orientation_code(text: Column) -> Column:
     return code
 
 
-def _offset(axis: int, orientation: Column, corners: dict[str, Column], table: str) -> Column:
-    names = {"FE": "FW", "FW": "FE"} if table == "derived" else {}
-    result = F.lit(None).cast("bigint")
-    for name in ORIENTATIONS:
-        terms = OFFSETS[names.get(name, name)][axis].split()
-        value = corners.get(terms[0], F.lit(0).cast("bigint"))
-        if len(terms) == 3:
-            value = value + corners[terms[2]] if terms[1] == "+" else value - corners[terms[2]]
-        result = F.when(orientation == name, value).otherwise(result)
-    return result
+def _offsets(orientation: Column, llx: Column, lly: Column, urx: Column, ury: Column, table: str) -> tuple[Column, Column]:
+    """What a placement's x and y move by, from the corners of the cell box; null for an unknown orientation.
+
+    "derived" swaps FE and FW as the mirror and rotation table implies.
+    """
+    fe, fw = ("FE", "FW") if table == "executed" else ("FW", "FE")
+    none = F.lit(0).cast("bigint")
+    dx = F.when(orientation.isin("N", "FS"), none).when(orientation.isin("E", fw), llx - lly)
+    dx = dx.when(orientation.isin("S", "FN"), llx + urx).when(orientation.isin("W", fe), llx + ury)
+    dy = F.when(orientation.isin("N", "FN"), none).when(orientation.isin("W", fw), lly - llx)
+    dy = dy.when(orientation.isin("E", fe), lly + urx).when(orientation.isin("S", "FS"), lly + ury)
+    return dx, dy
 
 
 def placed_origin(
@@ -55,8 +46,8 @@ def placed_origin(
     """Layout origin (DBU) of a placed component; null for an unknown orientation."""
     if table not in ("executed", "derived"):
         raise ValueError("table is 'executed' or 'derived'")
-    corners = dict(zip(("llx", "lly", "urx", "ury"), (to_dbu(b) for b in box_um)))
-    return tuple(p + _offset(axis, orientation, corners, table) for axis, p in enumerate((x, y)))
+    dx, dy = _offsets(orientation, *map(to_dbu, box_um), table)
+    return x + dx, y + dy
 
 
 def place_components(components: DataFrame, bbox: DataFrame, strict: bool = False, table: str = "executed") -> DataFrame:

@@ -15,6 +15,7 @@ from lamina.durable import shared_folder
 from lamina.functions.scalars import general_text
 from lamina.operators import polygons
 from lamina.operators.lookup import interval_lookup
+from lamina.operators.numbering import global_position
 from lamina.plans import standins as s
 from lamina.plans.registry import query, table
 from lamina.sources import delimited, dielectric, geo_text, layout_text, lines, matrices, mesh, netlist, placements, tables
@@ -209,12 +210,9 @@ def matrix_market(spark, folder):
 def matrix_market_read(spark, folder):
     path = _scratch(spark)
     lines.write_lines(matrices.matrix_market_lines(s.coo(spark, folder)), path, "value", ["line"])
-    # part files are read as one numbered text by name order
-    text = lines.read_lines(spark, path)
-    entries = text.where(~c("value").startswith("%")).withColumn("f", F.split("value", " "))
-    sizes = text.where(c("value").startswith("%")).select("file", (c("line") + 1).alias("line"))
-    return entries.join(sizes, ["file", "line"], "left_anti").select(
-        c("f")[0].cast("bigint").alias("i"), c("f")[1].cast("bigint").alias("j"), c("f")[2].cast("double").alias("v"))
+    # part files carry on the text of the one before: numbered by name, then line, they are one file again
+    text = global_position(lines.read_lines(spark, path), ["file", "line"], "at").select(F.lit("all").alias("file"), c("at").alias("line"), "value")
+    return matrices.parse_matrix_market(text)[0].select("i", "j", "v")
 
 
 @query("io21_list_literal", """WITH n AS (SELECT max(p_partkey) + 1 AS n FROM part)
@@ -227,7 +225,7 @@ def list_literal(spark, folder):
 STAIR_ROWS = f"""{s.STAIRCASE_BOXES}, st AS (SELECT layer + 1 AS layer, polygon, step, xmin, ymin, xmax, ymax FROM stair_boxes),
 bx AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY polygon, step) AS box, row_number() OVER (ORDER BY layer, polygon, step) AS id FROM st),
 rt AS (SELECT *, min(box) OVER (PARTITION BY layer, polygon) AS root FROM bx), tot AS (SELECT count(*) AS total FROM rt),
-e AS (SELECT min(xmin) - 500 AS xmin, min(ymin) - 500 AS ymin, max(xmax) + 500 AS xmax, max(ymax) + 500 AS ymax FROM rt WHERE layer <= 4)"""
+e AS (SELECT min(xmin) - 500 AS xmin, min(ymin) - 500 AS ymin, max(xmax) + 500 AS xmax, max(ymax) + 500 AS ymax FROM rt WHERE layer <> 3)"""
 
 
 def _num(x):
@@ -239,21 +237,21 @@ def _box_sql(n, *v):
 
 
 @query("io22_mesh_script", f"""WITH {STAIR_ROWS}, per AS (SELECT layer, count(*) AS freq FROM rt GROUP BY 1),
-cut AS (SELECT layer, freq, CAST(sum(freq) OVER (ORDER BY layer) AS BIGINT) AS stop, total + layer AS n FROM per, tot WHERE layer <= 4),
-grp AS (SELECT layer, root, count(*) AS freq FROM rt WHERE layer <= 4 GROUP BY 1, 2),
-gr AS (SELECT *, CAST(sum(freq) OVER (ORDER BY layer, root) AS BIGINT) AS stop, row_number() OVER (ORDER BY layer, root) AS g FROM grp)
-SELECT 1 AS section, layer AS number, {_box_sql("n", "xmin", "ymin", "layer * 100", "xmax - xmin", "ymax - ymin", "CASE WHEN layer < 4 THEN 160 ELSE 60 END")}
+spans AS (SELECT layer, freq, CAST(sum(freq) OVER (ORDER BY layer) AS BIGINT) AS stop, total + layer AS n FROM per, tot), cut AS (SELECT * FROM spans WHERE layer <> 3),
+grp AS (SELECT layer, root, min(id) AS low, max(id) AS high FROM rt WHERE layer <> 3 GROUP BY 1, 2),
+gr AS (SELECT *, row_number() OVER (ORDER BY layer, root) AS g FROM grp)
+SELECT 1 AS section, layer AS number, {_box_sql("n", "xmin", "ymin", "layer * 100", "xmax - xmin", "ymax - ymin", "CASE WHEN layer IN (1, 4) THEN 160 ELSE 60 END")}
   || ' // PhysicalGroup=' || n || ', layer=' || layer AS value FROM cut, e
 UNION ALL SELECT 2, id, {_box_sql("id", "xmin", "ymin", "layer * 100", "xmax - xmin", "ymax - ymin", "60")} || ' // id=' || id || ', layer=' || layer FROM rt
 UNION ALL SELECT 3, layer, 'my_fragments' || n || '() = BooleanFragments{{ Volume{{' || n || '}}; Delete; }}{{ Volume{{' || (stop - freq + 1) || ' : ' || stop || '}}; Delete; }};' FROM cut
-UNION ALL SELECT 4, g, 'Physical Volume("L_' || layer || '_R_' || root || '",' || (total + 99 + g) || ' ) = {{' || (stop - freq + 1) || ' : ' || stop || '}};' FROM gr, tot
+UNION ALL SELECT 4, g, 'Physical Volume("L_' || layer || '_R_' || root || '",' || (total + 99 + g) || ' ) = {{' || low || ' : ' || high || '}};' FROM gr, tot
 UNION ALL SELECT 5, layer, 'Physical Volume("Diel' || layer || '", ' || n || ') = my_fragments' || n || '();' FROM cut""")
 def mesh_script(spark, folder):
-    """Staircases on layers 1..4 as conductors and layer 5 as via."""
+    """Staircases on layers 1, 2, 4 and 5 as conductors and layer 3 as a via between them."""
     rings = s.staircases(spark, folder).withColumn("layer", c("layer") + 1)
     boxes = polygons.labelled_boxes(rings, ["layer"], ["polygon"])
     layer = rings.select("layer").distinct()
-    stack = layer.select("layer", (c("layer") * 100).alias("zmin"), (c("layer") * 100 + 60).alias("zmax"), (c("layer") == 5).alias("is_via"))
+    stack = layer.select("layer", (c("layer") * 100).alias("zmin"), (c("layer") * 100 + 60).alias("zmax"), (c("layer") == 3).alias("is_via"))
     return geo_text.box_script(boxes, stack)
 
 

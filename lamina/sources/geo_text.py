@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lamina.checks import require_none
+from lamina.durable import materialise
 from lamina.functions.scalars import general_text
 from lamina.operators.grouping import frequency
 from lamina.operators.numbering import global_position, running_total
@@ -49,11 +51,14 @@ def box_script(boxes: DataFrame, stack: DataFrame) -> DataFrame:
     """``(section, number, value)`` lines: slabs, boxes, cuts, groups, slab groups.
 
     ``boxes`` carry layer, box (order in the layer), root and extent; ``stack`` has layer, zmin,
-    zmax, is_via. Conductors get cuts and groups, vias only boxes.
+    zmax, is_via. Conductors get cuts and groups, vias only boxes; ranges are those of the box numbers,
+    which count vias too. A box on a layer that ``stack`` doesn't have is refused.
     """
+    require_none(boxes.join(stack, "layer", "left_anti"), "box on an unknown layer")
     conductors = stack.where(~F.col("is_via"))
-    metal = boxes.join(conductors.select("layer"), "layer", "left_semi")
-    per_layer = frequency(boxes, "layer")
+    numbered = materialise(global_position(extrude(boxes, stack), ["layer", "box"], "id"))
+    metal = numbered.join(conductors.select("layer"), "layer", "left_semi")
+    ends = [F.min("id").alias("first"), F.max("id").alias("last")]
     total = boxes.agg(F.count("*").alias("total")).scalar()
 
     slabs = dielectric_slabs(metal, conductors).withColumn("_n", total + F.col("layer"))
@@ -62,20 +67,18 @@ def box_script(boxes: DataFrame, stack: DataFrame) -> DataFrame:
         F.concat(box_text(F.col("_n"), *[F.col(c) for c in ("xmin", "ymin", "z0", "dx", "dy", "dz")]),
                  F.format_string(" // PhysicalGroup=%d, layer=%d", F.col("_n").cast("bigint"), F.col("layer").cast("bigint"))).alias("value"))
 
-    numbered = global_position(extrude(boxes, stack), ["layer", "box"], "id")
     lines = lines.unionByName(numbered.select(
         F.lit(2).alias("section"), F.col("id").alias("number"),
         F.concat(box_text(F.col("id"), *[F.col(c) for c in ("xmin", "ymin", "zmin", "dx", "dy", "dz")]),
                  F.format_string(" // id=%d, layer=%d", F.col("id"), F.col("layer").cast("bigint"))).alias("value")))
 
-    spans = running_total(per_layer.join(conductors.select("layer"), "layer", "left_semi"), "freq", ["layer"], "_before")
-    cut = spans.withColumn("_n", (total + F.col("layer")).cast("bigint"))
+    cut = metal.groupBy("layer").agg(*ends).withColumn("_n", (total + F.col("layer")).cast("bigint"))
     lines = lines.unionByName(cut.select(
         F.lit(3).alias("section"), F.col("layer").cast("bigint").alias("number"),
         F.format_string("my_fragments%d() = BooleanFragments{ Volume{%d}; Delete; }{ Volume{%d : %d}; Delete; };", "_n", "_n",
-                        F.col("_before") + 1, F.col("_before") + F.col("freq")).alias("value")))
+                        "first", "last").alias("value")))
 
-    groups = global_position(group_ranges(metal), ["layer", "root"], "_g")
+    groups = global_position(metal.groupBy("layer", "root").agg(*ends), ["layer", "root"], "_g")
     lines = lines.unionByName(groups.select(
         F.lit(4).alias("section"), F.col("_g").alias("number"),
         F.format_string('Physical Volume("L_%d_R_%d",%d ) = {%d : %d};', F.col("layer").cast("bigint"), "root",
@@ -91,7 +94,9 @@ def conductor_script(polygons: DataFrame, stack: DataFrame) -> DataFrame:
 
     Rings repeat their first point at the end. Rings of up to five points become inset boxes,
     longer ones a coordinate list; both get a physical surface numbered by layer and polygon.
+    A polygon on a layer that ``stack`` doesn't have is refused.
     """
+    require_none(polygons.join(stack, "layer", "left_anti").select("layer", "polygon"), "polygon on an unknown layer")
     solid = polygons.join(stack, "layer")
     points = F.slice("ring", 1, F.size("ring") - 1)
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

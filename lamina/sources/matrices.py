@@ -8,19 +8,24 @@ from lamina.constants import literal_rows
 from lamina.operators.numbering import global_position
 from lamina.operators.sparse import matrix_stats
 
-ROW = r"row\s+(\d+):"
-PAIR = r"\(\s*(\d+)\s*,\s*([^\)]+)\)"
+# Fixed value: the first line that the file format asks for.
 BANNER = "%%MatrixMarket matrix coordinate real general"
 
 
 def parse_row_dump(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Entries of ``row r: (c, v) (c, v)`` lines, moved from 0-based to 1-based indices."""
-    rows = lines.where(F.col(value).rlike(ROW))
-    pair = F.arrays_zip(
-        F.regexp_extract_all(value, F.lit(PAIR), F.lit(1)).alias("c"), F.regexp_extract_all(value, F.lit(PAIR), F.lit(2)).alias("v"))
-    entries = rows.select(F.regexp_extract(value, ROW, 1).alias("r"), F.explode(pair).alias("p"))
+    """Entries of ``row r: (c, v) (c, v)`` lines, moved from 0-based to 1-based indices.
+
+    The head is what stands before the colon: its last two words are ``row`` and the number. The rest
+    falls into pieces at closing brackets, each with one pair behind its opening one.
+    """
+    head = F.split(F.trim(F.split_part(value, F.lit(":"), F.lit(1))), " +")
+    pieces = F.split(F.split_part(value, F.lit(":"), F.lit(2)), "[)]")
+    cells = F.transform(pieces, lambda p: F.split(F.substring_index(p, "(", -1), ","))
+    rows = lines.where(F.col(value).contains(":")).select(
+        F.try_element_at(head, F.lit(-2)).alias("name"), F.try_element_at(head, F.lit(-1)).try_cast("bigint").alias("r"), F.filter(cells, lambda p: F.size(p) == 2).alias("cells"))
+    entries = rows.where("name = 'row' AND r IS NOT NULL").select("r", F.explode("cells").alias("p"))
     return entries.select(
-        (F.col("r").cast("bigint") + 1).alias("i"), (F.col("p.c").cast("bigint") + 1).alias("j"), F.trim(F.col("p.v")).cast("double").alias("v"))
+        (F.col("r") + 1).alias("i"), (F.trim(F.col("p")[0]).cast("bigint") + 1).alias("j"), F.trim(F.col("p")[1]).cast("double").alias("v"))
 
 
 def matrix_market_lines(matrix: DataFrame, order_by: list[str] | None = None) -> DataFrame:
