@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lamina.durable import materialise, shared_folder
 from lamina.llm import decontamination, exact_dedup, jaccard_join, packing, toxicity
-from lamina.llm.membership import split_by_keys
+from lamina.llm.membership import drop_keys
 from lamina.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,10 +23,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these ids; only what may be among them is shuffled."""
-    gone = materialise(ids.select(F.col("doc_id").alias("_gone")).distinct())
-    maybe, kept = split_by_keys(docs.select(*COLUMNS), F.xxhash64("doc_id"), gone.select(F.xxhash64("_gone").alias("key")))
-    return kept.unionByName(maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti"))
+    """``docs`` without the rows of these ids."""
+    return drop_keys(docs.select(*COLUMNS), "doc_id", materialise(ids.select("doc_id").distinct()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

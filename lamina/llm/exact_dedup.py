@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.durable import materialise
-from lamina.llm.membership import split_by_keys
+from lamina.llm.membership import key_filter
 from lamina.llm.words import texts_of
 
 COUNTERS = 512  # Misra-Gries counters of a task: finds what holds over 1/512 of its rows
@@ -92,19 +92,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Only texts that a filter of fixed size takes for repeated ones are shuffled; the others pass where
-    they are read. Rows that repeat the winner's id and length leave one row.
+    Most rows are decided by their id where they are read: a filter of fixed size holds the ids of
+    dropped rows, another the ids that stay although the first one holds them. Only rows that pass both
+    are shuffled and decided by their text. Rows that repeat the winner's id and length leave one row.
     """
-    rows = settle(_compact(docs, id_col, text_col))
-    twice = rows.where("group_size > 1")
+    compact = _compact(docs, id_col, text_col)
+    twice = materialise(settle(compact).where("group_size > 1").select("id", "digest", "chars", "kept"))
+    lost = twice.where("NOT kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("chars").alias("_chars")).distinct()
     won = materialise(twice.where("kept").groupBy("digest", "id", "chars").agg(F.count(F.lit(1)).alias("repeats")))
+    dropped = key_filter(lost.select(F.xxhash64("_id")).union(won.where("repeats > 1").select(F.xxhash64("id"))))
+    is_lost = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")) & (F.col("chars") == F.col("_chars"))
+    stays = key_filter(compact.where(dropped(F.xxhash64("id"))).join(lost, is_lost, "left_anti").select(F.xxhash64("id")))
+    name = F.xxhash64(F.col(id_col).cast("bigint"))
+    alone, doubtful = docs.where(~dropped(name)), docs.where(dropped(name) & stays(name))
+
     blank = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
-    keyed = docs.withColumns({
-        "_digest": F.unhex(F.sha2(blank, 256)), "_id": F.col(id_col).cast("bigint"),
-        "_chars": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint"), "_of": F.lit(1)})
-    named = won.select(F.col("digest").alias("_digest"), F.col("id").alias("_winner"), F.col("chars").alias("_most"), "repeats")
-    maybe, alone = split_by_keys(keyed, F.xxhash64("_digest"), won.select(F.xxhash64("digest").alias("key")))
-    held = maybe.join(named, "_digest", "left").where("repeats IS NULL OR (_id <=> _winner AND _chars = _most)")
-    once = held.where("repeats IS NULL OR repeats = 1").select(*docs.columns)
-    again = held.where("repeats > 1").dropDuplicates(["_digest"]).select(*docs.columns)
-    return alone.select(*docs.columns).unionByName(once).unionByName(again)
+    keyed = doubtful.select(
+        F.struct(*docs.columns).alias("row"), F.unhex(F.sha2(blank, 256)).alias("digest"), F.col(id_col).cast("bigint").alias("own"),
+        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("length"))
+    held = keyed.join(won, "digest", "left").where("repeats IS NULL OR (own <=> id AND length = chars)")
+    once = held.where("repeats IS NULL OR repeats = 1").select("row.*")
+    again = held.where("repeats > 1").dropDuplicates(["digest"]).select("row.*")
+    return alone.unionByName(once).unionByName(again)

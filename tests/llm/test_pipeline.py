@@ -3,7 +3,8 @@
 import pytest
 
 import corpus_pipeline as pipeline
-from lamina.llm.exact_dedup import exact_dedup
+from lamina.llm import jaccard_join, membership
+from lamina.llm.exact_dedup import exact_dedup, keep_distinct
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _digest string"
 WORDS = " ".join(f"word{k}" for k in range(40))
@@ -44,3 +45,19 @@ def test_packing_keeps_every_piece(spark, docs):
     rows = pipeline.pack(spark, docs, "").collect()
     assert len(rows) == len(ROWS)
     assert sum(r["length"] for r in rows) == max(r["offset"] + r["length"] for r in rows)
+
+
+def test_crowded_filters_decide_alike(spark, docs, monkeypatch):
+    for module in (jaccard_join, membership):
+        monkeypatch.setattr(module, "FILTER_BITS", 8)
+    many = spark.range(60).selectExpr("id AS doc_id", "concat('text ', id % 20, repeat(' ', CAST(id % 3 AS INT))) AS text", "'x' AS _digest", "id AS digest").repartition(4)
+    kept = keep_distinct(many)
+    assert kept.columns == many.columns
+    wins = {}
+    for k in range(60):
+        wins[k % 20] = max(wins.get(k % 20, (-1, 0)), (k % 3, -k))
+    assert ids(kept) == sorted(-k for _, k in wins.values())
+    gone = spark.createDataFrame([(k,) for k in range(0, 60, 4)] + [(None,)], "doc_id bigint")
+    assert ids(membership.drop_keys(many, "doc_id", gone)) == [k for k in range(60) if k % 4]
+    assert ids(pipeline.drop_copies(spark, docs, "")) == [2, 4, 5, 7, None]
+    assert ids(pipeline.drop_near_copies(spark, docs, "")) == [1, 5, 6, 7, 7, None]
