@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.durable import materialise
-from lamina.llm.words import Remembered, runs, texts_of
+from lamina.llm.words import Remembered, by_size, runs, texts_of
 
 WINDOW = 8  # template words in a window; a shorter item is one window
 LITERAL = 4  # a window needs as many words that aren't placeholders, a shorter one half its length
@@ -94,7 +94,7 @@ def _windows(sizes: list[int], bits) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(_marked)
         held = bits.value if bits is not None else None
-        for batch in batches:
+        for batch in by_size(batches, "text"):
             ids, rows = batch.column("id").to_pylist(), []
             for k, text in enumerate(texts_of(batch, "text")):
                 tokens = text.split() if text else []

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.durable import materialise
 from lamina.llm.membership import key_filter
-from lamina.llm.words import texts_of
+from lamina.llm.words import by_size, texts_of
 
 COUNTERS = 512  # Misra-Gries counters of a task: finds what holds over 1/512 of its rows
 HEAVY = 4096  # proposals that are verified
@@ -26,7 +26,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(id, chars, digest)``: code points of the original text, SHA-256 of the normalised one."""
-    for batch in batches:
+    for batch in by_size(batches, "text"):
         chars, names = [], []
         for text in texts_of(batch, "text"):
             text = text or b""

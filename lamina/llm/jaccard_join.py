@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.durable import materialise
 from lamina.llm.components import connected_components, smallest_labels
-from lamina.llm.words import hash_words, hashed, runs, texts_of, within, words_of
+from lamina.llm.words import by_size, hash_words, hashed, runs, texts_of, within, words_of
 
 GROUP = 16  # larger column groups go to panels instead of pairs
 COMMON, COMMON_LEAST = 1 << 17, 4  # length of the list of common shingles, and least count to be on it
@@ -95,18 +95,16 @@ def shingle_sets(texts: list[bytes | None], size: int, known) -> Iterator[np.nda
 def _sets(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, emitted = hash_words(), set()
-        for batch in batches:
-            for part in runs([len(t or b"") + 1 for t in texts_of(batch, "text")], 8_000_000):
-                piece = batch.slice(part.start, part.stop - part.start)
-                counts, classes, sets = [], [], []
-                for own in shingle_sets(texts_of(piece, "text"), size, known):
-                    data = _packed(own)
-                    name = xxhash.xxh3_64_intdigest(data, seed=len(own)) - (1 << 63)
-                    counts.append(len(own))
-                    classes.append(name)
-                    sets.append(None if not len(own) or name in emitted else data)
-                    emitted.add(name)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["id", "n", "class", "shingles"])
+        for piece in by_size(batches, "text"):
+            counts, classes, sets = [], [], []
+            for own in shingle_sets(texts_of(piece, "text"), size, known):
+                data = _packed(own)
+                name = xxhash.xxh3_64_intdigest(data, seed=len(own)) - (1 << 63)
+                counts.append(len(own))
+                classes.append(name)
+                sets.append(None if not len(own) or name in emitted else data)
+                emitted.add(name)
+            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["id", "n", "class", "shingles"])
 
     return run
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.words import Remembered, runs, texts_of
+from lamina.llm.words import Remembered, by_size, texts_of
 
 BITS = 18  # words and beginnings each: size of the hashed feature space
 SAMPLE = 4000  # labelled rows of each grade that a fit uses at most
@@ -168,7 +168,7 @@ def sample_labels(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
     known = places()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, "text"):
             own = [features_of(t, known).astype(np.int32).tobytes() for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, pa.binary())], ["label", "features"])
 
@@ -197,13 +197,11 @@ def grade_texts(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = OrdinalModel(*shared.value), places()
-        for batch in batches:
-            texts = texts_of(batch, "_text")
-            margins = np.zeros(len(texts))
-            for part in runs([len(t or b"") + 1 for t in texts], 4_000_000):
-                for k in range(part.start, part.stop):
-                    own = features_of(texts[k], known)
-                    margins[k] = model.weights[own].sum() / np.sqrt(len(own))
+        for batch in by_size(batches, "_text"):
+            margins = np.zeros(batch.num_rows)
+            for k, text in enumerate(texts_of(batch, "_text")):
+                own = features_of(text, known)
+                margins[k] = model.weights[own].sum() / np.sqrt(len(own))
             tails = model.tails(margins)
             columns = [batch.column(c) for c in kept] + [pa.array(model.expected(tails), pa.float64()), pa.array(list(tails), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "expected_grade", "tails"])

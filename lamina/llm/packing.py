@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.durable import materialise
-from lamina.llm.words import Remembered, texts_of
+from lamina.llm.words import Remembered, by_size, texts_of
 
 CAPACITY, END = 4096, 1
 NEARLY_FULL = 16  # a bin with less room is final
@@ -62,7 +62,7 @@ class Encoder:
 def _pieces(path: str, capacity: int, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = Encoder(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in by_size(batches, "text"):
             rows: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for k, text in enumerate(texts_of(batch, "text")):
                 ids = encode(text.decode() if text else "") + last

@@ -10,9 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 REMEMBERED = 300_000  # words whose value a task remembers; only saves time
+PIECE = 4_000_000  # bytes of text that a task holds as Python objects at once, or one text
 
 
 class Remembered(dict):
@@ -42,6 +44,14 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def by_size(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``PIECE`` bytes of the column ``name``; one row is never cut."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False) + 1
+        for part in runs(sizes.tolist(), PIECE):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def hashed(words: list[bytes], known: Remembered) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
