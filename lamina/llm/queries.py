@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import decontamination, exact_dedup, gated_lm, jaccard_join, packing, quality, secret_scan, sharding, toxicity, url_rules
+from lamina.llm import (
+    decontamination, exact_dedup, filter_audit, gated_lm, jaccard_join, packing, page_text, quality, ranked_search, secret_scan, sharding, toxicity, url_rules)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +170,59 @@ def toxicity_grades(spark: SparkSession, folder: str) -> DataFrame:
 def leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontamination.mark_leaks(docs, table(spark, folder, "benchmark")).drop("text")
+
+
+@query("op11_filter_interaction_audit", r"""
+WITH RECURSIVE
+docs AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM docs),
+told AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+marked AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+  FROM words LEFT JOIN told USING (doc_id)),
+masks AS MATERIALIZED (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM marked GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (SELECT '' AS filter_order, 0 AS used UNION ALL SELECT filter_order || f, used + bit FROM orders JOIN letters ON used & bit = 0),
+whole AS (SELECT filter_order FROM orders WHERE length(filter_order) = 5),
+steps AS MATERIALIZED (
+  SELECT w.filter_order, length(o.filter_order) + 1 AS step, o.used, l.f, l.bit
+  FROM whole w JOIN orders o ON starts_with(w.filter_order, o.filter_order) AND length(o.filter_order) < 5 JOIN letters l ON l.f = substr(w.filter_order, length(o.filter_order) + 1, 1)),
+counted AS MATERIALIZED (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (mask & (used | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & used = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & used > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(g) FILTER (mask & used = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (mask & used = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM masks, steps GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+""")
+def filter_audit_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_page_differencing")
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract_text(table(spark, folder, "pages"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op13_ball_tree_search", rf"""
+WITH asked AS MATERIALIZED (SELECT row_number() OVER () AS item, item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+sizes AS MATERIALIZED (SELECT row, doc_id, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+stats AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nl FROM sizes),
+tf AS MATERIALIZED (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, stats GROUP BY term),
+impacts AS MATERIALIZED (SELECT row, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nl))) AS s FROM tf JOIN weights USING (term) JOIN sizes USING (row), stats),
+scores AS (SELECT item, any_value(item_id) AS item_id, row, sum(s)::BIGINT AS score FROM impacts JOIN asked USING (term) GROUP BY item, row),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores JOIN sizes USING (row) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
