@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.checks import StrictModeError, require_none
 from lamina.durable import materialise, materialise_counted
+from lamina.operators.components import component_roots
+from lamina.operators.numbering import previous_in_order
+
+BLOCK_EDGES = 1 << 20  # edges of a block that one task solves
 
 
 def undirected(df: DataFrame, src: str, dst: str, w: str) -> DataFrame:
@@ -55,25 +63,56 @@ def unreachable_count(distances: DataFrame) -> DataFrame:
     return distances.agg(F.count_if(F.col("dist") == F.lit(float("inf"))).alias("unreachable"))
 
 
-def elimination_tree(entries: DataFrame) -> DataFrame:
+def _solve_block(table: pa.Table) -> pa.Table:
+    """Parents within one block: edges in the order of their upper ends, components kept by union and find."""
+    lower, upper = table.column("u").to_numpy(), table.column("v").to_numpy()
+    order = np.lexsort((lower, upper))
+    names, place = np.unique(np.concatenate([lower[order], upper[order]]), return_inverse=True)
+    low, up = place[:len(order)].tolist(), place[len(order):].tolist()
+    root, parent = list(range(len(names))), [-1] * len(names)
+    for a, b in zip(low, up):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        if a != b:
+            root[a] = parent[a] = b
+    some = np.flatnonzero(np.array(parent) >= 0)
+    return pa.table({"node": names[some], "parent": names[np.array(parent, np.int64)[some]]})
+
+
+def elimination_tree(entries: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """Parent of each column in the elimination tree of a symmetric pattern ``(i, j)``; 0 for roots.
 
-    The parent of column j is the smallest row i > j with an entry, filled entries included. Entries
-    below the diagonal are inserted in rounds: a column keeps the smallest row it has met as its
-    parent, and every other row, a displaced parent too, moves on as an entry of that parent's
-    column. Rows behind the parent need not be kept, since the parent's column answers for them, so
-    a round handles the moving entries and one number per column. It ends when nothing moves.
+    The parent of j is the smallest i > j that j reaches through columns below i. Only the components of
+    the columns up to each i matter, so a range of columns is halved: the components of its lower half,
+    seen from the upper one, are single columns, named by their largest. Such a column's parent is its first
+    neighbour in the upper half, and its neighbours there, which elimination would make a clique, are as
+    well held together by a path in ascending order. So edges never become more, and both halves go on
+    on their own. There are as many rounds as it takes halvings to bring a range down to ``block_edges``
+    edges; such a block is solved by one task. A column with very many entries is ordered over many tasks.
     """
-    columns = entries.select(F.explode(F.array("i", "j")).alias("j")).distinct()
-    parents = materialise(columns.withColumn("parent", F.lit(None).cast("bigint")))
-    below = entries.where("i <> j").select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).distinct()
-    moving, count = materialise_counted(below)
+    columns = entries.select(F.explode(F.array("i", "j")).alias("node")).distinct()
+    below = entries.where("i <> j").select(F.least("i", "j").cast("bigint").alias("u"), F.greatest("i", "j").cast("bigint").alias("v")).distinct()
+    span = below.agg(F.min("u"), F.max("v")).first()
+    state, count = materialise_counted(below.select(F.lit(span[0]).cast("bigint").alias("lo"), F.lit(span[1]).cast("bigint").alias("hi"), "u", "v"))
+    parents: list[DataFrame] = []
     while count["rows"]:
-        met = moving.select("j", F.col("i").alias("row"))
-        held = parents.where("parent IS NOT NULL").join(moving.select("j"), "j", "left_semi").select("j", F.col("parent").alias("row"))
-        rows = met.unionByName(held)
-        smallest = rows.groupBy("j").agg(F.min("row").alias("_new"))
-        onward = rows.join(smallest, "j").where("row > _new").select(F.col("row").alias("i"), F.col("_new").alias("j"))
-        moving, count = materialise_counted(onward.distinct())
-        parents = materialise(parents.join(smallest, "j", "left").select("j", F.coalesce("_new", "parent").alias("parent")))
-    return parents.select(F.col("j").alias("node"), F.coalesce("parent", F.lit(0)).cast("bigint").alias("parent"))
+        sizes = state.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("edges"))
+        sized = state.join(sizes, ["lo", "hi"]).withColumn("mid", F.expr("lo + (hi - lo) div 2"))
+        sized, count = materialise_counted(sized, large=F.col("edges") > block_edges)
+        small = sized.where(F.col("edges") <= block_edges).select("lo", "hi", "u", "v")
+        parents.append(materialise(small.groupBy("lo", "hi").applyInArrow(_solve_block, "node bigint, parent bigint")))
+        if not count["large"]:
+            break
+        large = sized.where(F.col("edges") > block_edges).drop("edges")
+        lower, upper = large.where("v <= mid"), large.where("u > mid")
+        roots = component_roots(lower)
+        between = large.where("u <= mid AND v > mid").join(roots, F.col("u") == F.col("node"), "left")
+        between = between.select("lo", "hi", "mid", F.coalesce("root", "u").alias("root"), "v").distinct()
+        paths = materialise(previous_in_order(between, ["root"], "v", "before"))
+        parents.append(paths.where("before IS NULL").select(F.col("root").alias("node"), F.col("v").alias("parent")))
+        inside = paths.where("before IS NOT NULL").select("lo", "hi", "mid", F.col("before").alias("u"), "v").unionByName(upper)
+        onward = lower.select("lo", F.col("mid").alias("hi"), "u", "v").unionByName(inside.select((F.col("mid") + 1).alias("lo"), "hi", "u", "v"))
+        state, count = materialise_counted(onward.distinct())
+    found = reduce(DataFrame.unionByName, parents) if parents else columns.select("node", F.col("node").alias("parent")).limit(0)
+    return columns.join(found, "node", "left").select("node", F.coalesce("parent", F.lit(0)).cast("bigint").alias("parent"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from lamina.functions import hashing, numeric, scalars
-from lamina.operators import graph, grouping, lowrank, sparse
+from lamina.operators import graph, grouping, krylov, lowrank, sparse
 from lamina.plans import standins as s
 from lamina.plans.registry import query, table
 
@@ -408,6 +408,19 @@ def solve(spark, folder):
     return sparse.solve_spd(matrix, rhs).select("i", F.round("x", 6).alias("x"))
 
 
+@query("l4_solve_general", """SELECT p_partkey + 1 AS i, CAST(p_size AS DOUBLE) AS x FROM part""")
+def solve_general(spark, folder):
+    """A band that is not symmetric, with a far coupling to the row a third of the table away."""
+    parts = table(spark, folder, "part")
+    n = parts.count()
+    rows = parts.select((c("p_partkey") + 1).alias("i"))
+    band = sparse.banded(rows, n, {0: 10.0, -1: -5.0, 1: 2.0, -2: 1.0, 2: -1.5})
+    far = rows.select("i", ((c("i") + n // 3 - 1) % n + 1).alias("j"), F.lit(0.5).alias("v"))
+    matrix = sparse.add(band, far)
+    known = parts.select((c("p_partkey") + 1).alias("i"), c("p_size").cast("double").alias("x"))
+    return krylov.solve(matrix, sparse.multiply(matrix, known, "x")).select("i", F.round("x", 6).alias("x"))
+
+
 GRAM = """e AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 gram AS (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) + CASE WHEN a.k = b.k THEN CAST(1e-4 AS DOUBLE) ELSE 0 END AS v FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY 1, 2)"""
 
@@ -443,7 +456,15 @@ def neighbours(spark, folder):
     return graph.neighbours_of(edges, source)
 
 
-@query("r6_elimination_tree")
+@query("r6_elimination_tree", """WITH RECURSIVE
+low AS (SELECT p_partkey + 1 - d AS j, p_partkey + 1 AS i FROM part, LATERAL (SELECT unnest([1 + p_size % 4, 5]) AS d) WHERE p_partkey + 1 - d >= 1),
+cols(j, parent, held) USING KEY (j) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION
+  SELECT t.j, coalesce(min(x.i), 0), coalesce(list(DISTINCT x.i) FILTER (x.i IS NOT NULL), [])
+  FROM (SELECT j + 1 AS j FROM cols WHERE j < (SELECT count(*) FROM part)) t
+  LEFT JOIN (SELECT j, i FROM low UNION ALL SELECT parent, unnest(held) FROM recurring.cols WHERE parent > 0) x ON x.j = t.j AND x.i > t.j GROUP BY t.j)
+SELECT j AS node, parent FROM cols WHERE j > 0""")
 def elimination_tree(spark, folder):
     """Symmetric band pattern over the parts: row i meets columns i - 1 - size % 4 and i - 5."""
     i = c("p_partkey") + 1

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.checks import StrictModeError
-from lamina.operators import graph, hierarchy, lowrank, sparse
+from lamina.operators import graph, hierarchy, krylov, lowrank, numbering, sparse
 from tests.conftest import rows
 
 CHIP = """Top Frame, Top Core, Frame Pad1, Frame Pad2, Core Row1, Core Row2, Core Row3, Row1 AND, Row1 INV,
@@ -195,3 +195,94 @@ def test_negative_weights_are_refused(spark):
     edges = spark.createDataFrame([("a", "b", -1.0), ("b", "a", -1.0)], "src string, dst string, w double")
     with pytest.raises(StrictModeError, match="negative"):
         graph.shortest_distances(edges, "a")
+
+
+def pattern_parents(entries):
+    """Elimination tree by components of growing column sets."""
+    below, root, parent = {}, {}, {}
+    for i, j in entries:
+        below.setdefault(max(i, j), set()).add(min(i, j))
+        root |= {i: i, j: j}
+    for i in sorted(root):
+        for j in below.get(i, ()):
+            while root[j] != j:
+                j = root[j]
+            if j != i:
+                parent[j] = root[j] = i
+    return sorted((i, parent.get(i, 0)) for i in root)
+
+
+def test_elimination_tree_by_halving(spark):
+    r = random.Random(3)
+    shapes = {
+        "tree": [(i, r.randrange(1, i)) for i in range(2, 90)], "loop": [(i, i + 1) for i in range(1, 90)] + [(90, 1)],
+        "random": [(r.randrange(1, 90), r.randrange(1, 90)) for _ in range(130)]}
+    shift, entries = 0, []
+    for own in shapes.values():
+        entries += [(i + shift, j + shift) for i, j in own] + [(i + shift, j + shift) for i, j in own[:5]]
+        shift += 90
+    df = spark.createDataFrame(entries + [(900, 900)], "i bigint, j bigint")
+    assert rows(graph.elimination_tree(df, 60)) == pattern_parents([*entries, (900, 900)])
+
+
+def test_arrow_pattern_takes_few_rounds(spark, monkeypatch):
+    rounds, once = [], graph.previous_in_order
+    monkeypatch.setattr(graph, "previous_in_order", lambda *a: rounds.append(1) or once(*a))
+    arrow = spark.range(2, 4097).selectExpr("id AS i", "1L AS j")
+    tree = dict(rows_of(graph.elimination_tree(arrow, 3000)))
+    assert tree == {k: k + 1 for k in range(1, 4096)} | {4096: 0} and len(rounds) < 20
+    assert graph.elimination_tree(spark.createDataFrame([], "i bigint, j bigint")).collect() == []
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_previous_in_order(spark):
+    r = random.Random(4)
+    data = sorted({(r.choice([1, 1, 1, 2, 5, None]), r.randrange(900)) for _ in range(1500)}, key=lambda p: (p[0] is not None, p))
+    got = numbering.previous_in_order(spark.createDataFrame(data, "k bigint, v bigint").repartition(5), ["k"], "v")
+    want = [(k, v, data[n - 1][1] if n and data[n - 1][0] == k else None) for n, (k, v) in enumerate(data)]
+    assert sorted(rows_of(got), key=str) == sorted(want, key=str)
+
+
+# ---- general systems ------------------------------------------------------------------------
+
+def dense_of(entries, n):
+    a = np.zeros((n, n))
+    for i, j, v in entries:
+        a[i - 1, j - 1] += v
+    return a
+
+
+@pytest.mark.parametrize("kind", ["dominant", "convection", "zero diagonal"])
+def test_general_solve(spark, kind):
+    r, n = random.Random(len(kind)), 60
+    if kind == "dominant":
+        entries = [(i, r.randrange(1, n + 1), r.uniform(-1, 1)) for i in range(1, n + 1) for _ in range(4)] + [(i, i, 6.0) for i in range(1, n + 1)]
+    elif kind == "convection":
+        entries = [(i, i + k, v) for i in range(1, n + 1) for k, v in ((0, 2.0), (-1, -1.9), (1, -0.1)) if 1 <= i + k <= n]
+    else:
+        entries = [(i, i + k, v) for i in range(1, n + 1) for k, v in ((0, 0.0 if i % 7 == 3 else 3.0), (-1, 1.0), (1, -1.5)) if 1 <= i + k <= n]
+    x = [r.uniform(-5, 5) for _ in range(n)]
+    b = dense_of(entries, n) @ x
+    got = krylov.solve(spark.createDataFrame(entries, "i bigint, j bigint, v double"), spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(b)], "i bigint, x double"), block_rows=25)
+    assert [v for _, v in sorted(rows_of(got))] == pytest.approx(x, abs=1e-6)
+
+
+def test_singular_system_is_refused(spark):
+    matrix = spark.createDataFrame([(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 1.0)], "i bigint, j bigint, v double")
+    with pytest.raises(StrictModeError):
+        krylov.solve(matrix, spark.createDataFrame([(1, 1.0), (2, 2.0)], "i bigint, x double"), patience=5)
+
+
+def test_incomplete_factor_of_a_band_is_its_factor():
+    n = 9
+    entries = [(i, i + k, 4.0 if not k else -1.0 - i % 2) for i in range(n) for k in (-1, 0, 1) if 0 <= i + k < n]
+    i, j, v = (np.array(x) for x in zip(*entries))
+    starts = np.searchsorted(i, np.arange(n + 1))
+    values, pivots = krylov.incomplete_factor(starts, j, v)
+    b = np.arange(1.0, n + 1)
+    z = krylov.triangular(starts, j, values, None, krylov.levels(starts, j, True), b)
+    z = krylov.triangular(starts, j, values, pivots, krylov.levels(starts, j, False), z)
+    assert z == pytest.approx(np.linalg.solve(dense_of([(a + 1, c + 1, d) for a, c, d in entries], n), b))
