@@ -145,7 +145,7 @@ def general_text(value: Column, digits: int = 12) -> Column:
     rounded = (F.rint(value * scale) / scale).cast(f"decimal(38,{digits + 4})").cast("string")
     plain = F.regexp_replace(F.regexp_replace(rounded, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     fits = (size == 0) | ((size >= 1e-4) & (size < 10.0**digits))
-    return F.when(fits, plain).otherwise(F.format_string(f"%.{digits - 1}e", value))
+    return F.when(fits, plain).otherwise(F.regexp_replace(F.format_string(f"%.{digits - 1}e", value), r"\.?0+e", "e"))
 
 
 def transform_map(values: Column, function) -> Column:

@@ -111,10 +111,13 @@ def _interval_winners(values: DataFrame, value: str, table: DataFrame, low: str,
     The winner of a stretch is the first among the blocks above it. Nothing pairs values with
     intervals, so crowded or overlapping intervals cost no more than others.
     """
+    whole = ("tinyint", "smallint", "int", "bigint")
+    kinds = {values.schema[value].dataType.simpleString(), table.schema[low].dataType.simpleString(), table.schema[high].dataType.simpleString()}
+    kind = "bigint" if kinds <= set(whole) else "double"  # whole numbers stay exact
     spans = table.where(F.col(low) < F.col(high)).select(
-        F.col(low).cast("double").alias("_lo"), F.col(high).cast("double").alias("_hi"), F.col(take).alias("_take"), F.col(order_by).alias("_ord"))
+        F.col(low).cast(kind).alias("_lo"), F.col(high).cast(kind).alias("_hi"), F.col(take).alias("_take"), F.col(order_by).alias("_ord"))
     ends = spans.select(F.explode(F.array("_lo", "_hi")).alias("_z")).distinct().withColumn("_end", F.lit(1).cast("bigint"))
-    points = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_z")).distinct().withColumn("_end", F.lit(0).cast("bigint"))
+    points = values.where(F.col(value).isNotNull()).select(F.col(value).cast(kind).alias("_z")).distinct().withColumn("_end", F.lit(0).cast("bigint"))
     ranked = materialise(running_total(ends.unionByName(points), "_end", ["_z", F.col("_end").desc()], "_before"))
     numbered = ranked.where("_end = 1").select("_z", (F.col("_before") + 1).alias("_rank"))
     total = numbered.count()
@@ -132,7 +135,7 @@ def _interval_winners(values: DataFrame, value: str, table: DataFrame, low: str,
     above = numbered.select("_rank", F.explode(levels).alias("_k")).withColumn("_block", F.expr("shiftright(_rank, _k)"))
     winners = above.join(firsts, ["_k", "_block"]).groupBy("_rank").agg(F.min("_first").alias("_first")).select("_rank", F.col("_first._take").alias(name))
     found = ranked.where("_end = 0").select(F.col("_z").alias(value), F.col("_before").alias("_rank"))
-    return found.join(winners, "_rank").select(value, name)
+    return found.join(winners, "_rank").select(F.col(value).cast(values.schema[value].dataType).alias(value), name)
 
 
 def _interval_case(value: Column, intervals: Sequence[tuple[float, float, object]], dtype) -> Column:

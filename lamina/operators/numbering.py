@@ -109,6 +109,18 @@ def dictionary_encode(df: DataFrame, value: str, order_by: Sequence[str], name:
     return global_position(first, ["_first"], name).select(value, name)
 
 
+def grow_dictionary(stored: DataFrame, df: DataFrame, value: str, order_by: Sequence[str], name: str = "id") -> DataFrame:
+    """A dictionary with the new values of one more batch: known ones keep their ids, new ones follow in first-seen order.
+
+    ``stored`` is (value, name), empty at first. Batches one after the other give what ``dictionary_encode`` gives for
+    their rows in that order. Only the batch is ordered; the stored table is joined once.
+    """
+    new = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order_key(order_by)).alias("_first")).join(stored.select(value), value, "left_anti")
+    most = stored.agg(F.coalesce(F.max(name), F.lit(0)).cast("bigint")).first()[0]
+    numbered = global_position(new, ["_first"], name).select(value, (F.col(name) + most).alias(name))
+    return stored.select(value, F.col(name).cast("bigint").alias(name)).unionByName(numbered)
+
+
 def require_permutation(df: DataFrame, number: str) -> DataFrame:
     """Check that ``number`` takes each of 1..n exactly once, then return the rows."""
     # n distinct integers lying in 1..n are a permutation; distinctness is an aggregate by value

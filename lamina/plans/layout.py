@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lamina.operators import hierarchy, lookup, placement, polygons, spatial, stack
+from lamina.durable import shared_folder
+from lamina.operators import arrays, hierarchy, lookup, placement, polygons, spatial, spatial_index, stack
 from lamina.plans import standins as s
 from lamina.plans.registry import query, table
 
@@ -98,6 +101,42 @@ def window_search(spark, folder):
     return spatial.overlap_join(wide_boxes(spark, folder), windows, "id", "s_suppkey", tile=64.0)
 
 
+@query("j5_stored_index", f"""WITH {WIDE}, windows AS (SELECT s_suppkey, CAST(s_suppkey * 37 AS DOUBLE) AS x0, CAST(s_suppkey * 11 AS DOUBLE) AS y0 FROM supplier)
+SELECT id, s_suppkey FROM wide JOIN windows ON xmin <= x0 + 90 AND x0 <= xmax AND ymin <= y0 + 60 AND y0 <= ymax""")
+def stored_index(spark, folder):
+    """The search of ``j5_window_search`` through an index written first."""
+    path = f"{shared_folder(spark)}/boxes-{uuid.uuid4().hex}"
+    spatial_index.write_index(wide_boxes(spark, folder), "id", path, leaf_rows=512, part_leaves=8)
+    windows = table(spark, folder, "supplier").select(
+        "s_suppkey", (c("s_suppkey") * 37).cast("double").alias("xmin"), (c("s_suppkey") * 11).cast("double").alias("ymin"),
+        (c("s_suppkey") * 37 + 90).cast("double").alias("xmax"), (c("s_suppkey") * 11 + 60).cast("double").alias("ymax"))
+    return spatial_index.search_index(spark, path, windows, "s_suppkey", ["id"])
+
+
+ARRAYS = """a AS (SELECT p_partkey AS id, p_partkey % 500 + 0.25 AS x0, p_size * 3 + 0.5 AS y0, p_partkey % 500 + 2.25 AS x1, p_size * 3 + 1.5 AS y1,
+  p_partkey % 9 + 1 AS cols, p_size % 7 + 1 AS rows, CAST((p_partkey % 5 - 2) * 1.7 AS DOUBLE) AS dx, CAST((p_size % 4 - 1) * 2.3 AS DOUBLE) AS dy FROM part),
+w AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 500 AS DOUBLE) AS wx0, CAST(s_suppkey * 3 % 150 AS DOUBLE) AS wy0 FROM supplier)"""
+
+
+def arrays_and_windows(spark, folder):
+    parts, suppliers = table(spark, folder, "part"), table(spark, folder, "supplier")
+    x, y = (c("p_partkey") % 500).cast("double"), (c("p_size") * 3).cast("double")
+    placed = parts.select(
+        c("p_partkey").alias("id"), (x + 0.25).alias("xmin"), (y + 0.5).alias("ymin"), (x + 2.25).alias("xmax"), (y + 1.5).alias("ymax"),
+        (c("p_partkey") % 9 + 1).cast("bigint").alias("Columns"), (c("p_size") % 7 + 1).cast("bigint").alias("Rows"),
+        ((c("p_partkey") % 5 - 2) * F.lit(1.7)).alias("DX"), ((c("p_size") % 4 - 1) * F.lit(2.3)).alias("DY"))
+    wx, wy = (c("s_suppkey") * 7 % 500).cast("double"), (c("s_suppkey") * 3 % 150).cast("double")
+    return placed, suppliers.select("s_suppkey", wx.alias("xmin"), wy.alias("ymin"), (wx + 12).alias("xmax"), (wy + 8).alias("ymax"))
+
+
+@query("g13_array_hits", f"""WITH {ARRAYS}, e AS (SELECT *, unnest(generate_series(0, cols - 1)) AS k FROM a), f AS (SELECT *, unnest(generate_series(0, rows - 1)) AS r FROM e)
+SELECT id, s_suppkey, CAST(k AS BIGINT) AS "column", CAST(r AS BIGINT) AS "row" FROM f JOIN w
+ON x0 + k * dx <= wx0 + 12 AND wx0 <= x1 + k * dx AND y0 + r * dy <= wy0 + 8 AND wy0 <= y1 + r * dy""")
+def array_elements(spark, folder):
+    """Elements of arrays of several columns and rows that meet a window, from ranges."""
+    return arrays.expand_hits(arrays.array_hits(*arrays_and_windows(spark, folder), "id", "s_suppkey"))
+
+
 @query("j5_box_overlap", f"""WITH {WIDE}
 SELECT a.id AS id, b.id AS id_2 FROM wide a JOIN wide b
 ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax AND a.id < b.id""")

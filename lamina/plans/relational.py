@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.checks import require_columns
 from lamina.constants import literal_rows
+from lamina.durable import materialise
 from lamina.operators import grouping, hierarchy, lookup, numbering
 from lamina.operators.placement import ORIENTATIONS, orientation_code
 from lamina.plans import standins as s
@@ -277,6 +278,17 @@ def first_seen_ids(spark, folder):
     return numbering.dictionary_encode(table(spark, folder, "lineitem"), "l_suppkey", s.LINE_ORDER)
 
 
+@query("d2_growing_dictionary", f"""WITH f AS (SELECT l_suppkey AS v, min((l_orderkey % 3, {s.LINE_ORDER_SQL})) AS f FROM lineitem GROUP BY 1)
+SELECT v AS l_suppkey, row_number() OVER (ORDER BY f) AS id FROM f""")
+def growing_dictionary(spark, folder):
+    """Three batches of line items, each added to the dictionary stored after the one before."""
+    lines = table(spark, folder, "lineitem")
+    known = materialise(numbering.dictionary_encode(lines.where("l_orderkey % 3 = 0"), "l_suppkey", s.LINE_ORDER))
+    for batch in (1, 2):
+        known = materialise(numbering.grow_dictionary(known, lines.where(c("l_orderkey") % 3 == batch), "l_suppkey", s.LINE_ORDER))
+    return known
+
+
 @query("d3_append", """SELECT o_orderkey AS k, o_totalprice AS v FROM orders UNION ALL SELECT l_orderkey, l_extendedprice FROM lineitem""")
 def append(spark, folder):
     orders = table(spark, folder, "orders").select(c("o_orderkey").alias("k"), c("o_totalprice").alias("v"))

@@ -49,6 +49,17 @@ def replace_table(spark, folder):
     return spark.read.parquet(tables.replace_table(current.withColumn("s_acctbal", c("s_acctbal") + 1), base, "supplier"))
 
 
+@query("io6_atomic_replace", "SELECT s_suppkey, s_acctbal + 3 AS s_acctbal FROM supplier WHERE s_suppkey % 3 > 0")
+def atomic_replace(spark, folder):
+    """Three versions, each made from the one before it."""
+    base = _scratch(spark)
+    tables.publish(table(spark, folder, "supplier").select("s_suppkey", "s_acctbal"), base, "supplier")
+    current = tables.read_published(spark, base, "supplier")
+    tables.publish(current.withColumn("s_acctbal", c("s_acctbal") + 3), base, "supplier")
+    tables.publish(tables.read_published(spark, base, "supplier").where("s_suppkey % 3 > 0"), base, "supplier")
+    return tables.read_published(spark, base, "supplier")
+
+
 @query("io5_persist", f"""WITH {s.BBOX}, {s.INSTANCES} SELECT i."CellName", count(*) AS n, sum("XMAX") AS width FROM instances i JOIN bbox b ON "RefCellName" = b."CellName" GROUP BY 1""")
 def persist(spark, folder):
     base = _scratch(spark)
@@ -79,6 +90,26 @@ def technology(spark, folder):
         vias.select(F.lit("VIA").alias("block"), "name", "layer", none.cast("double").alias("height"), "top"))
 
 
+@query("io12_copy_database", """SELECT 'region' AS name, count(*) AS n, CAST(sum(r_regionkey) AS BIGINT) AS keys FROM region UNION ALL SELECT 'nation', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation
+UNION ALL SELECT 'customer', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer UNION ALL SELECT 'supplier', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier
+UNION ALL SELECT 'part', count(*), CAST(sum(p_partkey) AS BIGINT) FROM part UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders
+UNION ALL SELECT 'lineitem', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem UNION ALL SELECT 'events', count(*), CAST(sum(event_id) AS BIGINT) FROM events
+UNION ALL SELECT 'documents', count(*), CAST(sum(doc_id) AS BIGINT) FROM documents UNION ALL SELECT 'embeddings', count(*), CAST(sum(vec_id) AS BIGINT) FROM embeddings
+UNION ALL SELECT 'pages', count(*), CAST(sum(page_id) AS BIGINT) FROM pages UNION ALL SELECT 'benchmark', count(*), CAST(sum(item_id) AS BIGINT) FROM benchmark
+UNION ALL SELECT 'labels', count(*), CAST(sum(doc_id) AS BIGINT) FROM labels UNION ALL SELECT 'conversations', count(*), CAST(sum(conv_id) AS BIGINT) FROM conversations""")
+def copy_database(spark, folder):
+    """Every table of the folder copied, and counted in the copy with the sum of its first column."""
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+    base, counts = _scratch(spark), None
+    tables.copy_tables(spark, folder, base, names)
+    for name in names:
+        copy = spark.read.parquet(f"{base}/{name}.parquet")
+        key = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}.get(name, copy.columns[0])
+        own = copy.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(c(key).cast("bigint")).alias("keys"))
+        counts = own if counts is None else counts.unionByName(own)
+    return counts
+
+
 @query("io12_copy_tables", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def copy_tables(spark, folder):
     base = _scratch(spark)

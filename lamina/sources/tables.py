@@ -57,6 +57,42 @@ def replace_table(df: DataFrame, folder: str, name: str) -> str:
     return target
 
 
+POINTER = "current.pointer"  # file in a versioned table's folder that names the version to read
+
+
+def _rename_over(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file, replacing the target in one step of the file system."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(path, jvm.org.apache.hadoop.fs.Path(target), options)
+
+
+def publish(df: DataFrame, folder: str, name: str) -> str:
+    """Write a new version of a table and make it the current one; ``df`` may read the current one.
+
+    Readers see the old version until the new one is whole: the last step renames the pointer file. A job that fails
+    before it leaves the table as it was. Returns the version's folder.
+    """
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{folder}/{name}/{version}")
+    staged = f"{folder}/{name}/next-{version}"
+    spark.range(1).select(F.lit(version)).coalesce(1).write.text(staged)
+    # the one part of a text folder is the pointer's content
+    part = spark.read.text(staged).select(F.col("_metadata.file_path")).first()[0]
+    _rename_over(spark, part, f"{folder}/{name}/{POINTER}")
+    return f"{folder}/{name}/{version}"
+
+
+def read_published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The current version of a table."""
+    version = spark.read.text(f"{folder}/{name}/{POINTER}").first()[0]
+    return spark.read.parquet(f"{folder}/{name}/{version}")
+
+
 def copy_tables(spark: SparkSession, source: str, target: str, names: Iterable[str]) -> None:
     """Copy tables from one location to another."""
     for name in names:
