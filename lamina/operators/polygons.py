@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lamina.operators.numbering import running_total
+from lamina.checks import require_none
+from lamina.durable import materialise
+from lamina.operators.numbering import global_position, position_in_group, previous_in_order, running_total
 
 POINTS = "array<struct<x: double, y: double>>"
 
@@ -105,3 +107,46 @@ def ring_area(points: Column) -> Column:
     following = F.concat(F.slice(points, F.lit(2), F.size(points)), F.slice(points, 1, 1))
     cross = F.zip_with(points, following, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda acc, v: acc + v)) / 2
+
+
+# ---- rings as rows, for rings of any number of points -----------------------------------------
+
+def vertical_sides(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Vertical sides ``(*keys[:-1], x, low, high)`` of rings given as rows ``(*keys, ord, x, y)``.
+
+    The last key tells the rings of one polygon apart, its outline and its holes. A ring is closed from its
+    last point to its first; a repeated first point at the end does no harm.
+    """
+    points = materialise(points.select(*keys, "ord", "x", "y"))
+    ahead = previous_in_order(points, keys, "ord")
+    last = points.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("ord").alias("_last"))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    linked = ahead.join(last, same).withColumn("before", F.coalesce("before", "_last")).select(*points.columns, "before")
+    other = points.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ord").alias("_ord"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    sides = linked.join(other, [*same, F.col("before") == F.col("_ord")])
+    slanted = sides.where((F.col("x") != F.col("_x")) & (F.col("y") != F.col("_y")))
+    require_none(slanted.select(*keys, "ord"), "a side is neither upright nor level")
+    upright = sides.where((F.col("x") == F.col("_x")) & (F.col("y") != F.col("_y")))
+    return upright.select(*keys[:-1], "x", F.least("y", "_y").alias("low"), F.greatest("y", "_y").alias("high"))
+
+
+def sweep_rectangles(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rectangles ``(*keys, xmin, ymin, xmax, ymax)`` of polygons given by their vertical sides, as ``slab_rectangles`` cuts.
+
+    The y of a polygon's corners bound its slabs. A side stands in every slab between its ends; in the order
+    of x, sides are in turn left and right ends of rectangles. Slabs and turns come from positions in range
+    partitions, so neither a polygon of very many points nor a slab of very many crossings is one task's.
+    """
+    ys = sides.select(*keys, F.explode(F.array("low", "high")).alias("y")).distinct()
+    ranked = materialise(global_position(ys, [*keys, "y"], "slab"))
+    at = lambda name, end: ranked.select(*keys, F.col("y").alias(end), F.col("slab").alias(name))
+    spans = sides.join(at("first", "low"), [*keys, "low"]).join(at("beyond", "high"), [*keys, "high"])
+    crossings = spans.select("x", F.explode(F.sequence("first", F.col("beyond") - 1)).alias("slab"))
+    # equal crossings would change places from run to run, but pair up to the same ends
+    turns = position_in_group(crossings, ["slab"], ["x"], "turn")
+    pairs = materialise(turns.groupBy("slab", F.expr("(turn + 1) div 2").alias("pair")).agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.count(F.lit(1)).alias("ends")))
+    require_none(pairs.where("ends <> 2"), "odd number of crossings")
+    low = ranked.withColumnRenamed("y", "ymin")
+    high = ranked.select((F.col("slab") - 1).alias("slab"), F.col("y").alias("ymax"))
+    boxes = pairs.where("xmax > xmin").join(low, "slab").join(high, "slab")
+    return boxes.select(*keys, "xmin", "ymin", "xmax", "ymax")

@@ -58,6 +58,16 @@ def drop_missing(spark, folder):
     return lookup.dropped_rows(joined, "doc_id", "quality")
 
 
+@query("p9_dictionary_with_missing", """WITH d AS (SELECT CASE WHEN o_orderkey % 7 > 0 THEN 'C' || o_custkey END AS name, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey END AS number, o_orderkey AS ord FROM orders)
+SELECT name, arg_max(number, ord) AS number FROM d WHERE name IS NOT NULL AND number IS NOT NULL GROUP BY 1""")
+def dictionary_with_missing(spark, folder):
+    """Names and numbers, some of either missing: such rows are left out, the last row of a name wins."""
+    orders = table(spark, folder, "orders")
+    rows = orders.select(
+        F.when(c("o_orderkey") % 7 > 0, F.concat(F.lit("C"), "o_custkey")).alias("name"), F.when(c("o_orderkey") % 11 > 0, c("o_orderkey")).alias("number"), c("o_orderkey").alias("ord"))
+    return lookup.name_numbers(rows, "name", "number", ["ord"])
+
+
 @query("p10_column_check", f'WITH {s.BBOX} SELECT "CellName", "XMIN", "XMAX" FROM bbox')
 def column_check(spark, folder):
     return require_columns(s.bbox(spark, folder), ["CellName", "XMIN", "XMAX"]).select("CellName", "XMIN", "XMAX")

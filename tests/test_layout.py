@@ -164,3 +164,42 @@ def test_stack(spark):
         require_rules(good.withColumn("dx", F.lit(0.0)), stack.solid_rules())
     ids = spark.createDataFrame([(1, 201), (2, 1), (3, 5)], "layer int, polygon int")
     assert rows(stack.physical_id_collisions(ids)) == [(401, 2)]
+
+
+def points_of(polygon, ring, corners):
+    return [(polygon, ring, k, float(x), float(y)) for k, (x, y) in enumerate(corners)]
+
+
+def test_sweep_agrees_with_rings_in_one_row(spark):
+    r = random.Random(12)
+    data, rings = [], {}
+    for polygon in range(12):
+        xs, heights = sorted(r.sample(range(100), 2 * r.randrange(1, 6) + 1)), [r.randrange(1, 9) for _ in range(12)]
+        corners = [(xs[0], 0), (xs[-1], 0)]
+        for k in range(len(xs) - 1, 0, -1):  # a skyline
+            corners += [(xs[k], heights[k % 12]), (xs[k - 1], heights[k % 12])]
+        rings[polygon] = corners
+        data += points_of(polygon, 0, corners + corners[:1] * (polygon % 2))
+    points = spark.createDataFrame(data, "polygon int, ring int, ord int, x double, y double").repartition(3)
+    got = rows(polygons.sweep_rectangles(polygons.vertical_sides(points, ["polygon", "ring"]), ["polygon"]), "polygon", "xmin", "ymin", "xmax", "ymax")
+    one_row = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in v]) for k, v in rings.items()], f"polygon int, ring {polygons.POINTS}")
+    want = one_row.select("polygon", F.explode(polygons.slab_rectangles(F.col("ring"))).alias("b")).select("polygon", "b.xmin", "b.ymin", "b.xmax", "b.ymax")
+    assert got == rows(want)
+
+
+def test_sweep_of_a_large_comb_with_holes(spark):
+    teeth = 3000
+    comb = [(0, 0), (2 * teeth - 1, 0)] + [p for k in range(teeth - 1, -1, -1) for p in ((2 * k + 1, 2), (2 * k + 1, 5), (2 * k, 5), (2 * k, 2))]
+    holes = [points_of(1, 1 + k, [(4 * k + 1, 0.5), (4 * k + 2, 0.5), (4 * k + 2, 1.5), (4 * k + 1, 1.5)]) for k in range(500)]
+    points = spark.createDataFrame(points_of(1, 0, comb) + [p for h in holes for p in h], "polygon int, ring int, ord int, x double, y double")
+    boxes = polygons.sweep_rectangles(polygons.vertical_sides(points, ["polygon", "ring"]), ["polygon"])
+    area = boxes.agg(F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))), F.count("*")).first()
+    assert area[0] == (2 * teeth - 1) * 2 + 3 * teeth - 500 and area[1] == teeth + 2 + 501
+
+
+def test_sweep_refuses_slanted_and_open_rings(spark):
+    schema = "polygon int, ring int, ord int, x double, y double"
+    with pytest.raises(StrictModeError):
+        polygons.vertical_sides(spark.createDataFrame(points_of(1, 0, [(0, 0), (2, 0), (1, 1)]), schema), ["polygon", "ring"])
+    with pytest.raises(StrictModeError):
+        polygons.sweep_rectangles(spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "polygon int, x double, low double, high double"), ["polygon"])
