@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from lamina import schemas
 from lamina.constants import literal_rows
-from lamina.durable import shared_folder
+from lamina.durable import materialise, shared_folder
 from lamina.functions.scalars import general_text
 from lamina.operators import polygons
 from lamina.operators.lookup import interval_lookup
 from lamina.operators.numbering import global_position
 from lamina.plans import standins as s
 from lamina.plans.registry import query, table
-from lamina.sources import delimited, dielectric, geo_text, layout_text, lines, matrices, mesh, netlist, placements, tables
+from lamina.sources import delimited, dielectric, geo_text, layout_text, lines, matrices, mesh, netlist, ordered_text, placements, tables
 
 c = F.col
 
@@ -220,6 +220,23 @@ def solver_files(spark, folder):
     return out.where("line > 2")
 
 
+@query("io18_solver_text", f"""WITH {s.MESH}, l AS (SELECT e.*, abs(x) = 1 OR abs(y) = 1 AS fixed FROM mesh_elements e LEFT JOIN mesh_nodes n ON n1 = n.id AND kind = 1),
+body AS (SELECT 'element3' AS file, row_number() OVER (ORDER BY id) AS n, concat_ws(chr(9), row_number() OVER (ORDER BY id), n1, n2, n3) AS value FROM mesh_elements WHERE kind = 2
+ UNION ALL SELECT 'dirichlet', row_number() OVER (ORDER BY id), concat_ws(chr(9), row_number() OVER (ORDER BY id), n1, n2) FROM l WHERE kind = 1 AND fixed
+ {"".join(f"UNION ALL SELECT '{name}', {k} - {len(mesh.HEADERS[name])}, '{line}' " for name in ("element3", "dirichlet") for k, line in enumerate(mesh.HEADERS[name], 1))})
+SELECT file, n + CASE file WHEN 'element3' THEN {len(mesh.HEADERS["element3"])} ELSE {len(mesh.HEADERS["dirichlet"])} END AS line, value FROM body""")
+def solver_text(spark, folder):
+    """Two solver files whole, with their headers, each written in order by several tasks."""
+    nodes, elements = (materialise(t) for t in mesh.parse_mesh(s.mesh_lines(spark, folder)))
+    out, every = None, mesh.solver_tables(nodes, elements)
+    for name in ("element3", "dirichlet"):
+        path = _scratch(spark)
+        ordered_text.write_ordered(mesh.solver_lines(name, every[name]), path, ["line"])
+        text = ordered_text.read_ordered(spark, path).withColumn("file", F.lit(name))
+        out = text if out is None else out.unionByName(text)
+    return out
+
+
 def _dump_lines(spark, folder):
     """One ``row r: (c, v) ...`` line per order line, 0-based."""
     pair = F.format_string("(%d, %s)  (%d, %s)", "l_partkey", c("l_quantity").cast("string"), c("l_suppkey") + 100000, c("l_discount").cast("string"))
@@ -267,7 +284,7 @@ def _box_sql(n, *v):
     return f"'Box(' || {n} || ') = {{' || " + " || ', ' || ".join(_num(x) for x in v) + " || '};'"
 
 
-@query("io22_mesh_script", f"""WITH {STAIR_ROWS}, per AS (SELECT layer, count(*) AS freq FROM rt GROUP BY 1),
+SCRIPT_SQL = f"""WITH {STAIR_ROWS}, per AS (SELECT layer, count(*) AS freq FROM rt GROUP BY 1),
 spans AS (SELECT layer, freq, CAST(sum(freq) OVER (ORDER BY layer) AS BIGINT) AS stop, total + layer AS n FROM per, tot), cut AS (SELECT * FROM spans WHERE layer <> 3),
 grp AS (SELECT layer, root, min(id) AS low, max(id) AS high FROM rt WHERE layer <> 3 GROUP BY 1, 2),
 gr AS (SELECT *, row_number() OVER (ORDER BY layer, root) AS g FROM grp)
@@ -276,14 +293,33 @@ SELECT 1 AS section, layer AS number, {_box_sql("n", "xmin", "ymin", "layer * 10
 UNION ALL SELECT 2, id, {_box_sql("id", "xmin", "ymin", "layer * 100", "xmax - xmin", "ymax - ymin", "60")} || ' // id=' || id || ', layer=' || layer FROM rt
 UNION ALL SELECT 3, layer, 'my_fragments' || n || '() = BooleanFragments{{ Volume{{' || n || '}}; Delete; }}{{ Volume{{' || (stop - freq + 1) || ' : ' || stop || '}}; Delete; }};' FROM cut
 UNION ALL SELECT 4, g, 'Physical Volume("L_' || layer || '_R_' || root || '",' || (total + 99 + g) || ' ) = {{' || low || ' : ' || high || '}};' FROM gr, tot
-UNION ALL SELECT 5, layer, 'Physical Volume("Diel' || layer || '", ' || n || ') = my_fragments' || n || '();' FROM cut""")
+UNION ALL SELECT 5, layer, 'Physical Volume("Diel' || layer || '", ' || n || ') = my_fragments' || n || '();' FROM cut"""
+
+
+@query("io22_mesh_script", SCRIPT_SQL)
 def mesh_script(spark, folder):
-    """Staircases on layers 1, 2, 4 and 5 as conductors and layer 3 as a via between them."""
+    return geo_text.box_script(*stair_boxes(spark, folder))
+
+
+def stair_boxes(spark, folder):
+    """Staircases on layers 1, 2, 4 and 5 as conductors and layer 3 as a via between them: boxes and layers."""
     rings = s.staircases(spark, folder).withColumn("layer", c("layer") + 1)
     boxes = polygons.labelled_boxes(rings, ["layer"], ["polygon"])
     layer = rings.select("layer").distinct()
     stack = layer.select("layer", (c("layer") * 100).alias("zmin"), (c("layer") * 100 + 60).alias("zmax"), (c("layer") == 3).alias("is_via"))
-    return geo_text.box_script(boxes, stack)
+    return boxes, stack
+
+
+@query("io22_whole_script", f"""WITH body AS ({SCRIPT_SQL}), lines AS (SELECT * FROM body
+UNION ALL SELECT 0, 1, 'SetFactory("OpenCASCADE");' UNION ALL SELECT 0, 2, 'lc = 0.5; // Characteristic length (mesh size)'
+UNION ALL SELECT 6, 1, 'Physical Volume("boxes") = {{1 : ' || count(*) || '}};' FROM body WHERE section = 2
+UNION ALL SELECT 6, 2, '// Define the mesh size for all points' UNION ALL SELECT 6, 3, 'Mesh.MeshSizeMin = lc;')
+SELECT row_number() OVER (ORDER BY section, number) AS line, value FROM lines""")
+def whole_script(spark, folder):
+    """The script from its head to its end, written as one ordered text by several tasks and read back."""
+    path = _scratch(spark)
+    ordered_text.write_ordered(geo_text.whole_box_script(*stair_boxes(spark, folder)), path, ["section", "number"])
+    return ordered_text.read_ordered(spark, path)
 
 
 @query("io23_conductor_script", """WITH p AS (SELECT p_size % 5 + 1 AS layer, p_partkey, p_size, p_size % 4 + 1 AS steps FROM part)

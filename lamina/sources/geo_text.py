@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.checks import require_none
+from lamina.constants import literal_rows
 from lamina.durable import materialise
 from lamina.functions.scalars import general_text
 from lamina.operators.grouping import frequency
@@ -89,6 +90,18 @@ def box_script(boxes: DataFrame, stack: DataFrame) -> DataFrame:
         F.format_string('Physical Volume("Diel%d", %d) = my_fragments%d();', F.col("layer").cast("bigint"), "_n", "_n").alias("value")))
 
 
+def whole_box_script(boxes: DataFrame, stack: DataFrame, name: str = "boxes", size: float = 0.5) -> DataFrame:
+    """``box_script`` with its head (section 0: geometry kernel, mesh size) and its end (section 6: group of all boxes)."""
+    # Lines that the mesher needs before and after the boxes.
+    head = ['SetFactory("OpenCASCADE");', f"lc = {size}; // Characteristic length (mesh size)"]
+    end = ["// Define the mesh size for all points", "Mesh.MeshSizeMin = lc;"]
+    spark = boxes.sparkSession
+    fixed = literal_rows(spark, [(0, k, v) for k, v in enumerate(head, 1)] + [(6, k, v) for k, v in enumerate(end, 2)], "section int, number bigint, value string")
+    group = boxes.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
+        F.lit(6).alias("section"), F.lit(1).cast("bigint").alias("number"), F.format_string(f'Physical Volume("{name}") = {{1 : %d}};', "n").alias("value"))
+    return box_script(boxes, stack).unionByName(fixed).unionByName(group)
+
+
 def conductor_script(polygons: DataFrame, stack: DataFrame) -> DataFrame:
     """``(layer, polygon, value)``: the script block of every polygon.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.scalars import general_text
 from lamina.operators import arrays, lookup, numbering, spatial_index
-from lamina.sources import tables
+from lamina.sources import ordered_text, tables
 from tests.conftest import rows
 
 BOX = "id bigint, xmin double, ymin double, xmax double, ymax double"
@@ -95,3 +95,28 @@ def test_interval_ends_beyond_double_precision(spark, limit):
 def test_general_text_in_scientific_form(spark):
     df = spark.createDataFrame([(1e20,), (2.5e-7,), (1.25e15,), (3.0,)], "v double")
     assert [x[0] for x in df.select(general_text(F.col("v"))).collect()] == ["1e+20", "2.5e-07", "1.25e+15", "3"]
+
+
+def test_ordered_text_parts_join_to_the_file(spark, tmp_path):
+    r = random.Random(5)
+    lines = [(k, "x" * r.randrange(40) + "é" * (k % 3) if k % 50 else "") for k in range(900)]
+    path = f"{tmp_path}/text"
+    df = spark.createDataFrame(r.sample(lines, len(lines)), "k int, value string").repartition(5)
+    ordered_text.write_ordered(df, path, ["k"], parts=4)
+    listed = ordered_text.manifest(path)
+    whole = "".join(f"{v}\n" for _, v in lines).encode()
+    data = b"".join((tmp_path / "text" / p["name"]).read_bytes() for p in listed["parts"])
+    assert data == whole and listed["size"] == len(whole) and listed["lines"] == 900 and len(listed["parts"]) > 1
+    for p in listed["parts"]:
+        assert whole[p["offset"]:p["offset"] + p["size"]] == (tmp_path / "text" / p["name"]).read_bytes()
+        assert whole[:p["offset"]].count(b"\n") == p["first_line"] - 1
+    assert rows(ordered_text.read_ordered(spark, path), "line", "value") == [(k + 1, v) for k, v in lines]
+
+
+def test_ordered_text_of_nothing_and_failing_writes(spark, tmp_path):
+    ordered_text.write_ordered(spark.createDataFrame([], "k int, value string"), f"{tmp_path}/none", ["k"])
+    assert ordered_text.read_ordered(spark, f"{tmp_path}/none").collect() == []
+    bad = spark.range(50).select(F.col("id").alias("k"), F.when(F.col("id") < 40, "x").otherwise(F.raise_error(F.lit("midway")).cast("string")).alias("value"))
+    with pytest.raises(Exception, match="midway"):
+        ordered_text.write_ordered(bad, f"{tmp_path}/bad", ["k"], parts=2)
+    assert not (tmp_path / "bad" / ordered_text.MANIFEST).exists()
