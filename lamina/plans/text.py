@@ -18,7 +18,7 @@ from lamina.operators.lookup import interval_lookup
 from lamina.operators.numbering import global_position
 from lamina.plans import standins as s
 from lamina.plans.registry import query, table
-from lamina.sources import delimited, dielectric, geo_text, layout_text, lines, matrices, mesh, netlist, ordered_text, placements, tables
+from lamina.sources import delimited, dielectric, geo_text, gzip_members, layout_text, lines, matrices, mesh, netlist, ordered_text, placements, tables
 
 c = F.col
 
@@ -126,6 +126,15 @@ def component_file(spark, folder):
     return delimited.read_components(spark, path)
 
 
+@query("io9_member_csv", """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders""")
+def member_csv(spark, folder):
+    """Orders as compressed CSV in few files of many members, read back by ranges of bytes."""
+    path = _scratch(spark)
+    lines = table(spark, folder, "orders").select(F.to_csv(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("value"))
+    gzip_members.write_members(lines.coalesce(2), path)
+    return gzip_members.read_csv(spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double", chunk=32 << 10)
+
+
 @query("io10_csv_copy", """SELECT vec_id, label, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings""")
 def csv_copy(spark, folder):
     path = _scratch(spark)
