@@ -351,11 +351,15 @@ def layer_lookup(spark, folder):
     return lookup.lookup(rows, stack.stack_table(layers, vias), {"layer": "layer"}, {n: n for n in ("zmin", "zmax", "is_via")}, strict=True)
 
 
-@query("g9_violations", f"""WITH {SOLID} SELECT count(*) FILTER (WHERE zmax < zmin) AS z_order, count(*) FILTER (WHERE dz <= 0) AS height, count(*) FILTER (WHERE dx <= 0 OR dy <= 0) AS area FROM solid""")
+@query("g9_violations", f"""WITH {SOLID}, spoilt AS (SELECT CASE WHEN layer = 4 THEN zmin - 5 ELSE zmax END AS top, zmin, CASE WHEN dx > 45 THEN 0 ELSE dx END AS wide, dy, layer FROM solid)
+SELECT count(*) FILTER (WHERE top < zmin) AS z_order, count(*) FILTER (WHERE top - zmin <= 0) AS height, count(*) FILTER (WHERE wide <= 0 OR dy <= 0) AS area FROM spoilt""")
 def violations(spark, folder):
+    """Layer 4 upside down, and the widest boxes without any width."""
     from lamina.checks import violation_counts
 
-    return violation_counts(stack.extrude(s.layer_boxes(spark, folder), s.layer_stack(spark, folder)), stack.solid_rules())
+    boxes = s.layer_boxes(spark, folder).withColumn("xmax", F.when(c("xmax") - c("xmin") > 45, c("xmin")).otherwise(c("xmax")))
+    layers = s.layer_stack(spark, folder).withColumn("zmax", F.when(c("layer") == 4, c("zmin") - 5).otherwise(c("zmax")))
+    return violation_counts(stack.extrude(boxes, layers), stack.solid_rules())
 
 
 @query("g10_physical_ids", f"""WITH {s.LAYER_BOXES}, g AS (SELECT DISTINCT layer, root FROM layer_boxes), i AS (SELECT layer * 200 + root AS physical_id FROM g)

@@ -444,10 +444,13 @@ def shortest_distances(spark, folder):
     return graph.shortest_distances(edges, source)
 
 
-@query("r3_unreachable", f"""WITH RECURSIVE {WALK}
-SELECT count(*) AS unreachable FROM (SELECT DISTINCT src AS node FROM supply) WHERE node NOT IN (SELECT node FROM walk)""")
+@query("r3_unreachable", f"""WITH RECURSIVE {WALK}, apart AS (SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b FROM nation), nodes AS (SELECT src AS node FROM supply UNION SELECT a FROM apart UNION SELECT b FROM apart)
+SELECT count(*) AS unreachable FROM nodes WHERE node NOT IN (SELECT node FROM walk)""")
 def unreachable(spark, folder):
-    return graph.unreachable_count(graph.all_distances(*s.supply_graph(spark, folder)))
+    """The supply graph beside the nations and their regions, which no supplier is linked with."""
+    edges, source = s.supply_graph(spark, folder)
+    nations = table(spark, folder, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("a"), F.concat(F.lit("R"), "n_regionkey").alias("b"), F.lit(1.0).alias("w"))
+    return graph.unreachable_count(graph.all_distances(edges.unionByName(graph.undirected(nations, "a", "b", "w")), source))
 
 
 @query("r4_neighbours", f"WITH {s.SUPPLY_GRAPH} SELECT src, dst, w FROM supply WHERE src = 'S0'")
