@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.durable import materialise
 from lamina.llm.components import connected_components, smallest_labels
-from lamina.llm.words import by_size, hash_words, hashed, runs, texts_of, within, words_of
+from lamina.llm.words import REMEMBERED, by_size, give_back, hash_words, hashed, runs, texts_of, within, words_of
 
 GROUP = 16  # larger column groups go to panels instead of pairs
 COMMON, COMMON_LEAST = 1 << 17, 4  # length of the list of common shingles, and least count to be on it
 SHARED = 2  # documents of a batch that must have a shingle for the batch to report it
-COLUMN_BLOCK = 1_000_000  # prefix entries in a block of columns
+COLUMN_BLOCK = 500_000  # prefix entries in a block of columns
+RUN, SHARED_RUN = 400_000, 4_000_000  # shingles that a task spreads out or sorts at once, some 40 MB of arrays; a set is never cut
+CELLS = 1_000_000  # pairs of rows that a product of blocks adds up at once, some 60 MB of arrays
 ROW_BLOCK, ROW_BLOCK_SHINGLES = 1024, 1_000_000  # documents and shingles in a block of rows
 FILTER_BITS = 1 << 24  # fixed size of the filter for documents that are in any panel
 _STEP = 200_000  # words handled together
@@ -57,10 +59,13 @@ def _packed(shingles: np.ndarray) -> bytes:
 
 
 def _unpacked(parts: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, _BYTES)
-    wide = np.zeros((len(data), 8), np.uint8)
-    wide[:, :_BYTES] = data
-    return wide.view(np.uint64).ravel()
+    out = np.zeros(sum(map(len, parts)) // _BYTES, np.uint64)
+    wide, at = out.view(np.uint8).reshape(-1, 8), 0
+    for part in parts:
+        own = np.frombuffer(part, np.uint8).reshape(-1, _BYTES)
+        wide[at:at + len(own), :_BYTES] = own
+        at += len(own)
+    return out
 
 
 def shingle_sets(texts: list[bytes | None], size: int, known) -> Iterator[np.ndarray]:
@@ -103,26 +108,29 @@ def _sets(size: int) -> Callable:
                 counts.append(len(own))
                 classes.append(name)
                 sets.append(None if not len(own) or name in emitted else data)
+                if len(emitted) >= REMEMBERED:  # a set that is written again does no harm
+                    emitted.clear()
                 emitted.add(name)
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["id", "n", "class", "shingles"])
+            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["id", "key", "n", "class", "shingles"])
 
     return run
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _rows(batch: pa.RecordBatch, most: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Classes, set sizes and concatenated shingles, some rows at a time."""
     sizes = batch.column("n").to_numpy()
-    for part in runs(sizes, 4_000_000):
+    for part in runs(sizes, most):
         piece = batch.slice(part.start, part.stop - part.start)
         yield piece.column("class").to_numpy(), piece.column("n").to_numpy(), _unpacked(piece.column("shingles").to_pylist())
 
 
 def _shared_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, shingles in _rows(batch):
-            values, counts = np.unique(shingles, return_counts=True)
-            many = counts >= SHARED
-            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])], ["shingle", "count"])
+        for _, _, shingles in _rows(batch, SHARED_RUN):
+            shingles.sort()  # in place
+            values, counts = np.unique(shingles[1:][shingles[1:] == shingles[:-1]], return_counts=True)  # each once less than it is there
+            many = counts >= SHARED - 1
+            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many] + 1)], ["shingle", "count"])
 
 
 def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
@@ -169,6 +177,7 @@ def _prefixes(common, blocks: int, percent: int) -> Callable:
 def _column_product(percent: int, group: int) -> Callable:
     """Rows ``(a, b, na, nb)``: pairs of classes that meet once more; membership has ``nb`` null and the shingle as ``b``."""
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         shingles, classes, sizes = _unpacked(table.column("shingles").to_pylist()), join("classes", np.int64), join("sizes", np.int32)
         hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=len(c) // 8) for h, c in zip(table.column("hot").to_pylist(), table.column("classes").to_pylist())]).astype(bool)
@@ -213,7 +222,7 @@ def overlaps(rows: tuple[np.ndarray, np.ndarray], columns: tuple[np.ndarray, np.
     dense = (count > 32) & (to - at > 32)
     light = np.flatnonzero((to > at) & ~dense)
     cells = count[light] * (to - at)[light]
-    for part in runs(cells, 4_000_000):  # few rows in a column: add up its pairs
+    for part in runs(cells, CELLS):  # few rows in a column: add up its pairs
         own, many = light[part], cells[part]
         inner = within(np.zeros(len(own), np.int64), many)
         width = np.repeat((to - at)[own], many)
@@ -232,6 +241,7 @@ def overlaps(rows: tuple[np.ndarray, np.ndarray], columns: tuple[np.ndarray, np.
 def _row_product(percent: int) -> Callable:
     """Rows ``(class, partner, links)``: forest edges have a partner, counts have links."""
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         side = table.column("side").to_numpy()
         blocks = []
         for k in (0, 1):
@@ -292,12 +302,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the smallest id reachable by links; ``n_links`` counts the linked documents.
     A text with fewer words than ``size`` is one shingle; null, empty or blank texts have none and link
     with nothing. Repeated rows and ids count as documents of their own. A null id is passed over
-    when the smallest is taken, and a component without any id has a null one. Other columns of ``docs``
-    are not used. ``percent`` lies in 1..100.
+    when the smallest is taken, and a component without any id has a null one. Texts of any length are read
+    whole; an empty table gives no rows. Other columns of ``docs`` are not used. ``percent`` lies in 1..100.
+    """
+    return join_rows(docs, id_col, text_col, size, percent).drop("row_key", "component_key")
+
+
+def join_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """``ngram_jaccard_join`` with ``row_key`` and ``component_key``.
+
+    ``row_key`` is ``xxhash64(id, text)``, which tells rows of one id apart; ``component_key`` names the component
+    whatever its ids are, null without shingles.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(source.mapInArrow(_sets(size), "id bigint, n bigint, class bigint, shingles binary"))
+    source = source.withColumn("key", F.xxhash64("id", "text"))
+    rows = materialise(source.mapInArrow(_sets(size), "id bigint, key bigint, n bigint, class bigint, shingles binary"))
     sets = rows.where("shingles IS NOT NULL").select("class", "n", "shingles")
     classes = materialise(rows.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.min("n").alias("n")))
 
@@ -335,7 +355,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = classes.join(joined.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = parts.groupBy("component").agg(F.min("least").alias("smallest"))
-    known = materialise(parts.join(least, "component").join(links, "class", "left").select("class", "smallest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    some = rows.where("n > 0").select("id", "n", "class").join(known, "class").select("id", "n", F.col("smallest").alias("component_id"), "links")
-    none = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("bigint").alias("links"))
-    return some.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("links").alias("n_links"))
+    known = parts.join(least, "component").join(links, "class", "left")
+    known = materialise(known.select("class", "smallest", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    some = rows.where("n > 0").select("id", "n", "class", "key").join(known, "class").select("id", "n", F.col("smallest").alias("component_id"), "links", "key", "component")
+    none = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("bigint").alias("links"), "key", F.lit(None).cast("bigint").alias("component"))
+    return some.unionByName(none).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("links").alias("n_links"), F.col("key").alias("row_key"), F.col("component").alias("component_key"))
