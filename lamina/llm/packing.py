@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.durable import materialise
-from lamina.llm.words import Remembered, by_size, texts_of
+from lamina.llm.words import REMEMBERED, by_size, texts_of
 
 CAPACITY, END = 4096, 1
 NEARLY_FULL = 16  # a bin with less room is final
 ITEMS = 100_000  # pieces in a task of the first round
 FAN_IN, CARRIED = 8, 20_000
+SLICE = 2_000_000  # bytes of text that a task splits into words at once
 _ENDS = ".,;:!?"
 _BIN_BITS = 32
 
@@ -35,37 +36,74 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a memory of words.
 
     For a tokenizer that splits at white space and between letters and punctuation before anything
-    else: blank-separated parts are encoded on their own, and a known letter part spares its encoding.
+    else, so that parts between blanks can be encoded on their own. What a slice of texts has of new words of letters goes
+    through the tokenizer as one text; the ends of the words show in tokens that only end a word. Words are
+    remembered for two generations: a full memory grows old, and what is used again gets young.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bound: int = REMEMBERED // 3):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Remembered(self._part)
-        self.cores = Remembered(self._encode)
+        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
+        self.words: tuple[dict, dict] = ({}, {})  # young and old, by word of letters
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        core = part.rstrip(_ENDS)
-        if not core.isalpha():
-            return self._encode(part) if part else b""
-        ids = self.cores[core.lower() if core.isascii() else core]
-        return ids + self.cores[part[len(core):]] if len(core) < len(part) else ids
-
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word of letters."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        at = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(at) != len(words) or at[-1] != 4 * len(ids):  # a word that is several, or no such ends
+            return list(map(self._encode, words))
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *at[:-1].tolist()], at.tolist())]
+
+    def _recall(self, wanted: set[str]) -> list[str]:
+        """Makes the remembered ones of the wanted words young; returns the others."""
+        young, old = self.words if len(self.words[0]) < self.bound else ({}, self.words[0])
+        unknown = []
+        for word in wanted - young.keys():
+            if word in old:
+                young[word] = old[word]
+            else:
+                unknown.append(word)
+        self.words = young, old
+        return unknown
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        split = [text.replace(b"\n", b" ").split(b" ") if text else [] for text in texts]
+        pending, odd = [], []
+        for part in set().union(*split):
+            text = part.decode()
+            core = text.rstrip(_ENDS)
+            if core.isalpha():
+                pending.append((part, core.lower() if core.isascii() else core, text[len(core):]))
+            else:
+                odd.append((part, text))
+        new = self._recall({word for _, word, _ in pending})
+        words = self.words[0]
+        for at in range(0, len(new), 4096):
+            words.update(zip(new[at:at + 4096], self._encode_words(new[at:at + 4096])))
+        tails = {tail: self._encode(tail) if tail else b"" for tail in {tail for _, _, tail in pending}}
+        known = {}
+        for part, word, tail in pending:
+            known[part] = words[word] + tails[tail]
+        for part, text in odd:
+            known[part] = self._encode(text) if text else b""
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 def _pieces(path: str, capacity: int, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = Encoder(path), np.array([end], "<u4").tobytes()
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", SLICE):
             rows: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            for k, text in enumerate(texts_of(batch, "text")):
-                ids = encode(text.decode() if text else "") + last
+            for k, ids in enumerate(encode(texts_of(batch, "text"))):
+                ids += last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     for name, value in zip(rows, (k, piece, at // 4, len(part) // 4, zlib.crc32(part))):
