@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lamina.durable import materialise, shared_folder
 from lamina.llm import decontamination, exact_dedup, jaccard_join, packing, toxicity
@@ -22,32 +22,53 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these ids."""
-    return drop_keys(docs.select(*COLUMNS), "doc_id", materialise(ids.select("doc_id").distinct()))
+def _row_key() -> Column:
+    """Tells rows apart, those that share an id too; rows alike in id and text are one row that repeats."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows of these row keys."""
+    gone = materialise(keys.toDF("_row").distinct())
+    return drop_keys(docs.select(*COLUMNS, _row_key().alias("_row")), "_row", gone).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the severity model doesn't reject."""
+    """Documents that the severity model doesn't reject.
+
+    Every row is judged by its own text, so null and repeated ids make no difference; a null text is judged as an empty
+    one. The model learns from the rows of ``labels`` with an id and a grade. Without rows there are none to return.
+    """
     model = toxicity.fit_severity(docs, _table(spark, folder, "labels"))
     return toxicity.severity(docs.select(*COLUMNS), model).where("NOT rejected").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts; a null text counts as empty, null and repeated ids take part."""
     return exact_dedup.keep_distinct(docs.select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; all without an id."""
-    linked = jaccard_join.ngram_jaccard_join(docs)
-    return _without(docs, linked.where("doc_id <> component_id").select("doc_id"))
+    """The document with the smallest id of each group of linked documents.
+
+    Rows are told apart by id and text. Of several rows with a group's smallest id (or without any id) the one with
+    the smallest row key stays, as often as it repeats; a row without an id goes where the group has one. Texts
+    without words are in no group and stay. Without rows there are none to return.
+    """
+    linked = materialise(jaccard_join.join_rows(docs).where("n_links > 0"))
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = linked.where(least).groupBy("component_key").agg(F.min("row_key").alias("_stays"))
+    lost = linked.join(stays, "component_key").where(~least | (F.col("row_key") != F.col("_stays")))
+    return _without(docs, lost.select("row_key"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that leak no item of the benchmark."""
-    leaks = decontamination.find_leaks(docs, _table(spark, folder, "benchmark"))
-    return _without(docs, leaks.select("doc_id"))
+    """Documents that leak no item of the benchmark; every row is searched on its own, whatever its id.
+
+    Null and empty texts leak nothing, and so does a benchmark without rows. Without rows there are none to return.
+    """
+    leaks = decontamination.find_leaks(docs.select("text", _row_key().alias("_row")), _table(spark, folder, "benchmark"), id_col="_row")
+    return _without(docs, leaks.select("_row"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
