@@ -1,81 +1,114 @@
 """Sharding by balanced label propagation over links between documents with equal texts.
 
-Every document starts in a shard by hash. In each round the documents of a text vote for the shard that
-holds most of them; those elsewhere ask to move, in units of bounded size, and each pair of shards lets
-as many units through as keeps both within their quota. A last pass brings each unit together where most
-of it is, numbers the documents in the order of their shards and texts and cuts that order into equal
-runs, so counts are at most one apart and each of the cuts parts one unit at most. Only DataFrame functions run here.
+Every document starts in a shard by hash. In each round the documents of a text vote for shards, and those elsewhere ask to move
+up that ranking, to the first shard that isn't full. They move in units of bounded size, and each shard lets in as many as
+leave it or still fit. Documents with links may fill a shard's whole share, as those without give way later. Rounds end
+when nobody may move. A last pass evens out the counts: what a shard has beyond its share, documents without links first, goes to
+the shards that lack some; all others stay where the rounds have put them. Only DataFrame functions run here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from itertools import accumulate
 
-from lamina.durable import materialise, materialise_counted
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lamina.durable import materialise
 from lamina.operators.numbering import global_position
 
-ROUNDS = 4
-SLACK = 0.03  # by which a shard may exceed its share between rounds
+ROUNDS = 30  # guards against an endless loop; rounds end when they settle
 UNITS = 32  # units that a shard's share holds at least: a text with more documents moves in parts
 _LOTS = 1_000_000
 
 
+def _by_shard(values: list, of: str = "shard") -> Column:
+    """The value of each row's shard."""
+    return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col(of) + 1)
+
+
+def _units() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("units") - 1))
+
+
 def _propagate(rows: DataFrame, shards: int, total: int) -> DataFrame:
-    """``rows`` (row, text, unit, linked, shard) after rounds of moves under quotas."""
-    quota = total / shards * (1 + SLACK)
+    """``rows`` (row, text, unit, units, shard), all with links, after rounds of moves under quotas."""
+    quota = total // shards
     for turn in range(ROUNDS):
-        votes = rows.where("linked").groupBy("text", "shard").agg(F.count(F.lit(1)).alias("votes"))
-        wish = votes.groupBy("text").agg(F.max_by("shard", F.struct("votes", F.xxhash64("text", "shard"))).alias("wish"))
-        asked = materialise(rows.join(wish, "text", "left"))  # one row for each text: the other side may be hot
-        loads = {r[0]: r[1] for r in asked.groupBy("shard").count().collect()}  # a row per shard
+        votes = rows.groupBy("text", "shard").agg(F.count(F.lit(1)).alias("votes"), F.max("units").alias("units"))
+        choice = F.struct((-F.col("votes")).alias("votes"), F.xxhash64("text", "shard").alias("lot"), "shard")
+        ranked = votes.groupBy("text").agg(F.sort_array(F.collect_list(choice)).alias("ranked"), F.max("units").alias("units"))  # an entry for each shard at most
+        ranked = ranked.select("text", "ranked", _units().alias("unit"))
+        counted = dict(rows.groupBy("shard").count().collect())  # a row for each shard
+        loads = [counted.get(k, 0) for k in range(shards)]
+        full = [k for k in range(shards) if loads[k] >= quota]
+        # the own shard ends the search, so nobody moves down the ranking
+        fits = lambda e: (e["shard"] == F.col("shard")) | ~e["shard"].isin(full)
+        wish = F.element_at(F.filter("ranked", fits), 1)["shard"]
+        asked = materialise(rows.join(ranked, ["text", "unit"]).select(*rows.columns, wish.alias("wish")))
         moves = asked.where("wish <> shard").groupBy("shard", "wish").count().collect()  # at most shards * shards rows
-        flow = {(a, b): n for a, b, n in moves}
-        if not flow:
+        if not moves:
             return rows
-        shares = []
+        flow = {(a, b): n for a, b, n in moves}
+        inward = [sum(n for (_, to), n in flow.items() if to == b) for b in range(shards)]
+        let, going = F.lit(0.0), 0.0
         for (a, b), n in flow.items():
-            room = max(0.0, quota - loads.get(b, 0)) * n / sum(m for (_, to), m in flow.items() if to == b)
-            shares.append((a, b, min(1.0, (min(n, flow.get((b, a), 0)) + room) / n)))
-        lot = F.pmod(F.xxhash64("text", "unit", F.lit(turn)), F.lit(_LOTS)) / _LOTS
-        let = F.lit(0.0)
-        for a, b, share in shares:
+            share = min(1.0, (min(n, flow.get((b, a), 0)) + max(0, quota - loads[b]) * n / inward[b]) / n)
+            going += share * n
             let = F.when((F.col("shard") == a) & (F.col("wish") == b), share).otherwise(let)
-        moved = asked.withColumn("new", F.when(lot < let, F.col("wish")).otherwise(F.col("shard")))
-        rows, count = materialise_counted(moved.select("row", "text", "unit", "linked", F.col("new").alias("shard"), (F.col("new") != F.col("shard")).alias("went")), went=F.col("went"))
-        rows = rows.drop("went")
-        if not count["went"]:
+        if going < 1:
             return rows
+        lot = F.pmod(F.xxhash64("text", "unit", F.lit(turn)), F.lit(_LOTS)) / _LOTS
+        rows = materialise(asked.select("row", "text", "unit", "units", F.when(lot < let, F.col("wish")).otherwise(F.col("shard")).alias("shard")))
     return rows
 
 
+def _even_out(rows: DataFrame, shards: int, total: int) -> DataFrame:
+    """``(row, shard, slot)`` of ``rows`` (row, text, unit, linked, shard) with counts at most one apart."""
+    counted = dict(rows.groupBy("shard").count().collect())  # a row for each shard
+    counts = [counted.get(k, 0) for k in range(shards)]
+    larger = sorted(range(shards), key=lambda k: -counts[k])[:total % shards]
+    shares = [total // shards + (k in larger) for k in range(shards)]
+    before = lambda values: [0, *accumulate(values)][:shards]
+    # inside a shard, documents without links come last; those behind its share are the surplus, numbered over all shards
+    placed = global_position(rows.select("row", "shard", (~F.col("linked")).alias("single"), "text", "unit"), ["shard", "single", "text", "unit", "row"], "pos")
+    inside = F.col("pos") - 1 - _by_shard(before(counts))
+    surplus = before([max(0, n - most) for n, most in zip(counts, shares)])
+    placed = placed.select("row", "shard", inside.alias("inside"), (inside - _by_shard(shares) + _by_shard(surplus)).alias("extra"))
+    stays = F.col("inside") < _by_shard(shares)
+    lacks = [max(0, most - n) for n, most in zip(counts, shares)]
+    into = F.col("shard")
+    for k, (start, lack) in enumerate(zip(before(lacks), lacks)):
+        into = F.when(F.col("extra").between(start, start + lack - 1), k).otherwise(into)
+    placed = placed.select("row", "inside", "extra", stays.alias("stays"), F.when(stays, F.col("shard")).otherwise(into).cast("int").alias("shard"))
+    slot = F.when(F.col("stays"), F.col("inside")).otherwise(_by_shard(counts) + F.col("extra") - _by_shard(before(lacks)))
+    return placed.select("row", "shard", slot.cast("bigint").alias("slot"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
 
     The law is ``rows``: shards hold equally many documents, or one more. ``slot`` numbers a shard's
     documents from 0; ``grown_shard`` is null, as it belongs to another law. A null text counts as
-    empty. Repeated rows and ids, and null ids, are documents like any other. Other columns are not used.
+    empty. Repeated rows and ids, and null ids, are documents like any other; texts of any length are read whole. Votes that tie are
+    decided by a hash. An empty table gives no rows. Other columns are not used.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     compact = materialise(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("text")))
     total = compact.count()
-    groups = compact.groupBy("text").agg(F.count(F.lit(1)).alias("members"))
-    parts = F.ceil(F.col("members") * shards * UNITS / max(1, total))
+    units = F.ceil(F.col("members") * shards * UNITS / max(1, total)).cast("bigint")
+    groups = materialise(compact.groupBy("text").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("text", units.alias("units")))
+    hot = groups.where("units > 1")  # fewer than shards * UNITS texts, as each has more than that part of all rows
     start = F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int")
-    rows = compact.select("row", "text").join(groups, "text")
-    rows = materialise(rows.select("row", "text", F.pmod(F.xxhash64("row"), parts).alias("unit"), (F.col("members") > 1).alias("linked"), start.alias("shard")))
-    rows = _propagate(rows, shards, total)
-    # what the quotas left behind follows its unit; the last pass evens out the counts
-    held = rows.where("linked").groupBy("text", "unit", "shard").agg(F.count(F.lit(1)).alias("votes"))
-    home = held.groupBy("text", "unit").agg(F.max_by("shard", F.struct("votes", "shard")).alias("home"))
-    rows = rows.join(home, ["text", "unit"], "left").withColumn("shard", F.coalesce("home", "shard"))
-    placed = global_position(rows.select("row", "text", "unit", "shard"), ["shard", "text", "unit", "row"], "pos")
-    # whole numbers: pos - 1 lies in shard s when s * total <= (pos - 1) * shards < (s + 1) * total
-    new = F.expr(f"((pos - 1) * {shards}) div {max(1, total)}")
-    placed = placed.select("row", new.cast("int").alias("shard"), "pos")
-    first = F.expr(f"(shard * {total}L + {shards} - 1) div {shards}")
-    placed = placed.select("row", "shard", (F.col("pos") - 1 - first).cast("bigint").alias("slot"))
+    rows = compact.select("row", "text", start.alias("shard")).join(F.broadcast(hot), "text", "left")
+    rows = rows.select("row", "text", "shard", F.pmod(F.xxhash64("row"), F.coalesce("units", F.lit(1))).cast("bigint").alias("unit"))
+    spread = groups.select("text", "units", _units().alias("unit"))
+    rows = materialise(rows.join(spread, ["text", "unit"], "left"))
+    linked = _propagate(rows.where("units IS NOT NULL").select("row", "text", "unit", "units", "shard"), shards, total)
+    columns = ["row", "text", "unit", "shard"]
+    both = linked.select(*columns, F.lit(True).alias("linked")).unionByName(rows.where("units IS NULL").select(*columns, F.lit(False).alias("linked")))
+    placed = _even_out(both, shards, total)
     return compact.join(placed, "row").select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -1,5 +1,6 @@
 """Corpus operators against brute force, exact round trips and held-out rows."""
 
+import itertools
 import math
 import os
 import random
@@ -203,6 +204,43 @@ def test_shards_keep_copies_together(spark):
     assert sum(len(own) > 1 for own in places.values()) <= 2  # the two cuts between three shards
 
 
+def test_rounds_lower_the_cut_of_shards(spark, monkeypatch):
+    r = random.Random(9)
+    groups = [r.choice([2, 3, 4, 7]) for _ in range(60)] + [90]  # the largest fits in no shard
+    texts = [f"text {k}" for k, n in enumerate(groups) for _ in range(n)] + [f"lone {k}" for k in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+
+    def cut_pairs():
+        rows = sharding.shard_documents(df).collect()
+        counts = Counter(x["shard"] for x in rows)
+        assert max(counts.values()) - min(counts.values()) <= 1 and len(rows) == len(texts)
+        assert all(sorted(x["slot"] for x in rows if x["shard"] == s) == list(range(n)) for s, n in counts.items())
+        places = defaultdict(Counter)
+        for x in rows:
+            places[texts[x["doc_id"]]][x["shard"]] += 1
+        pairs = lambda n: n * (n - 1) // 2
+        return sum(pairs(sum(own.values())) - sum(map(pairs, own.values())) for own in places.values()), sum(len(own) > 1 for t, own in places.items() if t != "text 60")
+
+    settled, cut = cut_pairs()
+    monkeypatch.setattr(sharding, "ROUNDS", 0)
+    start, cut_at_start = cut_pairs()
+    assert cut_at_start > 40 and cut <= 8 and settled < 0.8 * start
+
+
+def test_shards_reach_the_least_cut(spark):
+    sizes = [3, 3, 2, 2]
+    texts = [f"text {k}" for k, n in enumerate(sizes) for _ in range(n)] + ["a", "b", "c", "d"]
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), shards=2).collect()
+    places = defaultdict(Counter)
+    for x in rows:
+        places[texts[x["doc_id"]]][x["shard"]] += 1
+    cut = sum(own[0] * own[1] for own in places.values())
+    least = min(
+        sum(k * (n - k) for k, n in zip(split, sizes))
+        for split in itertools.product(*[range(n + 1) for n in sizes]) if 3 <= sum(split) <= 7)  # four lone ones fill up either side to seven
+    assert least == 0 and cut <= 2
+
+
 @pytest.mark.parametrize("label", ["toxic", "quality"])
 def test_grades_on_held_out_rows(spark, label):
     folder = "/root/testdata/sf0.01"
