@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.durable import materialise
-from lamina.llm.words import Remembered, by_size, runs, texts_of
+from lamina.llm.words import Remembered, by_size, runs, small_batches, texts_of
 
 WINDOW = 8  # template words in a window; a shorter item is one window
 LITERAL = 4  # a window needs as many words that aren't placeholders, a shorter one half its length
@@ -131,7 +131,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     or wordless texts and items match nothing, as do items whose every window is mostly placeholders.
     Items that share an id are taken together; items without an id are passed over.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = materialise(items.where("id IS NOT NULL").mapInArrow(_windows([], None), _SCHEMA))
     sizes = sorted(r[0] for r in items.select("size").distinct().limit(WINDOW + 1).collect())

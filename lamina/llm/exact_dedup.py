@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.durable import materialise
 from lamina.llm.membership import key_filter
-from lamina.llm.words import by_size, texts_of
+from lamina.llm.words import by_size, small_batches, texts_of
 
 COUNTERS = 512  # Misra-Gries counters of a task: finds what holds over 1/512 of its rows
 HEAVY = 4096  # proposals that are verified
@@ -74,6 +74,7 @@ def settle(compact: DataFrame) -> DataFrame:
 
 
 def _compact(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return materialise(source.mapInArrow(digests, "id bigint, chars bigint, digest binary"))
 

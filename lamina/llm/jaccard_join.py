@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.durable import materialise
 from lamina.llm.components import connected_components, smallest_labels
-from lamina.llm.words import REMEMBERED, by_size, give_back, hash_words, hashed, runs, texts_of, within, words_of
+from lamina.llm.words import REMEMBERED, by_size, give_back, hash_words, hashed, runs, small_batches, texts_of, within, words_of
 
 GROUP = 16  # larger column groups go to panels instead of pairs
 COMMON, COMMON_LEAST = 1 << 17, 4  # length of the list of common shingles, and least count to be on it
@@ -125,12 +125,24 @@ def _rows(batch: pa.RecordBatch, most: int = RUN) -> Iterator[tuple[np.ndarray,
 
 
 def _shared_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(parts: list[np.ndarray]) -> pa.RecordBatch:
+        shingles = np.concatenate(parts)
+        parts.clear()
+        shingles.sort()  # in place
+        values, counts = np.unique(shingles[1:][shingles[1:] == shingles[:-1]], return_counts=True)  # each once less than it is there
+        many = counts >= SHARED - 1
+        return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many] + 1)], ["shingle", "count"])
+
+    parts, total = [], 0  # of several batches
     for batch in batches:
-        for _, _, shingles in _rows(batch, SHARED_RUN):
-            shingles.sort()  # in place
-            values, counts = np.unique(shingles[1:][shingles[1:] == shingles[:-1]], return_counts=True)  # each once less than it is there
-            many = counts >= SHARED - 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many] + 1)], ["shingle", "count"])
+        for _, _, shingles in _rows(batch):
+            parts.append(shingles)
+            total += len(shingles)
+            if total >= SHARED_RUN:
+                yield shared(parts)
+                total = 0
+    if parts:
+        yield shared(parts)
 
 
 def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
@@ -314,7 +326,7 @@ def join_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ``row_key`` is ``xxhash64(id, text)``, which tells rows of one id apart; ``component_key`` names the component
     whatever its ids are, null without shingles.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("key", F.xxhash64("id", "text"))
     rows = materialise(source.mapInArrow(_sets(size), "id bigint, key bigint, n bigint, class bigint, shingles binary"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.words import Remembered, by_size, texts_of
+from lamina.llm.words import Remembered, by_size, small_batches, texts_of
 
 BITS = 18  # words and beginnings each: size of the hashed feature space
 SAMPLE = 4000  # labelled rows of each grade that a fit uses at most
@@ -172,6 +172,7 @@ def sample_labels(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
             own = [features_of(t, known).astype(np.int32).tobytes() for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, pa.binary())], ["label", "features"])
 
+    small_batches(docs.sparkSession)
     # at most GRADES * most ids: bounded by the parameter
     joined = texts.join(F.broadcast(chosen.select("id", "label")), "id").select("label", "text")
     return joined.mapInArrow(features, "label double, features binary").toPandas()
@@ -192,7 +193,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str =
 
 def grade_texts(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``expected_grade`` and ``tails`` (P(grade > k) for each threshold), replaced if present."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.grades))  # of fixed size
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast((model.weights, model.thresholds, model.grades))  # of fixed size
     kept = [c for c in docs.columns if c not in ("expected_grade", "tails")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

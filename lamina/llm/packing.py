@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.durable import materialise
-from lamina.llm.words import REMEMBERED, by_size, texts_of
+from lamina.llm.words import REMEMBERED, by_size, small_batches, texts_of
 
 CAPACITY, END = 4096, 1
 NEARLY_FULL = 16  # a bin with less room is final
@@ -165,6 +165,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     (none for a null or empty text) and ``end``; only texts of more than ``capacity`` ids are cut. Repeated
     rows and ids, and null ids, are packed like any other row. Other columns are not used.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialise(source.mapInArrow(_pieces(tokenizer, capacity, end), "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"))
     whole = pieces.where(F.col("length") == capacity)

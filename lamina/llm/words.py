@@ -13,9 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import SparkSession
 
 REMEMBERED = 300_000  # words whose value a task remembers; only saves time
 PIECE = 4_000_000  # bytes of text that a task holds as Python objects at once, or one text
+BATCH = 8 << 20  # bytes of an Arrow batch, or one row
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 class Remembered(dict):
@@ -45,6 +48,17 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the session's Arrow batches to ``BATCH`` bytes; another bound than Spark's default stays.
+
+    The default of 64 MB is held several times for each task: in the executor's direct memory while a batch is filled and
+    sent, and by the worker that reads it.
+    """
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH))
+    return spark
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker lives on after its task and would hold its peak beside later ones."""
     pa.default_memory_pool().release_unused()
