@@ -12,6 +12,8 @@ from lamina.plans import standins as s
 from lamina.plans.registry import query, table
 from lamina.sources import ingest, stream_layout
 
+ELEMENTS_IN_FILE = 500_000  # of a written stream
+
 c = F.col
 
 
@@ -73,16 +75,21 @@ def label_records(spark, folder):
 
 # ---- the same tables by way of binary streams ------------------------------------------------
 
-def stream(spark, folder):
-    """Tables read back from streams that hold staircases, references and labels, several files of many chunks each."""
+def stream(spark, folder, kind_of_rows):
+    """Tables read back from streams that hold staircases, references and labels, several files of many chunks each.
+
+    Files and chunks follow from the number of elements. Rows are made for one kind only; the streams hold all.
+    """
     kind = lambda name: F.lit(name).alias("kind")
     shapes = s.staircases(spark, folder).select(kind("shape"), F.concat(F.lit("P"), "polygon").alias("cell"), c("layer").cast("int").alias("layer"), F.lit(0).alias("datatype"), "ring")
     refs = references(spark, folder).select(kind("ref"), "*")
     texts = label_records(spark, folder).select(kind("label"), "cell", "layer", c("texttype").alias("datatype"), "x", "y", "text")
     every = shapes.unionByName(refs, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
     path = f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}"
-    stream_layout.write_stream(every, path, ["kind", "x", "y"], parts=3)
-    return stream_layout.layout_tables(stream_layout.read_elements(spark, path, chunk=256 << 10))
+    many = every.count()
+    stream_layout.write_stream(every, path, ["kind", "x", "y"], parts=max(3, many // ELEMENTS_IN_FILE))
+    chunk = min(stream_layout.CHUNK, max(256 << 10, many * 2))  # some forty chunks or more, as an element has some 80 bytes
+    return stream_layout.layout_tables(stream_layout.read_elements(spark, path, chunk, (kind_of_rows,)))
 
 
 @query("io1_stream_geometries", """WITH p AS (SELECT p_partkey AS x, p_size AS y, p_size % 4 + 1 AS k FROM part),
@@ -91,7 +98,7 @@ t AS (SELECT *, list_aggregate(list_transform(generate_series(0, k - 1), lambda
 SELECT 'P' || x AS "CellName", CAST(y % 5 AS BIGINT) AS "Layer", CAST(0 AS BIGINT) AS "DataType", CASE WHEN k = 1 THEN 'Box' ELSE 'Polygon' END AS "ShapeType",
  '[' || x || '.0, ' || (x + 2 * k) || '.0, ' || xs || ']' AS "X_JSON", '[' || y || '.0, ' || y || '.0, ' || ys || ']' AS "Y_JSON" FROM t""")
 def stream_geometries(spark, folder):
-    return stream(spark, folder)["geometries"]
+    return stream(spark, folder, "shape")["geometries"]
 
 
 @query("io1_stream_instances", """WITH n AS (SELECT *, l_linenumber AS n, CASE WHEN l_linenumber > 3 THEN l_linenumber - 2 ELSE 1 END AS cols FROM lineitem)
@@ -99,10 +106,10 @@ SELECT 'S' || l_suppkey AS "CellName", 'P' || l_partkey AS "RefCellName", l_quan
  CAST(CASE WHEN n % 3 = 0 THEN 180 ELSE 0 END AS DOUBLE) AS "ANGLE", l_returnflag = 'R' AS "IsXReflect", cols > 1 AS "IsArray", CAST(cols AS BIGINT) AS "Columns", CAST(1 AS BIGINT) AS "Rows",
  round(CASE WHEN cols > 1 THEN l_discount ELSE 0 END, 6) AS "DX", round(CASE WHEN cols > 1 THEN l_tax ELSE 0 END, 6) AS "DY" FROM n""")
 def stream_instances(spark, folder):
-    return stream(spark, folder)["instances"].withColumns({n: F.round(n, 6) for n in ("DX", "DY")})
+    return stream(spark, folder, "ref")["instances"].withColumns({n: F.round(n, 6) for n in ("DX", "DY")})
 
 
 @query("io1_stream_labels", """SELECT 'S' || l_suppkey AS "CellName", CAST(l_linenumber AS BIGINT) AS "Layer", CAST(l_linenumber % 2 AS BIGINT) AS "TextType", l_quantity AS "X",
  CAST(l_linenumber AS DOUBLE) AS "Y", l_shipdate::DATE::VARCHAR || ' ' || l_returnflag AS "Label" FROM lineitem""")
 def stream_labels(spark, folder):
-    return stream(spark, folder)["textlabels"]
+    return stream(spark, folder, "label")["textlabels"]

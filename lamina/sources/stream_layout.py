@@ -6,7 +6,8 @@ element: it looks for the end of an element followed by the start of another, an
 the first such place behind its chunk. Such bytes may also occur inside data. Each task therefore reports its
 first and last place as a seam, and a chunk counts only when its first place is where the chunk before it
 ended. A chunk that fails this is read again from the proven place. So the result is exact, and the
-file is read once however many tasks share it.
+file is read once however many tasks share it. Records are walked one by one, but decoded and encoded a
+block at a time, as arrays; only paths, lattices off the axes and fields of unusual size are taken singly.
 
 Elements before the first structure name of a chunk belong to the structure that the chunk before ended in; the
 seams, one row for each chunk, carry the names over.
@@ -23,7 +24,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -35,7 +38,7 @@ from lamina.sources.ingest import cell_boxes, geometry_rows, instance_rows, labe
 FORMAT = "lamina_stream_layout"
 CHUNK = 64 << 20  # bytes of a file for one task
 ROUND = 16  # sides of a half circle at the ends of a path
-_ROWS = 4096  # rows in an Arrow batch
+BLOCK = 1 << 20  # bytes decoded at a time
 
 # Record types of the stream format.
 HEADER, BGNLIB, LIBNAME, UNITS, ENDLIB, BGNSTR, STRNAME, ENDSTR = range(0x00, 0x08)
@@ -43,8 +46,8 @@ BOUNDARY, PATH, SREF, AREF, TEXT, LAYER, DATATYPE, WIDTH, XY, ENDEL, SNAME, COLR
 NODE, TEXTTYPE, STRING, STRANS, MAG, ANGLE, PATHTYPE, BOX, BOXTYPE, BGNEXTN, ENDEXTN = 0x15, 0x16, 0x19, 0x1A, 0x1B, 0x1C, 0x21, 0x2D, 0x2E, 0x30, 0x31
 ELEMENTS = frozenset((BOUNDARY, PATH, SREF, AREF, TEXT, NODE, BOX))
 LAST_TYPE = 0x3B
-# the end of an element and the start of the next
-SEAM = re.compile(rb"\x00\x04\x11\x00(?=\x00\x04[\x08\x09\x0A\x0B\x0C\x15\x2D]\x00)")
+# the end of an element and the start of the next, or the end of the structure: also structures of one element have seams
+SEAM = re.compile(rb"\x00\x04\x11\x00(?=\x00\x04[\x07\x08\x09\x0A\x0B\x0C\x15\x2D]\x00)")
 
 SCHEMA = (
     "file string, chunk int, kind string, place bigint, cell string, layer int, datatype int, ring array<struct<x: double, y: double>>, "
@@ -71,6 +74,23 @@ def to_real8(value: float) -> bytes:
     return ((value < 0) << 63 | (sixteens + 64) << 56 | bits).to_bytes(8, "big")
 
 
+def real8s(data: np.ndarray) -> np.ndarray:
+    """``real8`` of many: rows of eight bytes."""
+    bits = np.ascontiguousarray(data).view(">u8").ravel().astype(np.uint64)
+    size = np.ldexp((bits & np.uint64((1 << 56) - 1)).astype(np.float64), (4 * ((bits >> np.uint64(56) & np.uint64(127)).astype(np.int64) - 64) - 56).astype(np.int32))
+    return np.where(bits >> np.uint64(63) == 1, -size, size)
+
+
+def to_real8s(values: np.ndarray) -> np.ndarray:
+    fraction, power = np.frexp(np.abs(values))
+    sixteens = -(-power.astype(np.int64) // 4)
+    if not (np.isfinite(values) & (sixteens >= -64) & (sixteens < 64)).all():
+        raise StrictModeError("a number is out of the range of eight-byte numbers")
+    bits = np.ldexp(fraction, (power - 4 * sixteens + 56).astype(np.int32)).astype(np.uint64)
+    bits |= (values < 0).astype(np.uint64) << np.uint64(63) | (sixteens + 64).astype(np.uint64) << np.uint64(56)
+    return np.where(fraction == 0, np.uint64(0), bits).astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
 def _open(path: str):
     """File system and path of a plain path or a URI."""
     from pyarrow import fs
@@ -96,7 +116,7 @@ def records(handle, at: int, block: int = 1 << 20) -> Iterator[tuple[int, int, b
 
 
 def _first_seam(handle, start: int, end: int, block: int = 1 << 20) -> int | None:
-    """First place in ``start .. end`` where an element seems to follow another."""
+    """First place in ``start .. end`` where an element or the end of a structure seems to follow an element."""
     at, held = start - 4, b""
     handle.seek(at)
     while at < end:
@@ -191,9 +211,181 @@ class Chunk(InputPartition):
     proven: int | None
 
 
+def _blocks(handle, at: int, end: int) -> Iterator[Block]:
+    """The records from ``at`` to the first seam at ``end`` or behind it, to the library's end, or as far as there are any."""
+    held, previous, wanted = b"", -1, BLOCK
+    handle.seek(at)
+    while True:
+        more = handle.read(wanted)
+        held += more
+        block = Block(held, at, previous)
+        if block.cut(end, not more):
+            yield block
+            return
+        if not len(block.kind):  # the element is longer than what was read
+            wanted *= 2
+            continue
+        yield block
+        held, at, previous, wanted = held[block.end - at:], block.end, int(block.kind[-1]), BLOCK
+
+
+class Block:
+    """Successive records, decoded as arrays."""
+
+    def __init__(self, held: bytes, base: int, previous: int):
+        places, pos, size = [], 0, len(held)
+        while pos + 4 <= size:
+            length = held[pos] << 8 | held[pos + 1]
+            if length < 4 or pos + length > size:
+                break
+            places.append(pos)
+            pos += length
+        self.base, self.previous, self.broken = base, previous, pos + 4 <= size and length < 4
+        self.data = np.frombuffer(held, np.uint8)
+        self.place = np.array(places, np.int64)
+        self.kind = self.data[self.place + 2]
+        self.size = np.append(self.place[1:], pos) - self.place - 4
+
+    def _keep(self, count: int) -> None:
+        self.place, self.kind, self.size = self.place[:count], self.kind[:count], self.size[:count]
+
+    def cut(self, end: int, whole: bool) -> bool:
+        """Leave out what no longer counts, and an element that goes on behind the block; whether the walk ends here."""
+        known = np.flatnonzero(self.kind > LAST_TYPE)
+        if len(known):
+            self.broken = True
+            self._keep(known[0])
+        begins = np.isin(self.kind, list(ELEMENTS))
+        before = np.append(self.previous, self.kind[:-1])[:len(self.kind)]
+        seam = np.flatnonzero((begins | (self.kind == ENDSTR)) & (before == ENDEL) & (self.base + self.place >= end))
+        final = np.flatnonzero(self.kind == ENDLIB) + 1
+        ends = min([int(found[0]) for found in (seam, final) if len(found)], default=None)
+        done = ends is not None or self.broken or whole
+        if ends is not None:
+            self._keep(ends)
+        elif not done:
+            start, stop = (np.flatnonzero(found)[-1:] for found in (begins, self.kind == ENDEL))
+            if len(start) and (not len(stop) or stop[0] < start[0]):
+                self._keep(start[0])
+        self.end = self.base + (int(self.place[-1] + 4 + self.size[-1]) if len(self.place) else 0)
+        return done
+
+    def _names(self) -> list[str]:
+        return [_text(self._bytes(k)) for k in np.flatnonzero(self.kind == STRNAME)]
+
+    def last_cell(self, cell: str | None) -> str | None:
+        own = np.flatnonzero(self.kind == STRNAME)
+        return _text(self._bytes(own[-1])) if len(own) else cell
+
+    def _bytes(self, record: int) -> bytes:
+        at = self.place[record] + 4
+        return self.data[at:at + self.size[record]].tobytes()
+
+    def batches(self, part: Chunk, cell: str | None, unit: float, kinds: frozenset[str]) -> Iterator[pa.RecordBatch]:
+        """Rows of the elements that end in the block."""
+        every = np.arange(len(self.kind))
+        starts = np.flatnonzero(np.isin(self.kind, list(ELEMENTS)))
+        owner = np.cumsum(np.isin(self.kind, list(ELEMENTS))) - 1  # element that began last
+        stops = np.full(len(starts), len(self.kind))
+        closing = every[(self.kind == ENDEL) & (owner >= 0)][::-1]
+        stops[owner[closing]] = closing  # of several ends the first counts
+        whole = stops < len(self.kind)
+        inside = (owner >= 0) & (every < np.append(stops, 0)[owner])
+        names = pa.array([cell, *self._names()], pa.string())
+        cells = np.searchsorted(np.flatnonzero(self.kind == STRNAME), stops)
+        held: dict[int, np.ndarray] = {}
+
+        def record(kind: int) -> np.ndarray:
+            """The first record of a kind in each element, -1 without one."""
+            if kind not in held:
+                held[kind] = np.full(len(starts), -1)
+                found = every[inside & (self.kind == kind)][::-1]
+                held[kind][owner[found]] = found
+            return held[kind]
+
+        of = lambda *which: whole & np.isin(self.kind[starts], which)
+        shape, label, ref = of(BOUNDARY, BOX) & ("shape" in kinds), of(TEXT) & ("label" in kinds), of(SREF, AREF) & ("ref" in kinds)
+        single = of(PATH) & ("shape" in kinds)
+        for kind, width in ((LAYER, 2), (DATATYPE, 2), (BOXTYPE, 2), (TEXTTYPE, 2), (STRANS, 2), (MAG, 8), (ANGLE, 8), (COLROW, 4)):
+            single |= (shape | label | ref) & (record(kind) >= 0) & (self.size[record(kind)] != width)
+        points = np.where(record(XY) >= 0, self.size[record(XY)] // 8, 0)
+        single |= (shape | label | ref) & (record(XY) >= 0) & (self.size[record(XY)] % 8 != 0)
+
+        def fixed(kind: int, of: np.ndarray, width: int) -> np.ndarray:
+            """Data of a field of so many bytes; what stands for missing ones means nothing."""
+            return self.data[np.minimum(self.place[record(kind)[of]] + 4, len(self.data) - width)[:, None] + np.arange(width)]
+
+        def word(kind: int, of: np.ndarray) -> np.ndarray:
+            value = fixed(kind, of, 2).view(">i2").ravel().astype(np.int32)
+            return np.where(record(kind)[of] >= 0, value, 0)
+
+        def point(of: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+            both = self.data[(self.place[record(XY)[of]] + 4 + 8 * k)[:, None] + np.arange(8)].view(">i4").astype(np.int64)
+            return both[:, 0], both[:, 1]
+
+        def spread(at: np.ndarray, many: np.ndarray, step: int) -> np.ndarray:
+            return np.repeat(at - step * (np.cumsum(many) - many), many) + step * np.arange(many.sum())
+
+        def text(kind: int, of: np.ndarray) -> pa.Array:
+            own = record(kind)[of]
+            at, size = self.place[own] + 4, np.where(own >= 0, self.size[own], 0)
+            while (padded := (size > 0) & (self.data[at + size - 1] == 0)).any():
+                size = size - padded
+            offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[spread(at, size, 1)])])
+            try:
+                return raw.cast(pa.string())
+            except pa.ArrowInvalid:
+                return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
+
+        def rows(kind: str, of: np.ndarray, **columns) -> pa.RecordBatch:
+            n = len(of)
+            columns |= {"file": pa.repeat(part.path, n), "chunk": pa.repeat(pa.scalar(part.number, pa.int32()), n), "kind": pa.repeat(kind, n),
+                        "place": self.base + self.place[starts[of]], "cell": names.take(pa.array(cells[of]))}
+            arrays = [pa.nulls(n, t) if (own := columns.get(name)) is None else own if isinstance(own, pa.Array) else pa.array(own, t) for name, t in _FIELDS]
+            return pa.RecordBatch.from_arrays(arrays, [name for name, _ in _FIELDS])
+
+        if len(of := np.flatnonzero(shape & ~single)):
+            many, at = points[of], self.place[record(XY)[of]] + 4
+            ends = np.flatnonzero(many > 1)
+            same = self.data[at[ends][:, None] + np.arange(8)] == self.data[(at + 8 * many - 8)[ends][:, None] + np.arange(8)]
+            many[ends] -= same.all(1)
+            xy = self.data[spread(at, many, 8)[:, None] + np.arange(8)].view(">i4").astype(np.int64) * unit
+            ring = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], fields=list(_POINT)))
+            yield rows("shape", of, layer=word(LAYER, of), datatype=np.where(self.kind[starts[of]] == BOX, word(BOXTYPE, of), word(DATATYPE, of)), ring=ring)
+        if len(of := np.flatnonzero(label & ~single & (points > 0))):
+            x, y = point(of)
+            yield rows("label", of, layer=word(LAYER, of), datatype=word(TEXTTYPE, of), text=text(STRING, of), x=x * unit, y=y * unit)
+        if len(of := np.flatnonzero(ref & ~single & (points > 0))):
+            array = (self.kind[starts[of]] == AREF) & (record(COLROW)[of] >= 0) & (points[of] >= 3)
+            x, y = point(of)
+            many = np.where(array[:, None], fixed(COLROW, of, 4).view(">i2").astype(np.int32), 1)
+            dx, dy = np.zeros(len(of)), np.zeros(len(of))
+            (ax, ay), (bx, by) = point(of[array], 1), point(of[array], 2)
+            dx[array], dy[array] = (ax - x[array]) / np.maximum(1, many[array, 0]), (by - y[array]) / np.maximum(1, many[array, 1])
+            skew = np.zeros(len(of), bool)
+            skew[array] = ((many[array, 0] != 1) & (ay != y[array])) | ((many[array, 1] != 1) & (bx != x[array]))
+            single[of[skew]] = True
+            held_ = lambda kind, value: pa.array(value, mask=record(kind)[of] < 0)
+            batch = rows("ref", of, ref=text(SNAME, of), x=x * unit, y=y * unit, magnification=held_(MAG, real8s(fixed(MAG, of, 8))),
+                         rotation=held_(ANGLE, real8s(fixed(ANGLE, of, 8)) * (math.pi / 180)), x_reflection=(record(STRANS)[of] >= 0) & (fixed(STRANS, of, 2)[:, 0] & 128 > 0),
+                         columns=pa.array(many[:, 0], mask=~array), rows=pa.array(many[:, 1], mask=~array), dx=pa.array(dx * unit, mask=~array), dy=pa.array(dy * unit, mask=~array))
+            yield batch.filter(pa.array(~skew)) if skew.any() else batch
+        slow = []
+        for e in np.flatnonzero(single):
+            fields: dict[int, bytes] = {}
+            for k in range(starts[e] + 1, stops[e]):
+                fields.setdefault(int(self.kind[k]), self._bytes(k))
+            name = names[int(cells[e])].as_py()
+            slow += [row | {"place": self.base + int(self.place[starts[e]]), "cell": name} for row in _element(int(self.kind[starts[e]]), fields, unit)]
+        if slow:
+            yield StreamReader._batch(part, slow)
+
+
 class StreamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.size = options["path"], int(options.get("chunk", CHUNK))
+        self.kinds = frozenset(options.get("kinds", "shape,ref,label").split(","))  # rows of others are left out
         # file: {chunk: proven first place}; only these are read
         self.again = {f: {int(k): v for k, v in own.items()} for f, own in json.loads(options.get("again", "{}")).items()}
 
@@ -213,30 +405,13 @@ class StreamReader(DataSourceReader):
         with system.open_input_file(path) as handle:
             unit = next((real8(data[:8]) for _, kind, data in records(handle, 0, 4096) if kind == UNITS), 1.0)
             first = 0 if not part.number else part.proven if part.proven is not None else _first_seam(handle, part.start, part.end)
-            rows: list[dict] = []
-            cell, last, open_, held, previous = None, first, None, {}, None
-            for at, kind, data in records(handle, first, 1 << 20) if first is not None else ():
-                if kind in ELEMENTS:
-                    if at >= part.end and previous == ENDEL:
-                        last = at
-                        break
-                    open_, held = (at, kind), {}
-                elif kind == ENDEL and open_:
-                    for row in _element(open_[1], held, unit):
-                        rows.append(row | {"place": open_[0], "cell": cell})
-                    open_ = None
-                elif kind == STRNAME:
-                    cell = _text(data)
-                elif open_:
-                    held.setdefault(kind, data)
-                previous, last = kind, at + 4 + len(data)
-                if kind == ENDLIB:
-                    break
-                if len(rows) >= _ROWS:
-                    yield self._batch(part, rows)
-                    rows = []
-            rows.append({"kind": "seam", "cell": cell, "first": first, "last": last, "place": part.end})
-            yield self._batch(part, rows)
+            cell, last = None, first
+            for block in _blocks(handle, first, part.end) if first is not None else ():
+                last = block.end
+                for batch in block.batches(part, cell, unit, self.kinds):
+                    yield batch
+                cell = block.last_cell(cell)
+            yield self._batch(part, [{"kind": "seam", "cell": cell, "first": first, "last": last, "place": part.end}])
 
     @staticmethod
     def _batch(part: Chunk, rows: list[dict]) -> pa.RecordBatch:
@@ -249,6 +424,49 @@ class Written(WriterCommitMessage):
     path: str | None
 
 
+def _rows(data: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """Rows of bytes as binary values, empty where nothing is there."""
+    many = np.full(len(data), data.shape[1]) if there is None else data.shape[1] * there
+    kept = data if there is None else data[there]
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.append(0, np.cumsum(many)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(kept, np.uint8))])
+
+
+def _heads(kind: int, form: int, size: np.ndarray) -> pa.Array:
+    """The four bytes before data of so many bytes."""
+    head = np.empty((len(size), 4), np.uint8)
+    head[:, :2] = (size + 4).astype(">u2")[:, None].view(np.uint8)
+    head[:, 2:] = kind, form
+    return _rows(head)
+
+
+def _fixed(kind: int, form: int, data: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """One record for each row of bytes."""
+    head = np.broadcast_to(np.frombuffer(struct.pack(">HBB", data.shape[1] + 4, kind, form), np.uint8), (len(data), 4))
+    return _rows(np.hstack([head, data]), there)
+
+
+def _strings(kind: int, values: pa.Array) -> pa.Array:
+    data = values.cast(pa.binary())
+    size = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64)
+    odd = size % 2
+    if len(size) and (size + odd).max() > 65530:
+        raise StrictModeError("a record holds 65,530 bytes at most")
+    return _joined(_heads(kind, 6, size + odd), data, pc.if_else(pa.array(odd > 0), pa.scalar(b"\0"), pa.scalar(b"")))
+
+
+def _whole(values: np.ndarray, kind: type) -> np.ndarray:
+    """Rounded numbers as bytes, big end first, a row for each row."""
+    rounded, most = np.rint(np.asarray(values, np.float64)), np.iinfo(kind).max
+    if not ((rounded >= -most - 1) & (rounded <= most)).all():
+        raise StrictModeError(f"a number is out of the range of {np.dtype(kind).itemsize} bytes")
+    turned = np.ascontiguousarray(rounded.reshape(len(rounded), -1).astype(np.dtype(kind).newbyteorder(">")))
+    return turned.view(np.uint8).reshape(len(rounded), -1)
+
+
+def _joined(*pieces: pa.Array | bytes) -> pa.Array:
+    return pc.binary_join_element_wise(*[pa.scalar(p) if isinstance(p, bytes) else p for p in pieces], pa.scalar(b""))
+
+
 class StreamWriter(DataSourceArrowWriter):
     """One file for each task; the files get their names when all tasks have ended."""
 
@@ -261,44 +479,73 @@ class StreamWriter(DataSourceArrowWriter):
             raise StrictModeError("a record holds 65,530 bytes at most")
         return struct.pack(">HBB", len(data) + 4, kind, form) + data
 
-    def _xy(self, points: list[tuple[float, float]]) -> bytes:
-        return self._record(XY, 3, struct.pack(f">{2 * len(points)}i", *[round(v / self.unit) for p in points for v in p]))
-
-    def _bytes(self, row: dict) -> bytes:
-        word = lambda kind, value: self._record(kind, 2, struct.pack(">h", value or 0))
-        if row["kind"] == "shape":
-            ring = [(p["x"], p["y"]) for p in row["ring"]]
-            ring += ring[:1] if ring[0] != ring[-1] else []
-            body = self._record(BOUNDARY, 0) + word(LAYER, row["layer"]) + word(DATATYPE, row["datatype"]) + self._xy(ring)
-        elif row["kind"] == "label":
-            body = self._record(TEXT, 0) + word(LAYER, row["layer"]) + word(TEXTTYPE, row["datatype"]) + self._xy([(row["x"], row["y"])]) + self._record(STRING, 6, row["text"].encode())
-        else:
-            array = row["columns"] is not None and row["rows"] is not None
-            body = self._record(AREF if array else SREF, 0) + self._record(SNAME, 6, row["ref"].encode())
-            if row["x_reflection"] or row["magnification"] is not None or row["rotation"] is not None:
-                body += self._record(STRANS, 1, struct.pack(">H", 0x8000 if row["x_reflection"] else 0))
-            body += self._record(MAG, 5, to_real8(row["magnification"])) if row["magnification"] is not None else b""
-            body += self._record(ANGLE, 5, to_real8(math.degrees(row["rotation"]))) if row["rotation"] is not None else b""
-            points = [(row["x"], row["y"])]
-            if array:
-                body += self._record(COLROW, 2, struct.pack(">2h", row["columns"], row["rows"]))
-                points += [(row["x"] + row["columns"] * (row["dx"] or 0), row["y"]), (row["x"], row["y"] + row["rows"] * (row["dy"] or 0))]
-            body += self._xy(points)
-        return body + self._record(ENDEL, 0)
+    def _encoded(self, kind: str, rows: pa.RecordBatch) -> pa.Array:
+        """The bytes of each row; all rows are of one kind."""
+        n = len(rows)
+        column = {name: rows.column(name) for name in rows.schema.names}
+        needed = {"shape": ("ring",), "label": ("x", "y", "text")}.get(kind, ("ref", "x", "y"))
+        if any(column[name].null_count for name in needed):
+            raise StrictModeError(f"null in {', '.join(needed)} of a {kind}")
+        number = lambda name: pc.fill_null(column[name], 0).to_numpy(zero_copy_only=False)
+        word = lambda kind, name: _fixed(kind, 2, _whole(number(name), np.int16))
+        points = lambda *pairs: _whole(np.column_stack([v / self.unit for p in pairs for v in p]), np.int32)
+        end = self._record(ENDEL, 0)
+        if kind == "shape":
+            rings, flat = column["ring"], column["ring"].flatten()
+            many = pc.list_value_length(rings).to_numpy().astype(np.int64)
+            if n and not many.min():
+                raise StrictModeError("a ring without points")
+            x, y = (f.to_numpy(zero_copy_only=False) for f in flat.flatten())
+            stop = np.cumsum(many)
+            first, last = stop - many, stop - 1
+            open_ = (x[first] != x[last]) | (y[first] != y[last])
+            data = points((x, y))
+            size = 8 * (many + open_)
+            if n and size.max() > 65530:
+                raise StrictModeError("a record holds 65,530 bytes at most")
+            body = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((8 * np.append(0, stop)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+            return _joined(self._record(BOUNDARY, 0), word(LAYER, "layer"), word(DATATYPE, "datatype"), _heads(XY, 3, size), body, _rows(data[first], open_), end)
+        x, y = number("x"), number("y")
+        if kind == "label":
+            return _joined(self._record(TEXT, 0), word(LAYER, "layer"), word(TEXTTYPE, "datatype"), _fixed(XY, 3, points((x, y))), _strings(STRING, column["text"]), end)
+        there = lambda name: pc.is_valid(column[name]).to_numpy(zero_copy_only=False)
+        array, turned, scaled = there("columns") & there("rows"), there("rotation"), there("magnification")
+        flip = pc.fill_null(column["x_reflection"], False).to_numpy(zero_copy_only=False).astype(bool)
+        columns, rows_ = number("columns"), number("rows")
+        far = points((x, y), (x + np.where(array, columns * number("dx"), 0), y), (x, y + np.where(array, rows_ * number("dy"), 0)))
+        return _joined(
+            _rows(np.where(array[:, None], *(np.frombuffer(self._record(k, 0), np.uint8) for k in (AREF, SREF)))), _strings(SNAME, column["ref"]),
+            _fixed(STRANS, 1, np.column_stack([np.where(flip, 128, 0), np.zeros(n)]).astype(np.uint8), flip | scaled | turned),
+            _fixed(MAG, 5, to_real8s(number("magnification")), scaled), _fixed(ANGLE, 5, to_real8s(number("rotation") * (180 / math.pi)), turned),
+            _fixed(COLROW, 2, _whole(np.where(array[:, None], np.column_stack([columns, rows_]), 0), np.int16), array),
+            _fixed(XY, 3, far, array), _fixed(XY, 3, far[:, :8], ~array), end)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = _open(self.path)
-        name, dates = f"{path}/_part-{uuid.uuid4().hex}.stream", bytes(24)
+        name, dates, cell = f"{path}/_part-{uuid.uuid4().hex}.stream", bytes(24), None
         system.create_dir(path)
         with system.open_output_stream(name) as out:
             out.write(self._record(HEADER, 2, struct.pack(">h", 600)) + self._record(BGNLIB, 2, dates) + self._record(LIBNAME, 6, b"LIB") + self._record(UNITS, 5, to_real8(self.unit) + to_real8(self.unit * 1e-6)))
-            rows = (row for batch in iterator for row in batch.to_pylist())
-            for cell, own in groupby(rows, lambda r: r["cell"]):
-                out.write(self._record(BGNSTR, 2, dates) + self._record(STRNAME, 6, cell.encode()))
-                for row in own:
-                    out.write(self._bytes(row))
-                out.write(self._record(ENDSTR, 0))
-            out.write(self._record(ENDLIB, 0))
+            for batch in iterator:
+                if not len(batch):
+                    continue
+                cells = batch.column("cell")
+                if cells.null_count:
+                    raise StrictModeError("an element without a cell")
+                kind = np.array([k if k in ("shape", "label") else "ref" for k in batch.column("kind").to_pylist()])
+                order, bodies = [], []
+                for one in np.unique(kind):
+                    own = np.flatnonzero(kind == one)
+                    order.append(own)
+                    bodies.append(self._encoded(str(one), batch.take(pa.array(own))))
+                body = pa.concat_arrays(bodies).take(pa.array(np.argsort(np.concatenate(order))))
+                fresh = np.append(cell != cells[0].as_py(), pc.not_equal(cells[1:], cells[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
+                begin = _joined(self._record(BGNSTR, 2, dates), _strings(STRNAME, cells))
+                ended = fresh & ~((np.arange(len(fresh)) == 0) & (cell is None))
+                every = _joined(pc.if_else(pa.array(ended), pa.scalar(self._record(ENDSTR, 0)), pa.scalar(b"")), pc.if_else(pa.array(fresh), begin, pa.scalar(b"")), body)
+                out.write(every.buffers()[2].slice(0, np.frombuffer(every.buffers()[1], np.int32)[len(every)]))
+                cell = cells[len(cells) - 1].as_py()
+            out.write((self._record(ENDSTR, 0) if cell is not None else b"") + self._record(ENDLIB, 0))
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -341,15 +588,17 @@ def write_stream(elements: DataFrame, path: str, order_by: list[str], unit: floa
     sorted_.select(*names).write.format(FORMAT).mode("append").option("path", path).option("unit", str(unit)).save()
 
 
-def read_elements(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+def read_elements(spark: SparkSession, path: str, chunk: int = CHUNK, kinds: tuple[str, ...] = ("shape", "ref", "label")) -> DataFrame:
     """All elements of a stream file, or of the files of a folder: the columns of ``SCHEMA`` with the cell of every row.
 
+    Every record is walked and proven; rows are made for the elements of ``kinds``.
+
     ``(file, place)`` is the order of the elements. Coordinates are in user units; a ring doesn't repeat its first
     point; paths are outlines; rotations are in radians. Empty structures leave no row. A file that breaks
     off or holds what is no record raises ``StrictModeError``.
     """
     spark.dataSource.register(StreamSource)
-    load = lambda **options: spark.read.format(FORMAT).option("path", path).option("chunk", str(chunk)).options(**options).load()
+    load = lambda **options: spark.read.format(FORMAT).option("path", path).option("chunk", str(chunk)).option("kinds", ",".join(kinds)).options(**options).load()
     parts = [materialise(load())]
     # one row for each chunk of bytes, far fewer than elements
     seams = {(r.file, r.chunk): r for r in parts[0].where("kind = 'seam'").select("file", "chunk", "cell", "first", "last", "place").collect()}

@@ -98,3 +98,25 @@ def test_written_and_read_back(spark, tmp_path):
     assert tables["geometries"].count() == 500 and tables["instances"].count() == 20 and tables["textlabels"].count() == 0
     boxes = {r.CellName: (r.XMIN, r.YMIN, r.XMAX, r.YMAX) for r in tables["bbox"].collect()}
     assert boxes["C3"] == (0, 0, 2, 1) and boxes["TOP"] == (0, 0, 21, 1)
+
+
+def test_structures_of_one_element_are_shared_by_chunks(spark, tmp_path):
+    path = tmp_path / "cells"
+    path.write_bytes(library(*[(f"C{k:05d}".encode(), box(k, k)) for k in range(300)]))
+    rows = s.read_elements(spark, str(path), 2048).select("chunk", "cell", "place").collect()
+    assert sorted(r.cell for r in rows) == [f"C{k:05d}" for k in range(300)]
+    assert len({r.chunk for r in rows}) > 10  # every chunk decodes its own part
+
+
+def test_kinds_and_single_fields(spark, tmp_path):
+    """Fields of unusual size, bad letters and elements that end twice give what a walk over single records gives."""
+    odd = element(s.TEXT, record(s.LAYER, 2, b"\7"), record(s.TEXTTYPE, 2, b"\0\1"), xy((1, 2)), record(s.STRING, 6, b"a\xffb\0\0"))
+    plain = element(s.TEXT, record(s.LAYER, 2, b"\xff\xfe"), xy((3, -4)), record(s.STRING, 6, b"z\xff\0\0")) + record(s.ENDEL)
+    line = element(s.PATH, record(s.WIDTH, 3, b"\0\0\0\4"), xy((0, 0), (10, 0)))
+    path = tmp_path / "odd"
+    path.write_bytes(library((b"AA", odd + plain + line + element(s.SREF, xy((5, 6))) + box(0, 0))))
+    rows = s.read_elements(spark, str(path)).orderBy("place").collect()
+    assert [(r.kind, r.layer, r.datatype, r.text, r.ref) for r in rows] == [
+        ("label", 7, 1, "a�b", None), ("label", -2, 0, "z�", None), ("shape", 0, 0, None, None), ("ref", None, None, None, ""), ("shape", 1, 0, None, None)]
+    assert [len(rows[2].ring), len(rows[4].ring)] == [4, 4]
+    assert [r.kind for r in s.read_elements(spark, str(path), kinds=("ref",)).collect()] == ["ref"]
