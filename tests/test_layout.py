@@ -203,3 +203,17 @@ def test_sweep_refuses_slanted_and_open_rings(spark):
         polygons.vertical_sides(spark.createDataFrame(points_of(1, 0, [(0, 0), (2, 0), (1, 1)]), schema), ["polygon", "ring"])
     with pytest.raises(StrictModeError):
         polygons.sweep_rectangles(spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "polygon int, x double, low double, high double"), ["polygon"])
+
+
+def test_repeated_arrays_and_windows_are_searched_once(spark, monkeypatch):
+    from lamina.operators import arrays
+
+    seen, once = [], arrays.overlap_join
+    monkeypatch.setattr(arrays, "overlap_join", lambda a, b, *more: seen.append((a.count(), b.count())) or once(a, b, *more))
+    placed = spark.range(60).selectExpr("id", "double(id % 3) AS xmin", "0D AS ymin", "id % 3 + 1D AS xmax", "1D AS ymax", "4L AS Columns", "1L AS Rows", "10D AS DX", "if(id = 59, NULL, 0D) AS DY")
+    windows = spark.range(100).selectExpr("id AS w", "10D + id % 2 * 100 AS xmin", "0D AS ymin", "20D + id % 2 * 100 AS xmax", "1D AS ymax")
+    found = arrays.expand_hits(arrays.array_hits(placed, windows, "id", "w")).collect()
+    assert seen == [(4, 2)]
+    want = {(k, w, n, 0) for k in range(59) for w in range(0, 100, 2) for n in range(4) if k % 3 + 10 * n <= 20 and 10 <= k % 3 + 1 + 10 * n}
+    got = sorted((r.id, r.w, r.column, r.row) for r in found if r.id != 59)
+    assert got == sorted(want)
