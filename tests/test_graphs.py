@@ -286,3 +286,16 @@ def test_incomplete_factor_of_a_band_is_its_factor():
     z = krylov.triangular(starts, j, values, None, krylov.levels(starts, j, True), b)
     z = krylov.triangular(starts, j, values, pivots, krylov.levels(starts, j, False), z)
     assert z == pytest.approx(np.linalg.solve(dense_of([(a + 1, c + 1, d) for a, c, d in entries], n), b))
+
+
+def test_components_of_a_long_band_take_few_rounds(spark, monkeypatch):
+    from lamina.operators import components
+
+    rounds, once = [], components.materialise_counted
+    monkeypatch.setattr(components, "materialise_counted", lambda *a: rounds.append(1) or once(*a))
+    band = spark.range(1, 1201).selectExpr("id AS u", "explode(array(id + 1, id + 5)) AS v")
+    apart = spark.range(2000, 2300).selectExpr("id AS u", "id + 1000 AS v")
+    got = dict(rows_of(components.component_roots(band.unionByName(apart), 100)))
+    assert got == {k: 1205 if k < 2000 else max(k, k % 1000 + 3000) if k < 3000 else k for k in [*range(1, 1206), *range(2000, 2300), *range(3000, 3300)]}
+    assert len(rounds) < 12
+    assert rows_of(components.component_roots(band.where("u > v"))) == []
