@@ -41,7 +41,8 @@ def parse_mesh(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFr
     line, fields = F.col("line"), F.split("value", r"\s+")
     in_nodes, in_elements = (line > n0) & (line < n1), (line > e0) & (line < e1)
     start = F.when(in_nodes, n0).when(in_elements, e0)
-    inside = materialise(lines.join(tags, "file").where(in_nodes | in_elements).select(
+    # one row per file; a join by file would send all lines of a large file to one task
+    inside = materialise(lines.join(F.broadcast(tags), "file").where(in_nodes | in_elements).select(
         "file", in_nodes.alias("_node"), (line - start - 1).alias("_i"), fields.alias("_f"),
         (F.when(in_nodes, n1 - n0).otherwise(e1 - e0) - 2).alias("_size")))
 

@@ -292,3 +292,21 @@ def test_layout_records(spark):
     assert rows(ingest.cell_boxes(shapes, instances)) == [("leaf", 0.0, 0.0, 2.0, 1.0), ("mid", 0.0, 0.0, 24.0, 9.0), ("top", -50.0, 0.0, 0.0, 9.0)]
     labels = spark.createDataFrame([("leaf", 1, 0, 0.5, 0.5, "A")], "cell string, layer int, texttype int, x double, y double, text string")
     assert ingest.label_rows(labels).schema.simpleString() == schemas.TEXTLABELS.simpleString()
+
+
+def test_lines_of_one_mesh_stay_where_they_are(spark, monkeypatch):
+    """The lines of a file are not gathered by its name."""
+    from lamina.sources import mesh
+
+    plans, once = [], mesh.materialise
+    monkeypatch.setattr(mesh, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or once(df))
+    text = ["$Nodes", "2", "1 0 0 0", "2 1 0 0", "$EndNodes", "$Elements", "1", "1 1 2 0 3 1 2", "$EndElements"]
+    lines = spark.createDataFrame([("m", k, v) for k, v in enumerate(text, 1)], "file string, line bigint, value string").repartition(3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes, elements = mesh.parse_mesh(lines)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert nodes.count() == 2 and [r.nodes for r in elements.collect()] == [[1, 2]]
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
