@@ -256,3 +256,20 @@ def test_grades_on_held_out_rows(spark, label):
         pytest.skip("one grade only")
     ranks = sum((a > b) + 0.5 * (a == b) for a in high for b in low)
     assert ranks / (len(high) * len(low)) > 0.75
+
+
+def test_language_model_learns_from_every_token(spark, monkeypatch):
+    """Training visits all training texts whole: long ones, more than a few thousand, and those without an id."""
+    seen, once = [], gated_lm._train
+    monkeypatch.setattr(gated_lm, "_train", lambda pieces, *more: seen.append((pieces, *more[1:])) or once(pieces, *more))
+    monkeypatch.setattr(gated_lm, "PART_TOKENS", 900)
+    monkeypatch.setattr(gated_lm, "REPEATED", 9000)
+    monkeypatch.setattr(gated_lm, "FAN", 4)
+    rows_ = [(k if k else None, f"w{k % 50} a b") for k in range(2500)] + [(9000, "x y " * 2500), (9001, None)]
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string").repartition(2)
+    scores = gated_lm.score_texts(df, F.coalesce("doc_id", F.lit(1)) != 5).collect()
+    pieces, parts, repeated = seen[0]
+    tokens = pieces.selectExpr("sum(length(tokens)) div 2", "max(length(tokens)) div 2", "count(DISTINCT part)").first()
+    assert tokens[0] == scores[0]["train_tokens"] == 4 * 2499 + 5001 + 1 and tokens[1] <= gated_lm.STRETCH
+    assert (parts, repeated) == (17, False) and tokens[2] == 17 and len(scores) == 2502
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in scores)
