@@ -102,6 +102,26 @@ def test_overlap_join_equals_brute_force(spark, tile, limit):
     assert sorted(tuple(r) for r in spatial.overlap_join(df, windows, "id", "w", tile, tile_rows=limit).collect()) == want
 
 
+def test_pairs_of_one_table_go_to_about_one_tile_each(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(k, x := float(rng.randrange(4000)), y := float(rng.randrange(4000)), x + rng.randrange(1, 40), y + rng.randrange(1, 40)) for k in range(6000)]
+    df = spark.createDataFrame(data, "id int, xmin double, ymin double, xmax double, ymax double")
+    seen, once = [], spatial._tile_join
+    monkeypatch.setattr(spatial, "_tile_join", lambda *given: seen.append(given[0].count() + given[1].count()) or once(*given))
+    pairs = spatial.overlap_join(df, df, "id", "id", distinct_pairs_of_one_table=True)
+    meets = lambda a, b: a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
+    assert sorted(map(tuple, pairs.collect())) == sorted((a[0], b[0]) for a, b in itertools.combinations(data, 2) if meets(a, b))
+    assert sum(seen) == 0  # the tile join showed both sides on every level
+    tile = spatial.roomy_tile(df)
+    assert spatial.tiles(df, tile).count() < 1.2 * len(data) < spatial.tiles(df, spatial.suggested_tile(df)).count()
+
+
+def test_repeated_and_missing_ids_make_no_pairs(spark):
+    data = [(None, 0.0, 0.0, 5.0, 5.0), (1, 0.0, 0.0, 5.0, 5.0), (1, 1.0, 1.0, 2.0, 2.0), (2, 1.0, 1.0, 2.0, 2.0), (3, None, 1.0, 2.0, 2.0)]
+    df = spark.createDataFrame(data, "id int, xmin double, ymin double, xmax double, ymax double")
+    assert sorted(map(tuple, spatial.overlap_join(df, df, "id", "id", 4.0, True).collect())) == [(1, 2), (1, 2)]
+
+
 def ring_df(spark, rings):
     points = [(k, [(float(x), float(y)) for x, y in r]) for k, r in enumerate(rings, 1)]
     return spark.createDataFrame(points, "polygon int, ring array<struct<x: double, y: double>>")
