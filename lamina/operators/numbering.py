@@ -84,20 +84,21 @@ def running_total(
     return total.join(base, list(group_by)).withColumn(name, F.col(name) - F.col("_base")).drop(*scratch, "_base")
 
 
-def previous_in_order(df: DataFrame, keys: Sequence[str], value: str, name: str = "before") -> DataFrame:
+def previous_in_order(df: DataFrame, keys: Sequence[str], value: str, name: str = "before", take: Column | None = None) -> DataFrame:
     """Add the next smaller ``value`` of the same group (the same one for a repeated value), null for the group's first.
 
-    The first row of a range partition takes it from the last row of the partition before.
+    ``take`` adds something else of that row instead. The first row of a range partition takes it from the last row
+    of the partition before.
     """
     stored = _range_parts(df, [*keys, value])
-    row = F.struct(*keys, value)
+    row = F.struct(*keys, (F.col(value) if take is None else take).alias("_take"))
     last = stored.groupBy("_part").agg(F.max_by(row, "_row").alias("_last"))  # one row per range partition
     ahead = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_ahead"))
     inside = F.lag(row).over(Window.partitionBy("_part").orderBy("_row"))
     both = stored.withColumn("_inside", inside).join(F.broadcast(ahead), "_part")
     before = F.coalesce("_inside", "_ahead")
     same = reduce(lambda a, b: a & b, [before[k].eqNullSafe(F.col(k)) for k in keys], F.lit(True))
-    return both.select(*df.columns, F.when(same, before[value]).alias(name))
+    return both.select(*df.columns, F.when(same, before["_take"]).alias(name))
 
 
 def dictionary_encode(df: DataFrame, value: str, order_by: Sequence[str], name: str = "id") -> DataFrame:

@@ -117,17 +117,16 @@ def vertical_sides(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     The last key tells the rings of one polygon apart, its outline and its holes. A ring is closed from its
     last point to its first; a repeated first point at the end does no harm.
     """
-    points = materialise(points.select(*keys, "ord", "x", "y"))
-    ahead = previous_in_order(points, keys, "ord")
-    last = points.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("ord").alias("_last"))
+    corner = F.struct("x", "y")
+    ahead = materialise(previous_in_order(points.select(*keys, "ord", "x", "y"), keys, "ord", "from", corner))
+    last = ahead.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(corner, "ord").alias("_last"))
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    linked = ahead.join(last, same).withColumn("before", F.coalesce("before", "_last")).select(*points.columns, "before")
-    other = points.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ord").alias("_ord"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    sides = linked.join(other, [*same, F.col("before") == F.col("_ord")])
-    slanted = sides.where((F.col("x") != F.col("_x")) & (F.col("y") != F.col("_y")))
-    require_none(slanted.select(*keys, "ord"), "a side is neither upright nor level")
-    upright = sides.where((F.col("x") == F.col("_x")) & (F.col("y") != F.col("_y")))
-    return upright.select(*keys[:-1], "x", F.least("y", "_y").alias("low"), F.greatest("y", "_y").alias("high"))
+    # only the first point of a ring needs its last one
+    closing = ahead.where("from IS NULL").join(last, same).withColumn("from", F.col("_last")).select(*ahead.columns)
+    sides = ahead.where("from IS NOT NULL").unionByName(closing)
+    level, upright = F.col("y") == F.col("from.y"), F.col("x") == F.col("from.x")
+    require_none(sides.where(~level & ~upright).select(*keys, "ord"), "a side is neither upright nor level")
+    return sides.where(upright & ~level).select(*keys[:-1], "x", F.least("y", "from.y").alias("low"), F.greatest("y", "from.y").alias("high"))
 
 
 def sweep_rectangles(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,6 +136,7 @@ def sweep_rectangles(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     of x, sides are in turn left and right ends of rectangles. Slabs and turns come from positions in range
     partitions, so neither a polygon of very many points nor a slab of very many crossings is one task's.
     """
+    sides = materialise(sides.select(*keys, "x", "low", "high"))
     ys = sides.select(*keys, F.explode(F.array("low", "high")).alias("y")).distinct()
     ranked = materialise(global_position(ys, [*keys, "y"], "slab"))
     at = lambda name, end: ranked.select(*keys, F.col("y").alias(end), F.col("slab").alias(name))

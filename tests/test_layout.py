@@ -237,3 +237,11 @@ def test_repeated_arrays_and_windows_are_searched_once(spark, monkeypatch):
     want = {(k, w, n, 0) for k in range(59) for w in range(0, 100, 2) for n in range(4) if k % 3 + 10 * n <= 20 and 10 <= k % 3 + 1 + 10 * n}
     got = sorted((r.id, r.w, r.column, r.row) for r in found if r.id != 59)
     assert got == sorted(want)
+
+
+def test_sides_of_rings_join_the_last_points_only(spark):
+    points = [(p, k, x, y) for p in (1, 2) for k, (x, y) in enumerate([(0.0, 0.0), (2.0 + p, 0.0), (2.0 + p, 3.0), (0.0, 3.0)])]
+    sides = polygons.vertical_sides(spark.createDataFrame([(p, 0, k, x, y) for p, k, x, y in points], "polygon int, ring int, ord int, x double, y double"), ["polygon", "ring"])
+    assert sorted(map(tuple, sides.collect())) == [(1, 0.0, 0.0, 3.0), (1, 3.0, 0.0, 3.0), (2, 0.0, 0.0, 3.0), (2, 4.0, 0.0, 3.0)]
+    plan = sides._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "isnull(from" in plan
