@@ -20,6 +20,7 @@ from lamina.operators.spatial import BOX, extent, overlap_join
 LEAF_ROWS = 4096
 PART_LEAVES = 64  # leaves in a part: files of some 10 MB at least
 LISTED_PARTS = 1000  # so many parts are named in the scan's filter; more are found by the join alone
+MOST_PARTS = 1000  # a larger table has larger parts, not more folders to list and commit
 
 
 def write_index(boxes: DataFrame, box_id: str, path: str, leaf_rows: int = LEAF_ROWS, part_leaves: int = PART_LEAVES) -> None:
@@ -37,11 +38,12 @@ def write_index(boxes: DataFrame, box_id: str, path: str, leaf_rows: int = LEAF_
     across = global_position(boxes.withColumns({"_cx": centre("x"), "_cy": centre("y")}), ["_cx", box_id], "_pos")
     sliced = across.withColumn("_slice", F.expr(f"(_pos - 1) div {slice_rows}")).drop("_pos", "_cx")
     placed = global_position(sliced, ["_slice", "_cy", box_id], "_pos")
+    part_leaves = max(part_leaves, -(-leaves // MOST_PARTS))
     leaf = placed.withColumn("leaf", F.expr(f"(_pos - 1) div {leaf_rows}")).withColumn("part", F.expr(f"leaf div {part_leaves}"))
     stored = leaf.drop("_slice", "_cy", "_pos")
-    parts = -(-leaves // part_leaves)
     group = str(max(1 << 16, leaf_rows * 64))  # bytes of a row group, about a leaf's
-    ordered = stored.repartitionByRange(parts, "leaf").sortWithinPartitions("leaf")
+    # positions come in ranges already: a task holds runs of neighbouring leaves
+    ordered = stored.sortWithinPartitions("part", "leaf")
     ordered.write.partitionBy("part").option("parquet.block.size", group).option("parquet.page.size", group).parquet(f"{path}/boxes")
     written = boxes.sparkSession.read.parquet(f"{path}/boxes")
     nodes = written.groupBy("part", "leaf").agg(*extent(), F.count(F.lit(1)).alias("boxes"))

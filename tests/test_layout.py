@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lamina.checks import StrictModeError, require_rules
-from lamina.operators import placement, polygons, spatial, stack
+from lamina.operators import placement, polygons, spatial, spatial_index, stack
 from tests.conftest import rows
 
 TAP_BOX = (-0.19, -0.24, 0.65, 2.96)
@@ -245,3 +245,13 @@ def test_sides_of_rings_join_the_last_points_only(spark):
     assert sorted(map(tuple, sides.collect())) == [(1, 0.0, 0.0, 3.0), (1, 3.0, 0.0, 3.0), (2, 0.0, 0.0, 3.0), (2, 4.0, 0.0, 3.0)]
     plan = sides._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "isnull(from" in plan
+
+
+def test_a_larger_index_has_larger_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spatial_index, "MOST_PARTS", 4, raising=False)
+    boxes = spark.range(400).selectExpr("id", "cast(id % 20 as double) as xmin", "cast(id div 20 as double) as ymin", "cast(id % 20 + 1 as double) as xmax", "cast(id div 20 + 1 as double) as ymax")
+    spatial_index.write_index(boxes, "id", f"{tmp_path}/index", leaf_rows=5, part_leaves=2)
+    assert len(list((tmp_path / "index" / "boxes").glob("part=*"))) == 4
+    assert spark.read.parquet(f"{tmp_path}/index/boxes").groupBy("leaf").count().where("count <> 5").isEmpty()
+    window = spark.createDataFrame([(1, 3.5, 3.5, 4.5, 3.6)], "w int, xmin double, ymin double, xmax double, ymax double")
+    assert sorted(r.id for r in spatial_index.search_index(spark, f"{tmp_path}/index", window, "w", ["id"]).collect()) == [63, 64]
