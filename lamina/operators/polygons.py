@@ -95,7 +95,10 @@ def labelled_boxes(polygons: DataFrame, keys: Sequence[str], order_by: Sequence[
     ``keys`` name the layer, ``order_by`` the polygon order in it; ``root`` is the index of the
     polygon's first box, shared by all its boxes.
     """
-    cut = polygons.withColumn("_boxes", boxes_of(F.col(points))).withColumn("_n", F.size("_boxes").cast("bigint"))
+    # a small file of polygons is one task's: they are spread before they are cut, and cut once
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialise(polygons.repartition(parts).select(*keys, *order_by, boxes_of(F.col(points)).alias("_boxes")))
+    cut = cut.withColumn("_n", F.size("_boxes").cast("bigint"))
     counted = running_total(cut, "_n", order_by, "_before", keys)
     return counted.select(
         *keys, *order_by, (F.col("_before") + 1).alias("root"), F.posexplode("_boxes").alias("_i", "_box"),

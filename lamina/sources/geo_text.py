@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.checks import require_none
 from lamina.constants import literal_rows
-from lamina.durable import materialise
+from lamina.durable import materialise, materialise_counted
 from lamina.functions.scalars import general_text
 from lamina.operators.grouping import frequency
 from lamina.operators.numbering import global_position, running_total
@@ -55,12 +55,18 @@ def box_script(boxes: DataFrame, stack: DataFrame) -> DataFrame:
     zmax, is_via. Conductors get cuts and groups, vias only boxes; ranges are those of the box numbers,
     which count vias too. A box on a layer that ``stack`` doesn't have is refused.
     """
+    stored, count = materialise_counted(boxes)
+    return _box_lines(stored, count["rows"], materialise(stack))
+
+
+def _box_lines(boxes: DataFrame, rows: int, stack: DataFrame) -> DataFrame:
+    """``box_script`` of stored boxes, ``rows`` in number."""
     require_none(boxes.join(stack, "layer", "left_anti"), "box on an unknown layer")
     conductors = stack.where(~F.col("is_via"))
     numbered = materialise(global_position(extrude(boxes, stack), ["layer", "box"], "id"))
     metal = numbered.join(conductors.select("layer"), "layer", "left_semi")
     ends = [F.min("id").alias("first"), F.max("id").alias("last")]
-    total = boxes.agg(F.count("*").alias("total")).scalar()
+    total = F.lit(rows).cast("bigint")
 
     slabs = dielectric_slabs(metal, conductors).withColumn("_n", total + F.col("layer"))
     lines = slabs.select(
@@ -96,10 +102,13 @@ def whole_box_script(boxes: DataFrame, stack: DataFrame, name: str = "boxes", si
     head = ['SetFactory("OpenCASCADE");', f"lc = {size}; // Characteristic length (mesh size)"]
     end = ["// Define the mesh size for all points", "Mesh.MeshSizeMin = lc;"]
     spark = boxes.sparkSession
+    stored, count = materialise_counted(boxes)
     fixed = literal_rows(spark, [(0, k, v) for k, v in enumerate(head, 1)] + [(6, k, v) for k, v in enumerate(end, 2)], "section int, number bigint, value string")
-    group = boxes.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
-        F.lit(6).alias("section"), F.lit(1).cast("bigint").alias("number"), F.format_string(f'Physical Volume("{name}") = {{1 : %d}};', "n").alias("value"))
-    return box_script(boxes, stack).unionByName(fixed).unionByName(group)
+    lines = _box_lines(stored, count["rows"], materialise(stack)).unionByName(fixed)
+    if not count["rows"]:
+        return lines
+    group = [(6, 1, f'Physical Volume("{name}") = {{1 : {count["rows"]}}};')]
+    return lines.unionByName(literal_rows(spark, group, "section int, number bigint, value string"))
 
 
 def conductor_script(polygons: DataFrame, stack: DataFrame) -> DataFrame:

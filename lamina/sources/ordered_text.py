@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from lamina.durable import materialise
 from lamina.operators.numbering import position_in_group
 from lamina.sources.stream_layout import _open
 
@@ -85,7 +86,8 @@ def write_ordered(lines: DataFrame, path: str, order_by: list[str], parts: int |
     spark = lines.sparkSession
     spark.dataSource.register(TextSink)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
+    # stored first, as the sample of the ranges would work out every line once more
+    dealt = materialise(lines.select(*order_by, "value")).repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
     dealt.select(F.col("value").cast("string").alias("value")).write.format(FORMAT).mode("append").option("path", path).save()
 
 

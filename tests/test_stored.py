@@ -120,3 +120,17 @@ def test_ordered_text_of_nothing_and_failing_writes(spark, tmp_path):
     with pytest.raises(Exception, match="midway"):
         ordered_text.write_ordered(bad, f"{tmp_path}/bad", ["k"], parts=2)
     assert not (tmp_path / "bad" / ordered_text.MANIFEST).exists()
+
+
+def test_ordered_text_works_out_each_line_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        calls.add(1)
+        return f"line {n}"
+
+    lines = spark.range(40).select(F.col("id").alias("at"), text("id").alias("value"))
+    ordered_text.write_ordered(lines, f"{tmp_path}/text", ["at"])
+    assert calls.value == 40
+    assert sorted(map(tuple, ordered_text.read_ordered(spark, f"{tmp_path}/text").collect())) == [(n + 1, f"line {n}") for n in range(40)]
