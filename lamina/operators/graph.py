@@ -14,6 +14,7 @@ from lamina.operators.components import component_roots
 from lamina.operators.numbering import previous_in_order
 
 BLOCK_EDGES = 1 << 20  # edges of a block that one task solves
+BROADCAST_NODES = 1 << 16  # a round's nodes go to every executor, through the driver, when there are at most so many
 
 
 def undirected(df: DataFrame, src: str, dst: str, w: str) -> DataFrame:
@@ -32,7 +33,8 @@ def shortest_distances(edges: DataFrame, source: object) -> DataFrame:
     """Distance from ``source`` to every node it reaches, for weights of zero or more.
 
     Each round relaxes only the edges leaving nodes whose distance fell in the round before, and
-    keeps the smallest candidate per node; it ends when nothing falls.
+    keeps the smallest candidate per node; it ends when nothing falls. Only a short round is broadcast, as
+    all rounds together would else send many times the nodes through the driver.
     """
     edges = materialise(edges)
     require_none(edges.where("w < 0"), "negative weight")  # with one the rounds might never end
@@ -40,11 +42,12 @@ def shortest_distances(edges: DataFrame, source: object) -> DataFrame:
     best = materialise(node.withColumn("dist", F.lit(0.0)))
     if best.isEmpty():
         raise StrictModeError(f"{source} is not a node")
-    frontier = best
+    frontier, fell = best, {"rows": 1}
     while True:
-        steps = frontier.join(edges, frontier["node"] == edges["src"])
+        short = fell["rows"] <= BROADCAST_NODES
+        steps = frontier.hint("broadcast" if short else "merge").join(edges, frontier["node"] == edges["src"])
         offers = steps.groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("offer"))
-        better = offers.join(best, "node", "left").where("dist IS NULL OR offer < dist")
+        better = offers.join(best.hint("merge"), "node", "left").where("dist IS NULL OR offer < dist")
         frontier, fell = materialise_counted(better.select("node", F.col("offer").alias("dist")))
         if not fell["rows"]:
             return best
@@ -56,7 +59,7 @@ def all_distances(edges: DataFrame, source: object) -> DataFrame:
     edges = materialise(edges)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     found = shortest_distances(edges, source)
-    return nodes.join(found, "node", "left").withColumn("dist", F.coalesce("dist", F.lit(float("inf"))))
+    return nodes.join(found.hint("merge"), "node", "left").withColumn("dist", F.coalesce("dist", F.lit(float("inf"))))
 
 
 def unreachable_count(distances: DataFrame) -> DataFrame:

@@ -94,6 +94,22 @@ def test_shortest_distances(spark):
         graph.shortest_distances(graph_df, 777)
 
 
+def test_long_rounds_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300), float(rng.randrange(1, 30))) for _ in range(900)]
+    graph_df = graph.undirected(spark.createDataFrame(edges, "a int, b int, w double"), "a", "b", "w")
+    plans, write = [], graph.materialise_counted
+
+    def kept(df, **rows):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, **rows)
+
+    monkeypatch.setattr(graph, "materialise_counted", kept)
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 20, raising=False)
+    assert dict(rows(graph.shortest_distances(graph_df, 0))) == dijkstra(edges, 0)
+    assert "BroadcastHashJoin" in plans[0] and any("BroadcastHashJoin" not in p for p in plans)
+
+
 def etree(n, entries):
     """Parents by filling the matrix column by column."""
     m = np.zeros((n + 1, n + 1), bool)
