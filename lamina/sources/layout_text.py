@@ -30,15 +30,16 @@ def parse_layout(lines: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
     cells = [F.trim(F.get("_f", F.lit(k))).alias(f"_c{k}") for k in range(5)]
     numbered = lines.withColumn("_f", fields).select("file", "line", F.size("_f").alias("_n"), *cells)
     after = numbered.select("file", (F.col("line") - 1).alias("line"), F.col("_n").alias("_next"))
-    tagged = materialise(numbered.join(after, ["file", "line"], "left"))
+    # as long as the text: its size is guessed from what it is made of, and a broadcast would fill every task's memory
+    tagged = materialise(numbered.join(after.hint("merge"), ["file", "line"], "left"))
 
     def number(i: int, kind: str = "bigint"):
         return F.col(f"_c{i}").try_cast(kind)
 
-    # one row per file each
-    layer_count = tagged.where("line = 1").select("file", number(0).alias("_l"))
+    # one row per file each; a join by file would send all lines of a large file to one task
+    layer_count = F.broadcast(tagged.where("line = 1").select("file", number(0).alias("_l")))
     via_count = tagged.join(layer_count, "file").where("line = _l + 2").select("file", "_l", number(0).alias("_v"))
-    body = tagged.join(via_count, "file")
+    body = tagged.join(F.broadcast(via_count), "file")
 
     layers = body.where("line > 1 AND line <= _l + 1").select("file", number(0).alias("id"), number(1).alias("zmin"), number(2).alias("zmax"))
     vias = body.where("line > _l + 2 AND line <= _l + _v + 2").select(
@@ -62,7 +63,7 @@ def parse_layout(lines: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
 
     points = shapes.where("_n = 2").select("file", "line", number(0, "double").alias("x"), number(1, "double").alias("y"))
     addressed = owned.select("*", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("vertices"))).alias("line"))
-    joined = addressed.join(points, ["file", "line"], "left")
+    joined = addressed.join(points.hint("merge"), ["file", "line"], "left")
     keys = ["file", "layer_id", "polygon", "vertices"]
     # a ring is bounded by the vertex count of its polygon
     rings = joined.groupBy(*keys).agg(
@@ -74,7 +75,7 @@ def parse_layout(lines: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
         found = owned.groupBy("file", "layer_id").agg(F.count("*").alias("found"))
         off = spans.join(found, ["file", "layer_id"], "left").where("expected IS NULL OR expected <> coalesce(found, 0)")
         require_none(off.select("file", "layer_id", "expected", "found"), "layer has another number of polygons than announced")
-        stray = points.join(addressed.select("file", "line"), ["file", "line"], "left_anti")
+        stray = points.join(addressed.select("file", "line").hint("merge"), ["file", "line"], "left_anti")
         require_none(stray, "vertex outside a polygon")
         bad = vias.join(layer_count, "file").where("bottom < 1 OR top < 1 OR bottom > _l OR top > _l")
         require_none(bad, "via connects an unknown layer")

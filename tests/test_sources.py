@@ -134,6 +134,25 @@ def test_layout_text(spark):
     assert [tuple(p) for p in ring] == [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2), (0, 0)]
 
 
+def test_layout_text_is_not_broadcast(spark, monkeypatch):
+    plans, write = [], layout_text.materialise
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(layout_text, "materialise", kept)
+    layout_text.parse_layout(text_lines(spark, LAYOUT))
+    assert "BroadcastHashJoin" not in plans[0] and "SortMergeJoin" in plans[0]
+
+
+def test_matrix_lines_are_not_gathered_by_file(spark):
+    text = text_lines(spark, "%%MatrixMarket matrix coordinate real general\n2 2 2\n1 1 0.5\n2 1 3")
+    entries, sizes = matrices.parse_matrix_market(text)
+    assert "strategy=broadcast" in entries._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(entries.drop("file")) == [(1, 1, 0.5), (2, 1, 3.0)] and rows(sizes.drop("file")) == [(2, 2, 2)]
+
+
 @pytest.mark.parametrize("old,new,message", [
     ("\n7\n", "\n6\n", "outside a polygon"), ("\n7\n", "\n8\n", "fewer vertices"), ("\n2\n2\n7", "\n2\n3\n7", "another number of polygons"),
     ("936, 1, 2", "936, 1, 9", "unknown layer"), ("10, 11\n", "10, x\n", "fewer vertices")])
