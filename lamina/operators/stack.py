@@ -26,7 +26,8 @@ def with_upper(layers: DataFrame) -> DataFrame:
 
 def extrude(boxes: DataFrame, stack: DataFrame, strict: bool = False) -> DataFrame:
     """Give boxes of a ``layer`` their z range and side lengths."""
-    solid = lookup(boxes, stack, {"layer": "layer"}, {"zmin": "zmin", "zmax": "zmax"}, strict)
+    # one row per layer; a join by layer would send all boxes of a layer to one task
+    solid = lookup(boxes, F.broadcast(stack), {"layer": "layer"}, {"zmin": "zmin", "zmax": "zmax"}, strict)
     return solid.withColumns({
         "dx": F.col("xmax") - F.col("xmin"), "dy": F.col("ymax") - F.col("ymin"), "dz": F.col("zmax") - F.col("zmin"),
     })

@@ -383,4 +383,5 @@ def dielectric_slabs(spark, folder):
     from lamina.sources.geo_text import dielectric_slabs as slabs
 
     layers = s.layer_stack(spark, folder).where("NOT is_via")
-    return slabs(s.layer_boxes(spark, folder).join(layers.select("layer"), "layer", "left_semi"), layers)
+    # one row per layer; a join by layer would send all boxes of a layer to one task
+    return slabs(s.layer_boxes(spark, folder).join(F.broadcast(layers.select("layer")), "layer", "left_semi"), layers)

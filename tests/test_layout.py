@@ -255,3 +255,13 @@ def test_a_larger_index_has_larger_parts(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{tmp_path}/index/boxes").groupBy("leaf").count().where("count <> 5").isEmpty()
     window = spark.createDataFrame([(1, 3.5, 3.5, 4.5, 3.6)], "w int, xmin double, ymin double, xmax double, ymax double")
     assert sorted(r.id for r in spatial_index.search_index(spark, f"{tmp_path}/index", window, "w", ["id"]).collect()) == [63, 64]
+
+
+def test_layers_are_broadcast(spark):
+    from lamina.operators import stack
+
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 1.0), (3, 0.0, 0.0, 1.0, 1.0)], "layer bigint, xmin double, ymin double, xmax double, ymax double")
+    layers = spark.createDataFrame([(1, 100, 161), (2, 200, 262)], "layer bigint, zmin bigint, zmax bigint")
+    solid = stack.extrude(boxes, layers)
+    assert "strategy=broadcast" in solid._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(solid, "layer", "zmin", "dz") == [(1, 100, 61), (3, None, None)]
