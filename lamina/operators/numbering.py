@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lamina.checks import StrictModeError
-from lamina.durable import materialise
+from lamina.durable import materialise, materialise_counted
 
+BROADCAST_GROUPS = 10_000  # so many groups' first rows at most go to every task, and the table stays where it is
 ROW_BITS = 33  # low bits of monotonically_increasing_id hold the row's position in its partition
 
 
@@ -54,6 +55,9 @@ def position_in_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[str
     """Add a dense 1-based position inside each group: the global position less that of the group's first row."""
     placed = global_position(df, [*keys, *order_by], "_at")
     starts = placed.groupBy(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)]).agg(F.min("_at").alias("_start"))
+    starts, count = materialise_counted(starts)
+    if count["rows"] <= BROADCAST_GROUPS:  # a join by few groups would gather each in one task
+        starts = F.broadcast(starts)
     same = [F.col(k).eqNullSafe(F.col(f"_{n}")) for n, k in enumerate(keys)]
     numbered = placed.join(starts, same)
     return numbered.withColumn(name, F.col("_at") - F.col("_start") + 1).select(*df.columns, name)

@@ -41,7 +41,8 @@ def parse_matrix_market(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, sizes) of a MatrixMarket file given as ``(file, line, value)``; % lines are comments."""
     data = lines.where(~F.col("value").startswith("%"))
     first = data.groupBy("file").agg(F.min("line").alias("_first"))
-    fields = data.join(first, "file").withColumn("_f", F.split("value", r"\s+"))
+    # one row per file; a join by file would send all lines of a large file to one task
+    fields = data.join(F.broadcast(first), "file").withColumn("_f", F.split("value", r"\s+"))
 
     def number(k: int, kind: str):
         return F.get("_f", F.lit(k)).try_cast(kind)

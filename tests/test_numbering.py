@@ -75,3 +75,11 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "g string, v bigint, ord bigint")
     assert numbering.global_position(empty, ["ord"]).count() == 0
     assert numbering.position_in_group(empty, ["g"], ["ord"]).count() == 0
+
+
+def test_few_groups_do_not_gather_the_table(spark, skewed):
+    df, data = skewed
+    numbered = numbering.position_in_group(df, ["g"], ["ord"])
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert rows(numbered, "g", "ord", "inum") == sorted(expected_inum(data))
