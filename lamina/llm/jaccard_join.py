@@ -68,6 +68,41 @@ def _unpacked(parts: list[bytes]) -> np.ndarray:
     return out
 
 
+SPARSE = 43  # smallest set whose first bytes take less room as a list of bits
+
+
+def _stored(shingles: np.ndarray) -> bytes:
+    """A sorted set: the low bytes of each hash, and its highest byte, which never falls, as a one behind so many zeros."""
+    n = len(shingles)
+    if n < SPARSE:
+        return _packed(shingles)
+    steps = np.zeros(n + 256, np.uint8)
+    steps[(shingles >> np.uint64(40)).astype(np.int64) + np.arange(n)] = 1
+    return shingles.view(np.uint8).reshape(-1, 8)[:, :_BYTES - 1].tobytes() + np.packbits(steps).tobytes()
+
+
+def _restored(parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Concatenated hashes of stored sets of the given sizes."""
+    out = np.zeros(int(sizes.sum()), np.uint64)
+    wide, at = out.view(np.uint8).reshape(-1, 8), 0
+    for part, n in zip(parts, sizes.tolist()):
+        own, low = np.frombuffer(part, np.uint8), _BYTES - (n >= SPARSE)
+        wide[at:at + n, :low] = own[:n * low].reshape(-1, low)
+        if n >= SPARSE:
+            wide[at:at + n, low] = np.flatnonzero(np.unpackbits(own[n * low:])) - np.arange(n)
+        at += n
+    return out
+
+
+def _narrow(sizes: np.ndarray) -> bytes:
+    """Sizes of a block's entries, in two bytes each when all fit."""
+    return sizes.astype(np.uint16 if sizes.max(initial=0) < 1 << 16 else np.int32).tobytes()
+
+
+def _wide(data: bytes, entries: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * entries else np.int32).astype(np.int32)
+
+
 def shingle_sets(texts: list[bytes | None], size: int, known) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the word shingles of each text; a shorter text is one shingle."""
     def flush(parts: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -107,7 +142,7 @@ def _sets(size: int) -> Callable:
                 name = xxhash.xxh3_64_intdigest(data, seed=len(own)) - (1 << 63)
                 counts.append(len(own))
                 classes.append(name)
-                sets.append(None if not len(own) or name in emitted else data)
+                sets.append(None if not len(own) or name in emitted else _stored(own))
                 if len(emitted) >= REMEMBERED:  # a set that is written again does no harm
                     emitted.clear()
                 emitted.add(name)
@@ -121,7 +156,8 @@ def _rows(batch: pa.RecordBatch, most: int = RUN) -> Iterator[tuple[np.ndarray,
     sizes = batch.column("n").to_numpy()
     for part in runs(sizes, most):
         piece = batch.slice(part.start, part.stop - part.start)
-        yield piece.column("class").to_numpy(), piece.column("n").to_numpy(), _unpacked(piece.column("shingles").to_pylist())
+        n = piece.column("n").to_numpy()
+        yield piece.column("class").to_numpy(), n, _restored(piece.column("shingles").to_pylist(), n)
 
 
 def _shared_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +214,7 @@ def _prefixes(common, blocks: int, percent: int) -> Callable:
                     columns["block"].append(int(block[s]))
                     columns["shingles"].append(_packed(shingles[own]))
                     columns["classes"].append(classes[row[own]].tobytes())
-                    columns["sizes"].append(n[row[own]].astype(np.int32).tobytes())
+                    columns["sizes"].append(_narrow(n[row[own]]))
                     columns["hot"].append(np.packbits(hot[s:e]).tobytes())
                 if len(cuts):
                     yield pa.RecordBatch.from_arrays([pa.array(columns["block"], pa.int64()), *[pa.array(columns[k], pa.binary()) for k in list(columns)[1:]]], list(columns))
@@ -191,7 +227,8 @@ def _column_product(percent: int, group: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         give_back()
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        shingles, classes, sizes = _unpacked(table.column("shingles").to_pylist()), join("classes", np.int64), join("sizes", np.int32)
+        shingles, classes = _unpacked(table.column("shingles").to_pylist()), join("classes", np.int64)
+        sizes = np.concatenate([_wide(s, len(c) // 8) for s, c in zip(table.column("sizes").to_pylist(), table.column("classes").to_pylist())])
         hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=len(c) // 8) for h, c in zip(table.column("hot").to_pylist(), table.column("classes").to_pylist())]).astype(bool)
         named = np.flatnonzero(hot)
         rest = np.flatnonzero(~hot)
@@ -262,7 +299,8 @@ def _row_product(percent: int) -> Callable:
             names = own.column("class").to_numpy()[order]
             order = order[np.concatenate([[True], names[1:] != names[:-1]])] if len(order) else order
             own = own.take(pa.array(order))
-            blocks.append((own.column("class").to_numpy(), own.column("copies").to_numpy(), own.column("n").to_numpy(), _unpacked(own.column("shingles").to_pylist())))
+            sizes = own.column("n").to_numpy()
+            blocks.append((own.column("class").to_numpy(), own.column("copies").to_numpy(), sizes, _restored(own.column("shingles").to_pylist(), sizes)))
         (ca, wa, na, sa), (cb, wb, nb, sb) = blocks
         diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         if diagonal:

@@ -101,3 +101,15 @@ def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame(edges, "x bigint, y bigint").repartition(5)
     got = dict(map(tuple, connected_components(df).collect()))
     assert got == {**dict.fromkeys(range(400), 0), 900: 900, 901: 900, 950: 950}
+
+
+def test_sets_are_stored_tightly():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64)) for n in (0, 1, 42, 43, 44, 330, 20_000)]
+    sets += [np.arange(100, dtype=np.uint64), np.arange((1 << 48) - 300, 1 << 48, dtype=np.uint64)]
+    stored = [jaccard_join._stored(s) for s in sets]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    assert (jaccard_join._restored(stored, sizes) == np.concatenate(sets)).all()
+    assert all(len(d) <= 6 * n for d, n in zip(stored, sizes)) and len(stored[5]) < 6 * 330 * 0.88
+    for entries in (np.array([3, 65_535]), np.array([3, 65_536])):
+        assert (jaccard_join._wide(jaccard_join._narrow(entries), 2) == entries).all()

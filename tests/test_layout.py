@@ -258,8 +258,6 @@ def test_a_larger_index_has_larger_parts(spark, tmp_path, monkeypatch):
 
 
 def test_layers_are_broadcast(spark):
-    from lamina.operators import stack
-
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 1.0), (3, 0.0, 0.0, 1.0, 1.0)], "layer bigint, xmin double, ymin double, xmax double, ymax double")
     layers = spark.createDataFrame([(1, 100, 161), (2, 200, 262)], "layer bigint, zmin bigint, zmax bigint")
     solid = stack.extrude(boxes, layers)
