@@ -12,39 +12,59 @@ of their task need, and no task ever holds more than ``FAN_IN * CARRIED`` bins.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.durable import materialise
-from lamina.llm.words import REMEMBERED, by_size, small_batches, texts_of
+from lamina.llm.words import REMEMBERED, by_size, small_batches, within
 
 CAPACITY, END = 4096, 1
 NEARLY_FULL = 16  # a bin with less room is final
 ITEMS = 100_000  # pieces in a task of the first round
 FAN_IN, CARRIED = 8, 20_000
 SLICE = 2_000_000  # bytes of text that a task splits into words at once
-_ENDS = ".,;:!?"
+_ENDS = punctuation
+_PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"  # letters that stay one each when lower-cased, punctuation
 _BIN_BITS = 32
 
 
+@lru_cache(maxsize=1)
+def _tokenizers(path: str) -> tuple:
+    """The tokenizer of a file, and one that only does its byte-pair step on lower-case words with blanks between."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    whole = Tokenizer.from_file(path)
+    bare = Tokenizer(models.BPE(model["vocab"], list(map(tuple, model["merges"])), cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return whole, bare
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a memory of words.
 
-    For a tokenizer that splits at white space and between letters and punctuation before anything
-    else, so that parts between blanks can be encoded on their own. What a slice of texts has of new words of letters goes
-    through the tokenizer as one text; the ends of the words show in tokens that only end a word. Words are
+    For a byte-pair tokenizer that lower-cases and splits at white space and between letters and punctuation before
+    anything else, so that parts between blanks can be encoded on their own, and words apart from the punctuation after
+    them. Texts are split and words looked up as Arrow columns; a slice of texts looks at each different part once. What it
+    has of new words goes through the tokenizer as one text; the ends of the words show in tokens that only end a word.
+    Words of Latin letters that lower-casing and composing can't split or join skip both steps. Words are
     remembered for two generations: a full memory grows old, and what is used again gets young.
     """
 
     def __init__(self, path: str, bound: int = REMEMBERED // 3):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        self.bound = bound
+        self.tokenizer, self.bare = _tokenizers(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
@@ -53,9 +73,9 @@ class Encoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_words(self, words: list[str], tokenizer) -> list[bytes]:
         """Ids of each word of letters."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         at = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(at) != len(words) or at[-1] != 4 * len(ids):  # a word that is several, or no such ends
             return list(map(self._encode, words))
@@ -74,27 +94,55 @@ class Encoder:
         self.words = young, old
         return unknown
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [text.replace(b"\n", b" ").split(b" ") if text else [] for text in texts]
-        pending, odd = [], []
-        for part in set().union(*split):
-            text = part.decode()
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one after the other; where those of each part begin, and their number."""
+        plain = pc.extract_regex(parts, _PLAIN)
+        is_plain = plain.is_valid().to_numpy(zero_copy_only=False)
+        plain = plain.drop_null()
+        latin = pc.utf8_lower(plain.field("word")).dictionary_encode()
+        tailed = plain.field("tail").dictionary_encode()
+        tails = tailed.dictionary.to_pylist()
+        tail_of = {tail: k for k, tail in enumerate(tails)}
+        words = latin.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        entry, tail = np.empty(len(parts), np.int64), np.full(len(parts), -1)
+        entry[is_plain], tail[is_plain] = latin.indices.to_numpy(), tailed.indices.to_numpy()
+
+        others, odd = {}, []  # words of other letters, and what is no word
+        for at in np.flatnonzero(~is_plain).tolist():
+            text = parts[at].as_py()
             core = text.rstrip(_ENDS)
-            if core.isalpha():
-                pending.append((part, core.lower() if core.isascii() else core, text[len(core):]))
+            if core.isalpha() and core.lower().isalpha():
+                entry[at] = len(words) + others.setdefault(core, len(others))
+                tail[at] = tail_of.setdefault(text[len(core):], len(tail_of))
             else:
-                odd.append((part, text))
-        new = self._recall({word for _, word, _ in pending})
-        words = self.words[0]
-        for at in range(0, len(new), 4096):
-            words.update(zip(new[at:at + 4096], self._encode_words(new[at:at + 4096])))
-        tails = {tail: self._encode(tail) if tail else b"" for tail in {tail for _, _, tail in pending}}
-        known = {}
-        for part, word, tail in pending:
-            known[part] = words[word] + tails[tail]
-        for part, text in odd:
-            known[part] = self._encode(text) if text else b""
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+                odd.append((at, text))
+        new = self._recall({*words, *others})
+        memory = self.words[0]
+        for tokenizer, own in ((self.bare, [w for w in new if w not in others]), (self.tokenizer, [w for w in new if w in others])):
+            for at in range(0, len(own), 4096):
+                memory.update(zip(own[at:at + 4096], self._encode_words(own[at:at + 4096], tokenizer)))
+        known = [*map(memory.__getitem__, words), *map(memory.__getitem__, others)]
+        for at, text in odd:
+            entry[at] = len(known)
+            known.append(self._encode(text) if text else b"")
+        tail = np.where(tail < 0, len(tail_of), tail) + len(known)
+        known += [self._encode(text) if text else b"" for text in tail_of] + [b""]
+
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        both = np.column_stack([entry, tail])
+        ids = np.frombuffer(b"".join(known), "<u4")[within(starts[both].ravel(), sizes[both].ravel())]
+        counts = sizes[both].sum(1)
+        return ids, np.cumsum(counts) - counts, counts
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        parts = split.flatten().dictionary_encode()
+        ids, starts, counts = self._parts(parts.dictionary)
+        places = parts.indices.to_numpy()
+        data = ids[within(starts[places], counts[places])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(counts[places])])[np.cumsum(pc.list_value_length(split).to_numpy())] * 4
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def _pieces(path: str, capacity: int, end: int) -> Callable:
@@ -102,7 +150,7 @@ def _pieces(path: str, capacity: int, end: int) -> Callable:
         encode, last = Encoder(path), np.array([end], "<u4").tobytes()
         for batch in by_size(batches, "text", SLICE):
             rows: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            for k, ids in enumerate(encode(texts_of(batch, "text"))):
+            for k, ids in enumerate(encode(batch.column("text"))):
                 ids += last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]

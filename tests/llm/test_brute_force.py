@@ -107,6 +107,26 @@ def test_packing_round_trip(spark, monkeypatch, items):
     assert len(bins) <= 1.1 * math.ceil(sum(w[3] for w in want) / capacity) + 1
 
 
+def test_encoder_is_the_tokenizer(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    r, tokenizer = random.Random(11), Tokenizer.from_file(tokenizer_path())
+    # a capital that lower-cases to a letter and a mark goes together with the punctuation after it
+    alphabet = [*"aBéÉßÿŸ×÷İıſÅ'*&<|1½²ªµж漢한ﬁǅ.,!_- \n\t\r\x85\u00a0\u200d\u0301", "'s", "'re", "<|endoftext|>", "ΑΣ", "word"]
+    texts = ["İ.", "ÿİ* a", "", *("".join(r.choice(alphabet) for _ in range(r.randrange(14))) for _ in range(4000))]
+    want = [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    encoder = packing.Encoder(tokenizer_path(), bound=50)
+    got = [ids for k in range(0, len(texts), 500) for ids in encoder(pa.array(texts[k:k + 500]))]
+    assert got == want
+    # words and the punctuation after them are encoded apart, so each is encoded once
+    asked = []
+    encoder = packing.Encoder(tokenizer_path())
+    monkeypatch.setattr(encoder, "_encode", lambda text: asked.append(text) or b"")
+    encoder(pa.array(["Straße*** straße&&& STRASSE*** x", None, "là*** où&&&"]))
+    assert sorted(asked) == ["&&&", "***"]
+
+
 def test_language_model_base(spark):
     r = random.Random(9)
     texts = [" ".join(r.choice(["Alpha", "alpha", "beta", "gamma.", "é"]) + str(r.randrange(3)) for _ in range(r.randrange(30))) for _ in range(120)] + [None, "", "\x0b \t", "never seen before", "w " * 3000]
