@@ -136,7 +136,7 @@ class Encoder:
         return ids, np.cumsum(counts) - counts, counts
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " "), " ")
         parts = split.flatten().dictionary_encode()
         ids, starts, counts = self._parts(parts.dictionary)
         places = parts.indices.to_numpy()

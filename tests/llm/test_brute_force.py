@@ -127,6 +127,49 @@ def test_encoder_is_the_tokenizer(monkeypatch):
     assert sorted(asked) == ["&&&", "***"]
 
 
+def test_words_as_a_column():
+    import pyarrow as pa
+
+    from lamina.llm.words import distinct_words, words_of
+
+    r = random.Random(12)
+    texts = [None, "", " ", "  x Y\x0b\x0cz \n", *("".join(r.choice([*"aBÉé. \t\n\r\x1c\x1f\x85\u00a0"]) for _ in range(r.randrange(12))) for _ in range(500))]
+    for column in (pa.array(texts), pa.array(texts).slice(7, 300), pa.array(texts, pa.large_string()).slice(4)):
+        words, places, counts = distinct_words(column)
+        own = np.split(words.cast(pa.binary()).to_numpy(zero_copy_only=False)[places], np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in own] == [words_of(t and t.encode()) for t in column.to_pylist()]
+
+
+def test_language_model_slopes():
+    """The slopes that training follows are those of the loss, and a row's chances add up to one."""
+    r = np.random.default_rng(3)
+    network = gated_lm.GatedNetwork.fresh(np.ones(gated_lm.CLASSES + gated_lm.SHAPES), np.ones(gated_lm.VOCABULARY))
+    network.p = {k: v.astype(np.float32) for k, v in network.p.items()}
+    block, last = r.integers(0, 300, (4, 3)), r.integers(0, 300, (1, 3))
+    block[1, 1] = gated_lm.VOCABULARY + 5
+    given, state = np.vstack([last, block[:-1]]), np.zeros((gated_lm.HIDDEN, 3), np.float32)
+
+    def loss() -> float:
+        h, _ = network.steps(given, state)
+        return -float(network.log_chances(h.reshape(-1, gated_lm.HIDDEN), block.ravel())[0].sum(dtype=np.float64))
+
+    grads, keep = {k: np.zeros_like(v) for k, v in network.p.items()}, []
+    h, _ = network.steps(given, state, keep)
+    back = network.log_chances(h.reshape(-1, gated_lm.HIDDEN), block.ravel(), grads)[1]
+    network._backward(given, keep, np.ascontiguousarray(back.reshape(h.shape).swapaxes(1, 2)), grads)
+    for name, slope in grads.items():
+        way = np.sign(slope)
+        network.p[name] += np.float32(1e-2) * way / max(1.0, np.sqrt(np.abs(way).sum()))
+        up = loss()
+        network.p[name] -= np.float32(2e-2) * way / max(1.0, np.sqrt(np.abs(way).sum()))
+        down = loss()
+        network.p[name] += np.float32(1e-2) * way / max(1.0, np.sqrt(np.abs(way).sum()))
+        assert (up - down) / 2e-2 == pytest.approx(np.abs(slope).sum() / max(1.0, np.sqrt(np.abs(way).sum())), rel=2e-2)
+    every = np.array([*range(gated_lm.VOCABULARY + gated_lm.SHAPES)])
+    chances = network.log_chances(np.repeat(h.reshape(-1, gated_lm.HIDDEN)[:1], len(every), 0), every)[0]
+    assert np.exp(chances.astype(np.float64)).sum() == pytest.approx(1, rel=1e-4)
+
+
 def test_language_model_base(spark):
     r = random.Random(9)
     texts = [" ".join(r.choice(["Alpha", "alpha", "beta", "gamma.", "é"]) + str(r.randrange(3)) for _ in range(r.randrange(30))) for _ in range(120)] + [None, "", "\x0b \t", "never seen before", "w " * 3000]
