@@ -35,7 +35,10 @@ def lookup(
     keys = [f"_k{i}" for i in range(len(on))]
     if strict:
         require_none(side.groupBy(*keys).count().where("count > 1"), "lookup table repeats a key")
-        require_none(df.join(side, condition, "left_anti"), "lookup value not found")
+        # the keys alone: whole rows would be shuffled once more beside the lookup itself
+        wanted = df.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(on)]).distinct()
+        known = [F.col(f"_w{i}") == F.col(key) for i, key in enumerate(keys)]
+        require_none(wanted.join(side, known, "left_anti").toDF(*on), "lookup value not found")
     return df.join(side, condition, "left").drop(*keys)
 
 

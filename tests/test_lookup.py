@@ -73,3 +73,14 @@ def test_pick_group_and_columns(spark):
         lookup.pick_group(df, "k", "b")
     with pytest.raises(StrictModeError, match="missing columns"):
         require_columns(df, ["k", "w"])
+
+
+def test_strict_lookup_checks_keys_only(spark):
+    df = spark.createDataFrame([(1, "a", "wide"), (2, "b", "wide"), (2, None, "wide")], "k int, name string, more string")
+    table = spark.createDataFrame([("a", 1, 10), ("b", 2, 20)], "n string, k2 int, v int")
+    on = {"k": "k2", "name": "n"}
+    with pytest.raises(StrictModeError, match="not found") as seen:
+        lookup.lookup(df, table, on, {"v": "v"}, strict=True)
+    assert "'k': 2, 'name': None" in str(seen.value) and "wide" not in str(seen.value)
+    got = lookup.lookup(df.where("name IS NOT NULL"), table, on, {"v": "v"}, strict=True)
+    assert rows(got, "k", "v") == [(1, 10), (2, 20)]
