@@ -263,3 +263,16 @@ def test_layers_are_broadcast(spark):
     solid = stack.extrude(boxes, layers)
     assert "strategy=broadcast" in solid._jdf.queryExecution().optimizedPlan().toString()
     assert rows(solid, "layer", "zmin", "dz") == [(1, 100, 61), (3, None, None)]
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_boxes_far_from_all_windows_stay(spark, monkeypatch, limit):
+    """With few window tiles, other boxes are left out before the shuffle; with many, the join is the same."""
+    monkeypatch.setattr(spatial, "BROADCAST_TILES", limit)
+    boxes = [(k, float(x), float(y), float(x + w), float(y + w)) for k, (x, y, w) in enumerate((13 * k % 400, 7 * k % 300, 1 + 40 * (k % 9 == 0)) for k in range(300))]
+    windows = [(1, -5.0, -5.0, 9.0, 9.0), (2, 50.0, 60.0, 59.0, 66.0), (3, 390.0, 10.0, 560.0, 12.0), (4, None, 0.0, 1.0, 1.0)]
+    want = sorted((b[0], w[0]) for b in boxes for w in windows[:3] if b[1] <= w[3] and w[1] <= b[3] and b[2] <= w[4] and w[2] <= b[4])
+    columns = "xmin double, ymin double, xmax double, ymax double"
+    found = spatial.overlap_join(spark.createDataFrame(boxes, f"id int, {columns}"), spark.createDataFrame(windows, f"w int, {columns}"), "id", "w", 8.0)
+    assert sorted(map(tuple, found.collect())) == want
+    assert ("LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()) == (limit > 0)
