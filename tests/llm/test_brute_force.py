@@ -336,3 +336,35 @@ def test_language_model_learns_from_every_token(spark, monkeypatch):
     assert tokens[0] == scores[0]["train_tokens"] == 4 * 2499 + 5001 + 1 and tokens[1] <= gated_lm.STRETCH
     assert (parts, repeated) == (17, False) and tokens[2] == 17 and len(scores) == 2502
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in scores)
+
+
+def test_every_round_trains_on_all_parts(spark, monkeypatch, tmp_path):
+    """However many training tokens there are, a part is visited in each round, and the parts weigh alike in its average."""
+    once, average = gated_lm._train_part, gated_lm._average
+    weights = []
+
+    def watched(state, turn):
+        inner, folder = once(state, turn), str(tmp_path)
+
+        def run(table):
+            with open(f"{folder}/{turn}-{table.column('part')[0].as_py()}", "x") as seen:
+                seen.write(str(sum(map(len, table.column("tokens").to_pylist())) // 2))
+            return inner(table)
+
+        return run
+
+    def weighed(states, own):
+        weights.append(sum(own))
+        return average(states, own)
+
+    monkeypatch.setattr(gated_lm, "_train_part", watched)
+    monkeypatch.setattr(gated_lm, "_average", weighed)
+    monkeypatch.setattr(gated_lm, "PART_TOKENS", 900)
+    monkeypatch.setattr(gated_lm, "REPEATED", 1000)
+    monkeypatch.setattr(gated_lm, "FAN", 4)
+    df = spark.createDataFrame([(k, f"w{k % 50} a b") for k in range(2000)], "doc_id bigint, text string")
+    tokens = gated_lm.score_texts(df, F.lit(True)).first()["train_tokens"]
+    for turn in range(gated_lm.TURNS):
+        seen = list(tmp_path.glob(f"{turn}-*"))
+        assert len(seen) == 9 and sum(int(f.read_text()) for f in seen) == tokens == 8000
+    assert weights == [9] * gated_lm.TURNS
