@@ -21,7 +21,9 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
+from decimal import Decimal
 from itertools import groupby
 
 import numpy as np
@@ -39,6 +41,7 @@ FORMAT = "lamina_stream_layout"
 CHUNK = 64 << 20  # bytes of a file for one task
 ROUND = 16  # sides of a half circle at the ends of a path
 BLOCK = 1 << 20  # bytes decoded at a time
+LEVELS = 10  # units of written files at most, each ten times the one before: so many digits has a coordinate
 
 # Record types of the stream format.
 HEADER, BGNLIB, LIBNAME, UNITS, ENDLIB, BGNSTR, STRNAME, ENDSTR = range(0x00, 0x08)
@@ -421,7 +424,7 @@ class StreamReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    paths: list[str]
 
 
 def _rows(data: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
@@ -467,28 +470,73 @@ def _joined(*pieces: pa.Array | bytes) -> pa.Array:
     return pc.binary_join_element_wise(*[pa.scalar(p) if isinstance(p, bytes) else p for p in pieces], pa.scalar(b""))
 
 
+def _number(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return pc.fill_null(rows.column(name), 0).to_numpy(zero_copy_only=False)
+
+
+def _there(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return pc.is_valid(rows.column(name)).to_numpy(zero_copy_only=False)
+
+
+def _corners(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """x and y of the three points of each reference; only an array has more than the first."""
+    x, y, array = _number(rows, "x"), _number(rows, "y"), _there(rows, "columns") & _there(rows, "rows")
+    return x, y, x + np.where(array, _number(rows, "columns") * _number(rows, "dx"), 0), y, x, y + np.where(array, _number(rows, "rows") * _number(rows, "dy"), 0)
+
+
 class StreamWriter(DataSourceArrowWriter):
-    """One file for each task; the files get their names when all tasks have ended."""
+    """One file for each task; the files get their names when all tasks have ended.
+
+    Elements with coordinates out of the range of four bytes go to a file of their own with a coarser unit,
+    of which they must be whole multiples.
+    """
 
     def __init__(self, options: dict):
         self.path, self.unit = options["path"], float(options.get("unit", 0.001))
 
+    def _unit(self, level: int) -> float:
+        return float(Decimal(repr(self.unit)).scaleb(level))
+
+    def _levels(self, kind: str, rows: pa.RecordBatch) -> np.ndarray:
+        """For each row the first of the units in which its coordinates fit four bytes; all rows are of one kind."""
+        needed = {"shape": ("ring",), "label": ("x", "y", "text")}.get(kind, ("ref", "x", "y"))
+        if any(rows.column(name).null_count for name in needed):
+            raise StrictModeError(f"null in {', '.join(needed)} of a {kind}")
+        n, most = len(rows), np.iinfo(np.int32).max
+        if kind == "shape":
+            owner = np.repeat(np.arange(n), pc.list_value_length(rows.column("ring")).to_numpy())
+            values = [f.to_numpy(zero_copy_only=False) for f in rows.column("ring").flatten().flatten()]
+        else:
+            owner, values = np.arange(n), (_number(rows, "x"), _number(rows, "y")) if kind == "label" else _corners(rows)
+        values, levels = np.column_stack(values), np.zeros(n, np.int64)
+        for level in range(LEVELS):
+            rounded = np.rint(values / self._unit(level))
+            if level and (rounded * 10.0**level != np.rint(values / self.unit)).any():
+                raise StrictModeError(f"a number is out of the range of 4 bytes in units of {self.unit} and no multiple of {self._unit(level)}")
+            far = ~((rounded >= -most - 1) & (rounded <= most)).all(1)
+            if not far.any() or not np.isfinite(values[far]).all():
+                break
+            again = np.zeros(n, bool)
+            again[owner[far]] = True
+            levels[again] = level + 1
+            values, owner = values[again[owner]], owner[again[owner]]
+        else:
+            raise StrictModeError("a number is out of the range of 4 bytes in any unit")
+        return levels
+
     def _record(self, kind: int, form: int, data: bytes = b"") -> bytes:
         data += b"\0" * (len(data) % 2)
         if len(data) > 65530:
             raise StrictModeError("a record holds 65,530 bytes at most")
         return struct.pack(">HBB", len(data) + 4, kind, form) + data
 
-    def _encoded(self, kind: str, rows: pa.RecordBatch) -> pa.Array:
+    def _encoded(self, kind: str, rows: pa.RecordBatch, unit: float) -> pa.Array:
         """The bytes of each row; all rows are of one kind."""
         n = len(rows)
         column = {name: rows.column(name) for name in rows.schema.names}
-        needed = {"shape": ("ring",), "label": ("x", "y", "text")}.get(kind, ("ref", "x", "y"))
-        if any(column[name].null_count for name in needed):
-            raise StrictModeError(f"null in {', '.join(needed)} of a {kind}")
-        number = lambda name: pc.fill_null(column[name], 0).to_numpy(zero_copy_only=False)
+        number, there = (lambda name: _number(rows, name)), (lambda name: _there(rows, name))
         word = lambda kind, name: _fixed(kind, 2, _whole(number(name), np.int16))
-        points = lambda *pairs: _whole(np.column_stack([v / self.unit for p in pairs for v in p]), np.int32)
+        points = lambda *values: _whole(np.column_stack([v / unit for v in values]), np.int32)
         end = self._record(ENDEL, 0)
         if kind == "shape":
             rings, flat = column["ring"], column["ring"].flatten()
@@ -499,20 +547,18 @@ class StreamWriter(DataSourceArrowWriter):
             stop = np.cumsum(many)
             first, last = stop - many, stop - 1
             open_ = (x[first] != x[last]) | (y[first] != y[last])
-            data = points((x, y))
+            data = points(x, y)
             size = 8 * (many + open_)
             if n and size.max() > 65530:
                 raise StrictModeError("a record holds 65,530 bytes at most")
             body = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((8 * np.append(0, stop)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
             return _joined(self._record(BOUNDARY, 0), word(LAYER, "layer"), word(DATATYPE, "datatype"), _heads(XY, 3, size), body, _rows(data[first], open_), end)
-        x, y = number("x"), number("y")
         if kind == "label":
-            return _joined(self._record(TEXT, 0), word(LAYER, "layer"), word(TEXTTYPE, "datatype"), _fixed(XY, 3, points((x, y))), _strings(STRING, column["text"]), end)
-        there = lambda name: pc.is_valid(column[name]).to_numpy(zero_copy_only=False)
+            return _joined(self._record(TEXT, 0), word(LAYER, "layer"), word(TEXTTYPE, "datatype"), _fixed(XY, 3, points(number("x"), number("y"))), _strings(STRING, column["text"]), end)
         array, turned, scaled = there("columns") & there("rows"), there("rotation"), there("magnification")
         flip = pc.fill_null(column["x_reflection"], False).to_numpy(zero_copy_only=False).astype(bool)
         columns, rows_ = number("columns"), number("rows")
-        far = points((x, y), (x + np.where(array, columns * number("dx"), 0), y), (x, y + np.where(array, rows_ * number("dy"), 0)))
+        far = points(*_corners(rows))
         return _joined(
             _rows(np.where(array[:, None], *(np.frombuffer(self._record(k, 0), np.uint8) for k in (AREF, SREF)))), _strings(SNAME, column["ref"]),
             _fixed(STRANS, 1, np.column_stack([np.where(flip, 128, 0), np.zeros(n)]).astype(np.uint8), flip | scaled | turned),
@@ -522,43 +568,54 @@ class StreamWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = _open(self.path)
-        name, dates, cell = f"{path}/_part-{uuid.uuid4().hex}.stream", bytes(24), None
+        dates, outs, last, names = bytes(24), {}, {}, []
         system.create_dir(path)
-        with system.open_output_stream(name) as out:
-            out.write(self._record(HEADER, 2, struct.pack(">h", 600)) + self._record(BGNLIB, 2, dates) + self._record(LIBNAME, 6, b"LIB") + self._record(UNITS, 5, to_real8(self.unit) + to_real8(self.unit * 1e-6)))
+        with ExitStack() as stack:
+            def begin(level: int) -> None:
+                names.append(f"{path}/_part-{uuid.uuid4().hex}.stream")
+                unit, outs[level] = self._unit(level), stack.enter_context(system.open_output_stream(names[-1]))
+                outs[level].write(self._record(HEADER, 2, struct.pack(">h", 600)) + self._record(BGNLIB, 2, dates) + self._record(LIBNAME, 6, b"LIB") + self._record(UNITS, 5, to_real8(unit) + to_real8(unit * 1e-6)))
+
             for batch in iterator:
                 if not len(batch):
                     continue
-                cells = batch.column("cell")
-                if cells.null_count:
+                if batch.column("cell").null_count:
                     raise StrictModeError("an element without a cell")
                 kind = np.array([k if k in ("shape", "label") else "ref" for k in batch.column("kind").to_pylist()])
-                order, bodies = [], []
+                bodies: dict[int, list[tuple[np.ndarray, pa.Array]]] = {}
                 for one in np.unique(kind):
                     own = np.flatnonzero(kind == one)
-                    order.append(own)
-                    bodies.append(self._encoded(str(one), batch.take(pa.array(own))))
-                body = pa.concat_arrays(bodies).take(pa.array(np.argsort(np.concatenate(order))))
-                fresh = np.append(cell != cells[0].as_py(), pc.not_equal(cells[1:], cells[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
-                begin = _joined(self._record(BGNSTR, 2, dates), _strings(STRNAME, cells))
-                ended = fresh & ~((np.arange(len(fresh)) == 0) & (cell is None))
-                every = _joined(pc.if_else(pa.array(ended), pa.scalar(self._record(ENDSTR, 0)), pa.scalar(b"")), pc.if_else(pa.array(fresh), begin, pa.scalar(b"")), body)
-                out.write(every.buffers()[2].slice(0, np.frombuffer(every.buffers()[1], np.int32)[len(every)]))
-                cell = cells[len(cells) - 1].as_py()
-            out.write((self._record(ENDSTR, 0) if cell is not None else b"") + self._record(ENDLIB, 0))
-        return Written(name)
+                    levels = self._levels(str(one), batch.take(pa.array(own)))
+                    for level in np.unique(levels).tolist():
+                        some = own[levels == level]
+                        bodies.setdefault(level, []).append((some, self._encoded(str(one), batch.take(pa.array(some)), self._unit(level))))
+                for level, parts in sorted(bodies.items()):
+                    if level not in outs:
+                        begin(level)
+                    order = np.concatenate([some for some, _ in parts])
+                    body = pa.concat_arrays([b for _, b in parts]).take(pa.array(np.argsort(order)))
+                    cells, cell = batch.column("cell").take(pa.array(np.sort(order))), last.get(level)
+                    fresh = np.append(cell != cells[0].as_py(), pc.not_equal(cells[1:], cells[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
+                    ended = fresh & ~((np.arange(len(fresh)) == 0) & (cell is None))
+                    start = _joined(self._record(BGNSTR, 2, dates), _strings(STRNAME, cells))
+                    every = _joined(pc.if_else(pa.array(ended), pa.scalar(self._record(ENDSTR, 0)), pa.scalar(b"")), pc.if_else(pa.array(fresh), start, pa.scalar(b"")), body)
+                    outs[level].write(every.buffers()[2].slice(0, np.frombuffer(every.buffers()[1], np.int32)[len(every)]))
+                    last[level] = cells[len(cells) - 1].as_py()
+            if not outs:
+                begin(0)
+            for level, out in outs.items():
+                out.write((self._record(ENDSTR, 0) if level in last else b"") + self._record(ENDLIB, 0))
+        return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, _ = _open(self.path)
-        for m in messages:
-            if m:
-                system.move(m.path, m.path.replace("/_part-", "/part-"))
+        for path in (p for m in messages if m for p in m.paths):
+            system.move(path, path.replace("/_part-", "/part-"))
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = _open(self.path)
-        for m in messages:
-            if m:
-                system.delete_file(m.path)
+        for path in (p for m in messages if m for p in m.paths):
+            system.delete_file(path)
 
 
 class StreamSource(DataSource):

@@ -120,3 +120,21 @@ def test_kinds_and_single_fields(spark, tmp_path):
         ("label", 7, 1, "a�b", None), ("label", -2, 0, "z�", None), ("shape", 0, 0, None, None), ("ref", None, None, None, ""), ("shape", 1, 0, None, None)]
     assert [len(rows[2].ring), len(rows[4].ring)] == [4, 4]
     assert [r.kind for r in s.read_elements(spark, str(path), kinds=("ref",)).collect()] == ["ref"]
+
+
+def test_coordinates_beyond_four_bytes(spark, tmp_path):
+    """Elements that lie too far out for the unit of a file go to files of coarser units, exactly or not at all."""
+    far = 7_199_999.0
+    ring = lambda x: F.array(*[F.struct((x + float(dx)).alias("x"), F.lit(float(y)).alias("y")) for dx, y in ((0, 0), (2, 0), (2, 1), (0, 1))])
+    shapes = spark.range(300).select(F.lit("shape").alias("kind"), F.concat(F.lit("C"), F.col("id")).alias("cell"), F.lit(1).alias("layer"), F.lit(0).alias("datatype"),
+                                     ring(F.when(F.col("id") % 2 == 0, F.lit(far) + F.col("id")).otherwise(-F.col("id").cast("double"))).alias("ring"), "id")
+    refs = spark.range(40).select(F.lit("ref").alias("kind"), F.concat(F.lit("C"), F.col("id")).alias("cell"), F.lit("C0").alias("ref"), (F.col("id") + F.lit(0.125)).alias("x"),
+                                  F.when(F.col("id") < 9, F.lit(3e9)).otherwise(F.lit(0.0)).alias("y"), F.lit(3).alias("columns"), F.lit(1).alias("rows"), F.lit(0.25).alias("dx"), F.lit(0.0).alias("dy"), "id")
+    near = refs.where("id >= 9")
+    s.write_stream(shapes.unionByName(near, allowMissingColumns=True), str(tmp_path / "out"), ["kind", "id"], parts=3)
+    rows = s.read_elements(spark, str(tmp_path / "out"), 4096).collect()
+    assert sorted((r.cell, [(p.x, p.y) for p in r.ring]) for r in rows if r.kind == "shape") == sorted(
+        (f"C{k}", [(x, 0), (x + 2, 0), (x + 2, 1), (x, 1)]) for k in range(300) for x in [far + k if k % 2 == 0 else -float(k)])
+    assert sorted((r.cell, r.x, r.y, r.columns, r.dx) for r in rows if r.kind == "ref") == sorted((f"C{k}", k + 0.125, 0, 3, 0.25) for k in range(9, 40))
+    with pytest.raises(Exception, match="no multiple of 0.1|no multiple of 1.0|no multiple of 0.01"):  # 0.125 and 3,000,000,000 have no unit in common
+        s.write_stream(refs, str(tmp_path / "never"), ["id"])
