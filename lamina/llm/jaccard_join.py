@@ -7,7 +7,9 @@ number of meetings there cannot fall below what the rest of the larger set leave
 
 1. One pass hashes every whole text and writes ids, classes and sets.
 2. Shingles that many documents of a batch share come last in the order (a list of bounded length;
-   any order gives the same result, this one keeps common passages out of most prefixes).
+   any order gives the same result, this one keeps common passages out of most prefixes). The list
+   gets too short as tables grow, so shingles that lead more than ``GROUP`` prefixes come before
+   it, behind all others: a filter of fixed size holds them, found by counting once or twice.
 3. The prefixes are dealt out as blocks of columns. Each block multiplies its columns: groups of up to
    ``GROUP`` documents give pairs, whose counts are added up and held against the bound. Larger groups
    give memberships, one per document.
@@ -41,6 +43,7 @@ RUN, SHARED_RUN = 400_000, 4_000_000  # shingles that a task spreads out or sort
 CELLS = 1_000_000  # pairs of rows that a product of blocks adds up at once, some 60 MB of arrays
 ROW_BLOCK, ROW_BLOCK_SHINGLES = 1024, 1_000_000  # documents and shingles in a block of rows
 FILTER_BITS = 1 << 24  # fixed size of the filter for documents that are in any panel
+CROWDED_BITS, CROWDED_ROUNDS = 1 << 27, 2  # fixed size of the filter for crowded shingles, and counts that fill it at most
 _STEP = 200_000  # words handled together
 
 _BYTES = 6  # of a shingle's hash; two sets of a thousand meet by chance once in 10^8 pairs
@@ -185,27 +188,76 @@ def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(common, blocks: int, percent: int) -> Callable:
+def _crowd_place(shingles: np.ndarray) -> np.ndarray:
+    """Four bytes of each hash, of which the lowest ``CROWDED_BITS`` name its place in the filter."""
+    return (shingles >> np.uint64(16)).astype(np.uint32)
+
+
+def _leading(common, crowded: np.ndarray, n: np.ndarray, shingles: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The row of each shingle, the shingles that are among the first ``length`` of their row, and which of all are listed and crowded."""
+    listed, rank = common  # sorted shingles, and the place of each in the order
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.minimum(np.searchsorted(listed, shingles), max(0, len(listed) - 1))
+    is_common = listed[at] == shingles if len(listed) else np.zeros(len(shingles), bool)
+    place = _crowd_place(shingles) & np.uint32(CROWDED_BITS - 1)
+    is_crowded = ~is_common & (crowded[place >> np.uint32(3)] >> (place & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
+    is_late = is_common | is_crowded
+    own = np.cumsum(~is_late)
+    ahead = np.concatenate([[0], np.cumsum(np.bincount(row, ~is_late, len(n)))[:-1]]).astype(np.int64)
+    kept = np.flatnonzero(~is_late & (own - 1 - ahead[row] < length[row]))
+    late = np.flatnonzero(is_late)
+    later = np.where(is_common[late], rank[at[late]], 0) if len(listed) else np.zeros(len(late), np.int64)
+    late = late[np.lexsort((later, row[late]))]
+    free = np.maximum(0, length - np.bincount(row, ~is_late, len(n)).astype(np.int64))
+    first = np.searchsorted(row[late], np.arange(len(n)))
+    late = late[np.arange(len(late)) - first[row[late]] < free[row[late]]]
+    return row, np.concatenate([kept, late]), is_common, is_crowded
+
+
+def _places(common, crowded, blocks: int, percent: int) -> Callable:
+    """The places of prefix entries that are neither listed nor crowded, in blocks of columns.
+
+    A quarter more than the prefix counts: so much may come forward when crowded ones go back.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, rank = common.value  # sorted shingles, and the place of each in the order
         for batch in batches:
-            for classes, n, shingles in _rows(batch):
-                row = np.repeat(np.arange(len(n)), n)
+            for _, n, shingles in _rows(batch):
                 length = prefix_lengths(n, percent)
-                at = np.minimum(np.searchsorted(listed, shingles), max(0, len(listed) - 1))
-                is_common = listed[at] == shingles if len(listed) else np.zeros(len(shingles), bool)
-                own = np.cumsum(~is_common)
-                ahead = np.concatenate([[0], np.cumsum(np.bincount(row, ~is_common, len(n)))[:-1]]).astype(np.int64)
-                kept = np.flatnonzero(~is_common & (own - 1 - ahead[row] < length[row]))
-                late = np.flatnonzero(is_common)
-                late = late[np.lexsort((rank[at[late]], row[late]))]
-                free = np.maximum(0, length - np.bincount(row, ~is_common, len(n)).astype(np.int64))
-                first = np.searchsorted(row[late], np.arange(len(n)))
-                late = late[np.arange(len(late)) - first[row[late]] < free[row[late]]]
-                block = np.concatenate([shingles[kept] % np.uint64(blocks), _mix(classes[row[late]].view(np.uint64)) % np.uint64(blocks)]).astype(np.int64)
-                entry = np.concatenate([kept, late])
+                _, entry, is_common, is_crowded = _leading(common.value, crowded.value, n, shingles, length + length // 4)
+                own = shingles[entry[~(is_common | is_crowded)[entry]]]
+                block = (own % np.uint64(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                block, place = block[order], _crowd_place(own)[order]
+                cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+                parts = [place[s:e].tobytes() for s, e in zip(cuts, [*cuts[1:], len(block)])]
+                yield pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(parts, pa.binary())], ["block", "places"])
+
+    return run
+
+
+def _crowds(group: int) -> Callable:
+    """The places that more than ``group`` entries of a block have."""
+    def run(table: pa.Table) -> pa.Table:
+        give_back()
+        places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32).copy()
+        places.sort()
+        start = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])) if len(places) else np.zeros(0, np.int64)
+        many = np.diff(np.concatenate([start, [len(places)]]))
+        return pa.table({"class": places[start[many > group]].astype(np.int64)})
+
+    return run
+
+
+def _prefixes(common, crowded, blocks: int, percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for classes, n, shingles in _rows(batch):
+                row, entry, is_common, _ = _leading(common.value, crowded.value, n, shingles, prefix_lengths(n, percent))
+                hot = is_common[entry]
+                block = np.where(hot, _mix(classes[row[entry]].view(np.uint64)), shingles[entry]) % np.uint64(blocks)
+                block = block.astype(np.int64)
                 order = np.argsort(block, kind="stable")
-                block, entry, hot = block[order], entry[order], (np.arange(len(order)) >= len(kept))[order]
+                block, entry, hot = block[order], entry[order], hot[order]
                 cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
                 ends = np.concatenate([cuts[1:], [len(block)]])
                 columns = {"block": [], "shingles": [], "classes": [], "sizes": [], "hot": []}
@@ -333,16 +385,16 @@ def _in_filter(bits) -> Callable:
     return run
 
 
-def _filter_of(classes: DataFrame) -> np.ndarray:
+def _filter_of(classes: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
     """A filter of fixed size that holds every given class."""
-    parts = classes.groupBy(F.expr(f"bitmap_bucket_number(class & {FILTER_BITS - 1})").alias("part")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position(class & {FILTER_BITS - 1}))").alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    for part, own in parts.collect():  # at most FILTER_BITS / 32768 + 1 rows of 4 KB
+    parts = classes.groupBy(F.expr(f"bitmap_bucket_number(class & {size - 1})").alias("part")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position(class & {size - 1}))").alias("bits"))
+    bits = np.zeros(size // 8 + 4096, np.uint8)
+    for part, own in parts.toLocalIterator():  # at most size / 32768 + 1 rows of 4 KB
         # bucket k holds the values (k - 1) * 32768 + 1 .. k * 32768 at bits 0 .. 32767; bucket 0 holds 0
         first = 0 if part == 0 else (part - 1) * 32768 + 1
         values = np.flatnonzero(np.unpackbits(np.frombuffer(own, np.uint8), bitorder="little")) + first
         np.bitwise_or.at(bits, values >> 3, (1 << (values & 7)).astype(np.uint8))
-    return bits[:FILTER_BITS // 8]
+    return bits[:size // 8]
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -379,7 +431,19 @@ def join_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     total = rows.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total * (101 - percent) // (100 * COLUMN_BLOCK)))
 
-    dealt = sets.mapInArrow(_prefixes(common, blocks, percent), "block bigint, shingles binary, classes binary, sizes binary, hot binary")
+    bits = np.zeros(CROWDED_BITS // 8, np.uint8)
+    crowded = spark.sparkContext.broadcast(bits)
+    for _ in range(CROWDED_ROUNDS):
+        places = sets.mapInArrow(_places(common, crowded, blocks, percent), "block bigint, places binary")
+        crowds = materialise(places.groupBy("block").applyInArrow(_crowds(GROUP), "class bigint"))
+        found = crowds.count()
+        if found:
+            bits |= _filter_of(crowds, CROWDED_BITS)
+            crowded = spark.sparkContext.broadcast(bits)
+        if found * GROUP < total // 1000:  # they led few prefixes, so what they give way to is hardly more
+            break
+
+    dealt = sets.mapInArrow(_prefixes(common, crowded, blocks, percent), "block bigint, shingles binary, classes binary, sizes binary, hot binary")
     met = materialise(dealt.groupBy("block").applyInArrow(_column_product(percent, GROUP), "a bigint, b bigint, na int, nb int"))
     pairs = met.where("nb IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
     rest = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("na", "nb")])  # at most so many lie behind the shorter prefix

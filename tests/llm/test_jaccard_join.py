@@ -113,3 +113,25 @@ def test_sets_are_stored_tightly():
     assert all(len(d) <= 6 * n for d, n in zip(stored, sizes)) and len(stored[5]) < 6 * 330 * 0.88
     for entries in (np.array([3, 65_535]), np.array([3, 65_536])):
         assert (jaccard_join._wide(jaccard_join._narrow(entries), 2) == entries).all()
+
+
+def test_shared_passages_do_not_join_panels(spark, monkeypatch):
+    """Passages that many documents share, more than the list holds, don't put unrelated documents into one panel."""
+    r = random.Random(4)
+    passages = [" ".join(f"p{k}.{n}" for n in range(20)) for k in range(60)]
+    texts = [" ".join([f"{k}.{n}" for n in range(90)] + r.sample(passages, 3)) for k in range(600)]
+    texts += [f"{t} end" for t in texts[:40]]
+    rows = list(enumerate(texts))
+    once, seen = jaccard_join.materialise, []
+
+    def watched(df):
+        seen.append(once(df))
+        return seen[-1]
+
+    monkeypatch.setattr(jaccard_join, "materialise", watched)
+    monkeypatch.setattr(jaccard_join, "COMMON", 50)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(x) for x in ngram_jaccard_join(df).collect()]
+    assert sorted(got) == sorted(brute(rows))
+    inside = next(t for t in seen if {"panel", "n"} <= set(t.columns))
+    assert inside.groupBy("panel").count().agg({"count": "max"}).first()[0] == 2
