@@ -276,3 +276,22 @@ def test_boxes_far_from_all_windows_stay(spark, monkeypatch, limit):
     found = spatial.overlap_join(spark.createDataFrame(boxes, f"id int, {columns}"), spark.createDataFrame(windows, f"w int, {columns}"), "id", "w", 8.0)
     assert sorted(map(tuple, found.collect())) == want
     assert ("LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()) == (limit > 0)
+
+
+def test_ids_of_equal_arrays_share_a_list(spark, monkeypatch):
+    """Equal arrays or windows have one list of ids, more only when they are very many, and the hits are the same."""
+    from lamina.operators import arrays
+
+    placed = spark.range(90).selectExpr("id", "double(id % 3) AS xmin", "0D AS ymin", "id % 3 + 1D AS xmax", "1D AS ymax", "2L AS Columns", "1L AS Rows", "if(id < 60, 5D, NULL) AS DX", "0D AS DY")
+    windows = spark.range(40).selectExpr("id AS w", "id % 2 * 100D AS xmin", "0D AS ymin", "id % 2 * 100 + 5.5D AS xmax", "1D AS ymax")
+    lattice = placed.drop("id").columns
+    assert arrays._classes(placed, "id", lattice, "_array")[1].count() == 6
+    want = sorted((k, w, n, 0) for k in range(60) for w in range(0, 40, 2) for n in range(2) if k % 3 + 5 * n <= 5.5)
+    for listed, broadcast in ((1 << 16, 1 << 20), (4, 0)):
+        monkeypatch.setattr(arrays, "LISTED", listed)
+        monkeypatch.setattr(arrays, "BROADCAST", broadcast)
+        for one, other, a, b in ((placed, windows, "id", "w"), (placed.where("id % 9 = 0"), windows, "id", "w")):
+            found = arrays.expand_hits(arrays.array_hits(one, other, a, b)).where("id < 60").collect()
+            assert sorted((r.id, r.w, r.column, r.row) for r in found) == [x for x in want if one is placed or x[0] % 9 == 0]
+    lists = arrays._classes(placed, "id", lattice, "_array")[1].selectExpr("count(*)", "sum(size(_arrays))", "max(size(_arrays))").first()
+    assert 6 < lists[0] <= 30 and lists[1] == 90 and lists[2] < 20
