@@ -385,11 +385,12 @@ def _in_filter(bits) -> Callable:
     return run
 
 
-def _filter_of(classes: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
-    """A filter of fixed size that holds every given class."""
+def _filter_of(classes: DataFrame, size: int = 0) -> np.ndarray:
+    """A filter of fixed size (``FILTER_BITS`` unless given) that holds every given class."""
+    size = size or FILTER_BITS
     parts = classes.groupBy(F.expr(f"bitmap_bucket_number(class & {size - 1})").alias("part")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position(class & {size - 1}))").alias("bits"))
     bits = np.zeros(size // 8 + 4096, np.uint8)
-    for part, own in parts.toLocalIterator():  # at most size / 32768 + 1 rows of 4 KB
+    for part, own in parts.collect():  # at most size / 32768 + 1 rows of 4 KB
         # bucket k holds the values (k - 1) * 32768 + 1 .. k * 32768 at bits 0 .. 32767; bucket 0 holds 0
         first = 0 if part == 0 else (part - 1) * 32768 + 1
         values = np.flatnonzero(np.unpackbits(np.frombuffer(own, np.uint8), bitorder="little")) + first
